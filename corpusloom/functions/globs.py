@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NEVER = r"[^\s\S]"
 
@@ -159,11 +161,9 @@ def regex_column(arrays: Column, kind: str) -> Column:
 
     For rule *tables*: one call per profile row, never per file.
     """
-    import pandas as pd
-
     build = {"names": names_regex, "paths": paths_regex, "roots": roots_regex}[kind]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def compile_patterns(lists: pd.Series) -> pd.Series:
         return lists.map(lambda ps: build([p for p in ps if p is not None]) if ps is not None else NEVER)
 
