@@ -31,7 +31,7 @@ docs AS (
          ((doc_id % 20) * 4 + CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END) % 9 AS kind
   FROM documents
 ),
-placed AS (
+named_docs AS (
   SELECT project, doc_id, lang, text,
          CASE WHEN kind = 7 THEN 'docs/' ELSE
            (['', 'src/', 'src/app/', 'src/utils/deep/', 'internal/service/', 'docs/', 'docs/api/', 'test/',
@@ -50,7 +50,7 @@ bodies AS (
            chr(10) || 'func F' || doc_id || '(a int) {' || chr(10) || '}' || chr(10) || 'func hidden() {}' ||
            chr(10) || 'const Max = 1' || chr(10) || '// ' || text
          ELSE text END AS content
-  FROM placed
+  FROM named_docs
   UNION ALL
   SELECT p.project, m.path, m.content
   FROM (SELECT DISTINCT project, kind FROM docs) p

@@ -23,18 +23,23 @@ def build_session(master: str = "local[*]", app: str = "corpusloom", **conf: obj
     return builder.getOrCreate()
 
 
+_local_folder: str | None = None
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test session) is a folder made.
+    Only a local session that leaves it unset gets a temporary folder.
     """
+    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="corpusloom-")
+    return _local_folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
