@@ -47,7 +47,7 @@ HEADER_TYPE = (
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s: F.trim(s))
 
 
 def imports(content: Column) -> Column:

@@ -62,7 +62,7 @@ def tree_key(path: Column, is_dir: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """``"a, b"`` -> ``["a", "b"]``: split on commas, white space trimmed."""
-    return F.transform(F.split(text, ","), strip)
+    return F.transform(F.split(text, ","), lambda item: strip(item))
 
 
 def strip(text: Column) -> Column:

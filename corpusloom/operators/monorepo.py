@@ -120,55 +120,46 @@ def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> Dat
 
     Types with their sub-projects come first, then the root files. ``roots`` is
     ``(project, path)``. Every entry is a row; only the last name of a list and
-    a few flags are looked up per entry.
+    a few flags are looked up per entry. Both inputs are read several times:
+    pass stored tables. A ``pick`` column tells repeated sub-projects apart.
     """
-    types = subs.groupBy("project", "type").agg(F.max(F.struct("name", "root")).alias("last_sub"))
+    if "pick" not in subs.columns:
+        subs = subs.withColumn("pick", F.lit(0).cast("bigint"))
+    entry = F.struct("name", "root", "pick")
+    types = subs.groupBy("project", "type").agg(F.max(entry).alias("last_sub"))
     last_file = roots.groupBy("project").agg(F.max("path").alias("last_file"))
     last_type = types.groupBy("project").agg(F.max("type").alias("last_type"))
     ends = last_type.join(last_file, "project", "full")
-    typed = types.join(ends, "project").withColumn(
-        "closes", (F.col("type") == F.col("last_type")) & F.col("last_file").isNull()
-    )
+    closes = (F.col("type") == F.col("last_type")) & F.col("last_file").isNull()
+    typed = types.join(ends, "project").withColumn("closes", closes)
+
+    def rows(df: DataFrame, part: int, line: Column, **place: str) -> DataFrame:
+        keys = [F.expr(place.get(k, "''")).cast("string").alias(k) for k in ("kind", "label", "root")]
+        pick = F.expr(place.get("pick", "0")).cast("bigint").alias("pick")
+        return df.select("project", F.lit(part).alias("part"), *keys, pick, line.alias("line"))
 
-    def rows(df: DataFrame, part: int, kind: str, name: str, root: str, line: Column) -> DataFrame:
-        return df.select(
-            "project",
-            F.lit(part).alias("part"),
-            F.expr(kind).cast("string").alias("kind"),
-            F.expr(name).cast("string").alias("name"),
-            F.expr(root).cast("string").alias("root"),
-            line.alias("line"),
-        )
-
-    type_lines = rows(
-        typed, 1, "type", "''", "''", F.concat(_connector(F.col("closes")), F.col("type"), F.lit("/"))
-    )
     members = salted_join(
-        subs.select("project", "type", "name", "root"),
+        subs.select("project", "type", "name", "root", "pick"),
         typed.select("project", "type", "last_sub", "closes"),
         ["project", "type"],
-        spread=["root"],
+        spread=["root", "pick"],
     )
     member_line = F.concat(
         F.when(F.col("closes"), F.lit(GAP)).otherwise(F.lit(PIPE)),
-        _connector(F.struct("name", "root") == F.col("last_sub")),
+        _connector(entry == F.col("last_sub")),
         F.col("name"),
     )
-    # The empty name of a type line sorts it before its members.
-    member_lines = rows(members, 1, "type", "concat('+', name)", "root", member_line)
-    gap_lines = rows(
-        ends.filter("last_type IS NOT NULL AND last_file IS NOT NULL"), 2, "''", "''", "''", F.lit("│")
-    )
-    file_lines = rows(
-        salted_join(roots.select("project", "path"), last_file, ["project"]),
-        3,
-        "''",
-        "path",
-        "''",
-        F.concat(_connector(F.col("path") == F.col("last_file")), F.col("path")),
-    )
-    title = rows(ends, 0, "''", "''", "''", F.lit(MONOREPO_ROOT))
-    every = title.unionByName(type_lines).unionByName(member_lines).unionByName(gap_lines).unionByName(file_lines)
-    return with_position(every, ["project"], ["part", "kind", "name", "root"], "ord", max_rows).select(
-        "project", "ord", "line"
+    type_line = F.concat(_connector(F.col("closes")), F.col("type"), F.lit("/"))
+    files = salted_join(roots.select("project", "path"), last_file, ["project"])
+    file_line = F.concat(_connector(F.col("path") == F.col("last_file")), F.col("path"))
+    both = ends.filter("last_type IS NOT NULL AND last_file IS NOT NULL")
+    every = (
+        rows(ends, 0, F.lit(MONOREPO_ROOT))
+        .unionByName(rows(typed, 1, type_line, kind="type"))
+        # The empty label of a type line sorts it before its members.
+        .unionByName(rows(members, 1, member_line, kind="type", label="concat('+', name)", root="root", pick="pick"))
+        .unionByName(rows(both, 2, F.lit(PIPE.strip())))
+        .unionByName(rows(files, 3, file_line, label="path"))
     )
+    order = ["part", "kind", "label", "root", "pick"]
+    return with_position(every, ["project"], order, "ord", max_rows).select("project", "ord", "line")

@@ -1 +1,157 @@
-"""Placeholder."""
+"""Whole documents and their names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions.rules import Profile
+from corpusloom.operators import render
+from corpusloom.plans import jobs
+from corpusloom.queries.detect import FRAMEWORK_SQL, TYPES_SQL
+from corpusloom.queries.monorepo import CHOICE_SQL, OVERVIEW_SQL, WIDE_SQL, choices, wide
+from corpusloom.queries.profiles import PROFILES_SQL, profile_table
+from corpusloom.queries.registry import FILES, excluded_sql, pruned_sql, query
+from corpusloom.queries.sections import (
+    MODULES,
+    ROOT_CONFIGS,
+    SECTION_SQL,
+    STAMP,
+    TREE_CLOSE,
+    TREE_OPEN,
+    head_sql,
+    n,
+    run_ts,
+)
+from corpusloom.queries.trees import nodes_sql
+from corpusloom.sources.derived import corpus
+
+PROFILE = Profile(
+    max_file_size=6000,
+    include_styles=False,
+    include_docs=True,
+    important_files=("package.json", "nx.json"),
+    excluded_patterns=("*.log", "*.txt"),
+)
+ENTRY = "(s LIKE '%.log' OR s LIKE '%.txt' OR (starts_with(s, 'project_docs') AND s LIKE '%.md'))"
+KEEP = "['package.json', 'nx.json', 'go.mod']"
+OFF_SQL = """((regexp_matches(lower(name), '\\.(css|scss|sass|less)$') OR contains(lower(name), '.spec.')
+  OR contains(lower(name), '.test.')) AND NOT (ends_with(path, 'package.json') OR ends_with(path, 'nx.json')))"""
+
+
+def body_sql(files: str, type_rule: str) -> str:
+    """Nodes, tree lines and sections of the files of one CTE."""
+    stay = f"NOT {excluded_sql('seg', ENTRY, KEEP)}"
+    drop = f"AND NOT {OFF_SQL}" if type_rule == "remove" else ""
+    stub = "false" if type_rule == "remove" else OFF_SQL
+    return f"""
+{nodes_sql(files, f"{stay} AND NOT {OFF_SQL}", pruned_sql("seg", ENTRY, KEEP))},
+classified AS (
+  SELECT project, path, content, {stub} OR size > 6000 AS skipped,
+         list_transform(seg, lambda s, i: CASE WHEN i < len(seg) THEN '0' ELSE '1' END || s) AS key
+  FROM {files} WHERE {stay} AND NOT starts_with(name, '~$') {drop}
+),
+body AS (
+  SELECT project, 1 AS step, []::VARCHAR[] AS key, 0 AS line, {{open}} AS markdown FROM wanted
+  UNION ALL SELECT project, 2, [], ord, line || chr(10) FROM tree_lines
+  UNION ALL SELECT project, 2, [], 0, '.' || chr(10) FROM wanted WHERE project NOT IN (SELECT project FROM placed)
+  UNION ALL SELECT project, 3, [], 0, {n(TREE_CLOSE)} FROM wanted
+  UNION ALL SELECT project, 4, [], 0, {n(MODULES)} FROM wanted
+  UNION ALL SELECT project, 5, key, 0, {SECTION_SQL} FROM classified
+)"""
+
+
+def document_sql(type_rule: str, before: str, wanted: str) -> str:
+    return f"""
+WITH {FILES}, {TYPES_SQL}, {before}
+wanted AS ({wanted}),
+{body_sql("files", type_rule).replace("{open}", n(TREE_OPEN))},
+every AS (
+  SELECT project, 0 AS step, []::VARCHAR[] AS key, 0 AS line, {head_sql("kind")} AS markdown FROM wanted
+  UNION ALL SELECT * FROM body WHERE project IN (SELECT project FROM wanted)
+)
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY step, key, line) AS ord, markdown FROM every
+"""
+
+
+@query("document_lines", document_sql("remove", "", "SELECT project, type AS kind FROM types WHERE status = 'ok'"))
+def document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.number(jobs.document(corpus(spark, sf), PROFILE, run_ts()))
+
+
+@query("document_go", document_sql("stub", "", "SELECT project, 'Go проект' AS kind FROM types WHERE type = 'go'"))
+def document_go(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.number(jobs.document_go(corpus(spark, sf), PROFILE, run_ts()))
+
+
+@query(
+    "document_js",
+    document_sql(
+        "stub",
+        FRAMEWORK_SQL + ",",
+        "SELECT project, framework || ' проект' AS kind FROM types JOIN frameworks USING (project) "
+        "WHERE type IN ('js', 'angular', 'browser-extension')",
+    ),
+)
+def document_js(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.number(jobs.document_js(corpus(spark, sf), PROFILE, run_ts()))
+
+
+@query(
+    "document_monorepo",
+    f"""
+WITH {FILES}, {WIDE_SQL}, {CHOICE_SQL}, {TYPES_SQL.replace("FROM files", "FROM wide")},
+repos AS (SELECT project FROM types WHERE type = 'nx'),
+picked_subs AS (SELECT * FROM picked WHERE project IN (SELECT project FROM repos)),
+chosen AS (SELECT DISTINCT project FROM picked_subs),
+root_list AS (
+  SELECT project, path FROM wide WHERE len(seg) = 1 AND project IN (SELECT project FROM chosen) AND NOT starts_with(name, '~$')
+    AND name NOT LIKE '%.log' AND name NOT LIKE '%.txt' AND name NOT IN ('go.sum', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml')
+),
+{OVERVIEW_SQL.replace("s.root,\n", "s.root || '#' || lpad(s.pick::VARCHAR, 9, '0'),\n").replace("s.root DESC)", "s.root DESC, s.pick DESC)")},
+unit_files AS (
+  SELECT project, path, content, size, string_split(path, '/') AS seg, string_split(path, '/')[-1] AS name FROM (
+    SELECT w.project || '#' || p.pick AS project, substring(w.path, length(p.root) + 2) AS path, w.content, w.size
+    FROM wide w JOIN picked_subs p ON p.project = w.project AND starts_with(w.path, p.root || '/'))
+),
+wanted AS (SELECT project || '#' || pick AS project FROM picked_subs),
+{body_sql("unit_files", "stub").replace("{open}", n("#" + TREE_OPEN))},
+configs AS (
+  SELECT project, pos, path, content, size > 6000 AS skipped
+  FROM wide JOIN (VALUES (1, 'package.json'), (2, 'nx.json')) l(pos, listed) ON path = listed
+  WHERE project IN (SELECT project FROM chosen)
+),
+every AS (
+  SELECT project, 0 AS part, 0 AS unit, 0 AS step, []::VARCHAR[] AS key, 0 AS line, {head_sql("'NX Monorepo'")} AS markdown FROM chosen
+  UNION ALL SELECT project, 1, 0, 0, [], 0, {n("## Общая структура Nx Monorepo" + chr(10) * 2 + "```" + chr(10))} FROM chosen
+  UNION ALL SELECT project, 2, 0, 0, [], ord, line || chr(10) FROM overview
+  UNION ALL SELECT project, 3, 0, 0, [], 0, {n("```" + chr(10) * 2)} FROM chosen
+  UNION ALL SELECT DISTINCT project, 4, 0, 0, []::VARCHAR[], 0, {n(ROOT_CONFIGS)} FROM configs
+  UNION ALL SELECT project, 5, pos, 0, [], 0, {SECTION_SQL} FROM configs
+  UNION ALL SELECT project, 6, pick, 0, [], 0, chr(10) || '## Проект: ' || name || ' (' || type || ')' ||
+    {n(chr(10) * 2 + "**Путь:** ")} || root || {n(chr(10) * 2)} FROM picked_subs
+  UNION ALL SELECT string_split(project, '#')[1], 6, string_split(project, '#')[2]::BIGINT, step, key, line, markdown FROM body
+)
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY part, unit, step, key, line) AS ord, markdown FROM every
+""",
+)
+def document_monorepo(spark: SparkSession, sf: str) -> DataFrame:
+    files = wide(spark, sf)
+    return jobs.number(jobs.document_monorepo(files, choices(corpus(spark, sf)), PROFILE, run_ts()))
+
+
+@query(
+    "output_name",
+    f"""
+WITH {FILES}, {PROFILES_SQL},
+named AS (SELECT project, CASE WHEN length(project) % 3 = 0 THEN '' ELSE output_filename END AS f, append_timestamp FROM profiles)
+SELECT project, CASE WHEN f = '' THEN 'project_docs_{STAMP}.md'
+  WHEN append_timestamp THEN regexp_replace(f, '\\.[^./]*$', '') || '_{STAMP}' || regexp_extract(f, '\\.[^./]*$')
+  ELSE f END AS output FROM named
+""",
+)
+def output_name(spark: SparkSession, sf: str) -> DataFrame:
+    rows = profile_table(corpus(spark, sf))
+    name = F.when(F.length("project") % 3 == 0, F.lit("")).otherwise(F.col("output_filename"))
+    output = render.output_name(name, F.col("append_timestamp"), run_ts())
+    return rows.select("project", output.alias("output"))

@@ -43,61 +43,62 @@ MARKERS = {
 }
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+DOCUMENTS = "doc_id bigint, text string, lang string, source string"
+PAGES = "page_id bigint, url string, html string"
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``files`` from the documents table: one file per document, plus markers."""
-    docs = documents(spark, sf_dir).select(
-        F.concat_ws("-", "source", "lang").alias("project"),
-        F.col("doc_id"),
-        F.col("lang"),
-        F.col("text"),
-        F.expr("doc_id div 20").alias("k"),
-        F.expr(KIND).cast("int").alias("kind"),
-    )
-    return _document_files(docs).unionByName(_marker_files(docs))
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
+
 
+def _array(values: list[str]) -> str:
+    return f"array({', '.join(values)})"
 
-def _document_files(docs: DataFrame) -> DataFrame:
-    folder = F.when(F.col("kind") == 7, F.lit("docs/")).otherwise(
-        F.element_at(F.array(*map(F.lit, DIRS)), (F.col("k") % 13 + 1).cast("int"))
+
+FOLDER = f"CASE WHEN kind = 7 THEN 'docs/' ELSE {_array([_literal(d) for d in DIRS])}[k % 13] END"
+STEM = f"{_array([_literal(stem) for stem, _ in NAMES])}[(k div 3) % 17]"
+EXT = f"{_array([_literal(ext) for _, ext in NAMES])}[(k div 3) % 17]"
+GO_SOURCE = (
+    """concat('package p\\nimport (\\n\\t"fmt"\\n\\tal "x/', lang, '"\\n)\\ntype T', doc_id, ' struct {\\n}\\nfunc F', """
+    """doc_id, '(a int) {\\n}\\nfunc hidden() {}\\nconst Max = 1\\n// ', text)"""
+)
+MARKER_ARRAYS = "CASE kind {} END".format(
+    " ".join(
+        "WHEN {} THEN {}".format(
+            kind,
+            _array([f"named_struct('path', {_literal(p)}, 'content', {_literal(c)})" for p, c in entries]),
+        )
+        for kind, entries in MARKERS.items()
     )
-    stems = F.array(*[F.lit(stem) for stem, _ in NAMES])
-    exts = F.array(*[F.lit(ext) for _, ext in NAMES])
-    at = (F.expr("k div 3") % 17 + 1).cast("int")
-    source = F.concat(
-        F.lit('package p\nimport (\n\t"fmt"\n\tal "x/'),
-        "lang",
-        F.lit('"\n)\ntype T'),
-        "doc_id",
-        F.lit(" struct {\n}\nfunc F"),
-        "doc_id",
-        F.lit("(a int) {\n}\nfunc hidden() {}\nconst Max = 1\n// "),
-        "text",
+)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files`` from the documents table: one file per document, plus markers."""
+    docs = (
+        spark.read.schema(DOCUMENTS)
+        .parquet(f"{sf_dir}/documents.parquet")
+        .selectExpr(
+            "concat(source, '-', lang) AS project", "doc_id", "lang", "text",
+            "CAST(doc_id div 20 AS INT) AS k", f"CAST({KIND} AS INT) AS kind",
+        )
     )
-    ext = F.element_at(exts, at)
-    placed = docs.select(
+    own = docs.selectExpr("*", f"{EXT} AS ext").selectExpr(
         "project",
-        F.concat(folder, F.element_at(stems, at), F.lit("_"), F.col("doc_id").cast("string"), ext).alias("path"),
-        F.when(ext == ".go", source).otherwise(F.col("text")).alias("content"),
+        f"concat({FOLDER}, {STEM}, '_', doc_id, ext) AS path",
+        f"CASE WHEN ext = '.go' THEN {GO_SOURCE} ELSE text END AS content",
+    )
+    markers = (
+        docs.select("project", "kind").distinct().selectExpr("project", f"inline({MARKER_ARRAYS})")
+    )
+    return own.unionByName(markers).selectExpr(
+        "project", "path", "CAST(octet_length(content) AS BIGINT) AS size", "content"
     )
-    return placed.select("project", "path", F.octet_length("content").cast("bigint").alias("size"), "content")
-
-
-def _marker_files(docs: DataFrame) -> DataFrame:
-    marker = F.array().cast("array<struct<path:string,content:string>>")
-    for kind, entries in MARKERS.items():
-        rows = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in entries])
-        marker = F.when(F.col("kind") == kind, rows).otherwise(marker)
-    found = docs.select("project", "kind").distinct().select("project", F.inline(marker))
-    return found.select("project", "path", F.octet_length("content").cast("bigint").alias("size"), "content")
 
 
 def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files`` from the pages table: host as project, page id and URL path as path."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet")
     rest = F.regexp_replace("url", "^[a-z]+://", "")
     bare = F.regexp_replace(rest, r"[?#][\s\S]*", "")
     return pages.select(
