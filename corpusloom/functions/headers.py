@@ -94,29 +94,6 @@ def stub_summary(lang: Column) -> Column:
     return F.concat(label, F.lit(NOT_IMPLEMENTED))
 
 
-def header(content: Column, lang: Column) -> Column:
-    """Header struct of one file, dispatched on its language."""
-    found = symbols(content)
-    none = F.array().cast("array<string>")
-    go = F.struct(
-        found["functions"].alias("functions"),
-        found["types"].alias("types"),
-        found["constants"].alias("constants"),
-        found["dependencies"].alias("dependencies"),
-        counted_summary(F.size(found["types"]), F.size(found["functions"]), F.size(found["constants"])).alias(
-            "summary"
-        ),
-    )
-    stub = F.struct(
-        none.alias("functions"),
-        none.alias("types"),
-        none.alias("constants"),
-        none.alias("dependencies"),
-        stub_summary(lang).alias("summary"),
-    )
-    return F.when(lang == "go", go.cast(HEADER_TYPE)).otherwise(stub.cast(HEADER_TYPE))
-
-
 def line_blocks(content: Column) -> Column:
     """Array of ``(line, in_block)`` structs; the flag is true from the line after an opening
     ``import (`` up to and including the closing ``)``.

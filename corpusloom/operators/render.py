@@ -124,19 +124,46 @@ def headers_body(path: Column, lang: Column, header: Column) -> Column:
     )
 
 
-def file_section(mode: str | Column, texts: Texts = TEXTS) -> Column:
-    """Section of a row with ``path, lang, content, skipped``.
+def with_header(files: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds ``header``, the header struct of a row with ``lang, content``.
 
-    The header is only extracted where the mode asks for it.
+    The symbols are a column of their own, so that each regular expression runs
+    once per file however often the header is read; rows that are no Go source
+    (or not ``wanted``) hand it no text.
     """
-    path, lang, content = F.col("path"), F.col("lang"), F.col("content")
-    full = full_body(path, content)
-    short = headers_body(path, lang, headers.header(content, lang))
-    if isinstance(mode, str):
-        shown = short if mode == HEADERS else full
+    lang = F.col("lang")
+    is_go = (lang == "go") if wanted is None else (lang == "go") & wanted
+    found = files.withColumn("__symbols", headers.symbols(F.when(is_go, F.col("content"))))
+
+    def listing(name: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.coalesce(F.col(f"__symbols.{name}"), none).alias(name)
+
+    counted = headers.counted_summary(
+        F.size("__symbols.types"), F.size("__symbols.functions"), F.size("__symbols.constants")
+    )
+    summary = F.when(lang == "go", counted).otherwise(headers.stub_summary(lang))
+    names = ("functions", "types", "constants", "dependencies")
+    header = F.struct(*[listing(name) for name in names], summary.alias("summary"))
+    return found.withColumn("header", header).drop("__symbols")
+
+
+def with_section(files: DataFrame, mode: str | Column, texts: Texts = TEXTS) -> DataFrame:
+    """Adds ``markdown``, the section of a row with ``path, lang, content, skipped``.
+
+    Headers are only extracted where the mode asks for them.
+    """
+    path, lang = F.col("path"), F.col("lang")
+    full = full_body(path, F.col("content"))
+    if isinstance(mode, str) and mode != HEADERS:
+        rows, shown = files, full
     else:
-        shown = F.when(mode == HEADERS, short).otherwise(full)
-    return _join(file_title(path), F.when(F.col("skipped"), F.lit(skipped_body(texts))).otherwise(shown))
+        short_mode = F.lit(True) if isinstance(mode, str) else mode == HEADERS
+        rows = with_header(files, short_mode & ~F.col("skipped"))
+        short = headers_body(path, lang, F.col("header"))
+        shown = F.when(short_mode, short).otherwise(full)
+    section = F.when(F.col("skipped"), F.lit(skipped_body(texts))).otherwise(shown)
+    return rows.select(*files.columns, _join(file_title(path), section).alias("markdown"))
 
 
 # --- rows ----------------------------------------------------------------------------
@@ -178,7 +205,7 @@ def file_fragments(
 ) -> DataFrame:
     """The sections of files, in tree order unless another ``key`` is given."""
     place = paths.tree_key(F.col("path"), F.lit(False)) if key is None else key
-    return fragments(files, file_section(mode, texts), part, unit, step, place)
+    return fragments(with_section(files, mode, texts), F.col("markdown"), part, unit, step, place)
 
 
 def output_name(filename: Column, append_timestamp: Column, run_ts: Column) -> Column:

@@ -30,8 +30,13 @@ JS_TYPES = ("js", "angular", "browser-extension")
 SUBPROJECT_PARTS = 6
 
 
-def number(fragments: DataFrame, sizes: DataFrame | None = None, max_rows: int = MAX_SECTIONS) -> DataFrame:
-    """``(project, ord, markdown)`` with ``ord`` counting from 1 in each project."""
+def number(fragments: DataFrame, files: DataFrame, max_rows: int = MAX_SECTIONS) -> DataFrame:
+    """``(project, ord, markdown)`` with ``ord`` counting from 1 in each project.
+
+    Which projects are too large for one task is judged by their number of
+    ``files``, which costs less than counting fragments.
+    """
+    sizes = files.groupBy("project").agg(F.count("*").alias("n"))
     numbered = with_position(fragments, ["project"], list(render.ORDER), "ord", max_rows, sizes)
     return numbered.select("project", "ord", "markdown")
 

@@ -76,12 +76,14 @@ SELECT project, row_number() OVER (PARTITION BY project ORDER BY step, key, line
 
 @query("document_lines", document_sql("remove", "", "SELECT project, type AS kind FROM types WHERE status = 'ok'"))
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.number(jobs.document(corpus(spark, sf), PROFILE, run_ts()))
+    files = corpus(spark, sf)
+    return jobs.number(jobs.document(files, PROFILE, run_ts()), files)
 
 
 @query("document_go", document_sql("stub", "", "SELECT project, 'Go проект' AS kind FROM types WHERE type = 'go'"))
 def document_go(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.number(jobs.document_go(corpus(spark, sf), PROFILE, run_ts()))
+    files = corpus(spark, sf)
+    return jobs.number(jobs.document_go(files, PROFILE, run_ts()), files)
 
 
 @query(
@@ -94,7 +96,8 @@ def document_go(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def document_js(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.number(jobs.document_js(corpus(spark, sf), PROFILE, run_ts()))
+    files = corpus(spark, sf)
+    return jobs.number(jobs.document_js(files, PROFILE, run_ts()), files)
 
 
 @query(
@@ -137,7 +140,7 @@ SELECT project, row_number() OVER (PARTITION BY project ORDER BY part, unit, ste
 )
 def document_monorepo(spark: SparkSession, sf: str) -> DataFrame:
     files = wide(spark, sf)
-    return jobs.number(jobs.document_monorepo(files, choices(corpus(spark, sf)), PROFILE, run_ts()))
+    return jobs.number(jobs.document_monorepo(files, choices(corpus(spark, sf)), PROFILE, run_ts()), files)
 
 
 @query(

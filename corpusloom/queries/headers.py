@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import headers
 from corpusloom.functions.languages import language
+from corpusloom.operators import render
 from corpusloom.queries.registry import FILES, language_sql, query
 from corpusloom.sources.derived import corpus
 
@@ -82,15 +83,14 @@ def go_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("header_summary", f"WITH {FILES}, {LINES_SQL} SELECT * FROM headers")
 def header_summary(spark: SparkSession, sf: str) -> DataFrame:
-    header = headers.header(F.col("content"), language(F.col("path")))
-    files = corpus(spark, sf).select("project", "path", header.alias("h"))
+    files = render.with_header(corpus(spark, sf).withColumn("lang", language(F.col("path"))))
     return files.select(
         "project",
         "path",
-        F.size("h.functions").cast("bigint").alias("n_functions"),
-        F.size("h.types").cast("bigint").alias("n_types"),
-        F.size("h.constants").cast("bigint").alias("n_constants"),
-        F.size("h.dependencies").cast("bigint").alias("n_dependencies"),
-        F.array_join("h.dependencies", ",").alias("dependencies"),
-        "h.summary",
+        F.size("header.functions").cast("bigint").alias("n_functions"),
+        F.size("header.types").cast("bigint").alias("n_types"),
+        F.size("header.constants").cast("bigint").alias("n_constants"),
+        F.size("header.dependencies").cast("bigint").alias("n_dependencies"),
+        F.array_join("header.dependencies", ",").alias("dependencies"),
+        "header.summary",
     )

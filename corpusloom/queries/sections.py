@@ -95,7 +95,7 @@ WHOLE = Profile(include_tests=True, include_docs=True, excluded_patterns=(), out
 )
 def section_file_full(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf).withColumns({"lang": language(F.col("path")), "skipped": F.lit(False)})
-    return files.select("project", "path", render.file_section(render.FULL).alias("markdown"))
+    return render.with_section(files, render.FULL).select("project", "path", "markdown")
 
 
 HEADERS_SQL = f"""
@@ -120,7 +120,7 @@ short AS (
 @query("section_file_headers", f"WITH {FILES}, {LINES_SQL}, {HEADERS_SQL} SELECT * FROM short")
 def section_file_headers(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf).withColumns({"lang": language(F.col("path")), "skipped": F.lit(False)})
-    return files.select("project", "path", render.file_section(render.HEADERS).alias("markdown"))
+    return render.with_section(files, render.HEADERS).select("project", "path", "markdown")
 
 
 @query(
@@ -129,7 +129,7 @@ def section_file_headers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def section_skipped(spark: SparkSession, sf: str) -> DataFrame:
     files = scan.classify(corpus(spark, sf), STUBS).filter("skipped")
-    return files.select("project", "path", render.file_section(render.FULL).alias("markdown"))
+    return render.with_section(files, render.FULL).select("project", "path", "markdown")
 
 
 @query(
@@ -144,7 +144,7 @@ def section_mode(spark: SparkSession, sf: str) -> DataFrame:
     """The documentation mode as a column of the row."""
     files = corpus(spark, sf).withColumns({"lang": language(F.col("path")), "skipped": F.lit(False)})
     mode = F.when(F.col("project").endswith("-en"), F.lit(render.HEADERS)).otherwise(F.lit(render.FULL))
-    return files.select("project", "path", render.file_section(mode).alias("markdown"))
+    return render.with_section(files, mode).select("project", "path", "markdown")
 
 
 @query(

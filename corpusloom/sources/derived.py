@@ -83,11 +83,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CAST(doc_id div 20 AS INT) AS k", f"CAST({KIND} AS INT) AS kind",
         )
     )
-    own = docs.selectExpr("*", f"{EXT} AS ext").selectExpr(
-        "project",
-        f"concat({FOLDER}, {STEM}, '_', doc_id, ext) AS path",
-        f"CASE WHEN ext = '.go' THEN {GO_SOURCE} ELSE text END AS content",
-    )
+    # As a generated column the path is computed once per row; as a projected one
+    # every later filter would repeat its whole expression.
+    own = docs.selectExpr(
+        "project", "doc_id", "lang", "text", f"{EXT} AS ext",
+        f"explode(array(concat({FOLDER}, {STEM}, '_', doc_id, {EXT}))) AS path",
+    ).selectExpr("project", "path", f"CASE WHEN ext = '.go' THEN {GO_SOURCE} ELSE text END AS content")
     markers = (
         docs.select("project", "kind").distinct().selectExpr("project", f"inline({MARKER_ARRAYS})")
     )
