@@ -8,29 +8,36 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.plans.skew import salted_join
+
 # Rows of one group one task may sort; larger groups are cut into ranges.
 MAX_ROWS = 1_000_000
 
 # Sampled keys per range.
 SAMPLES = 40
 
+# Ranges of one group; beyond this the ranges grow instead of their number.
+MAX_RANGES = 10_000
 
-def with_position(
+# Entries of a driver-built table that may be sent to every task.
+MAX_BROADCAST = 500_000
+
+
+def in_ranges(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    name: str = "ord",
+    name: str = "range",
     max_rows: int = MAX_ROWS,
     sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Adds the 1-based position of each row in its group, ordered by ``order``.
+) -> DataFrame | None:
+    """Adds the number of each row's key range within its group; None if no group needs cutting.
 
-    Groups of at most ``max_rows`` rows are numbered by one window each. A
-    larger group is cut into key ranges: cut points come from a hash sample of
-    its keys, each range is numbered by itself and shifted by the number of rows
-    in the ranges before it. The result is exact whatever the sample looks like;
-    the sample only balances the work. The driver sees at most one row per
-    ``max_rows`` input rows.
+    Groups of at most ``max_rows`` rows have the single range 0. The cut points
+    of a larger one come from a hash sample of its keys, so they balance the
+    ranges but decide nothing else: ranges are disjoint and ordered whatever
+    the sample looks like. The driver sees at most one row per ``max_rows``
+    input rows, and one task collects at most ``SAMPLES * MAX_RANGES`` keys.
 
     ``sizes`` (group columns and ``n``) replaces counting ``df`` when the caller
     has cheaper counts of the same magnitude.
@@ -39,30 +46,61 @@ def with_position(
     counts = sizes if sizes is not None else df.groupBy(*group).agg(F.count("*").alias("n"))
     large = counts.filter(F.col("n") > max_rows).collect()
     if not large:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-
-    cuts, longest = _cut_points(df, group, order, large, max_rows)
+        return None
+    cuts, points, longest = _cut_points(df, group, order, large, max_rows)
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    ranged = (
-        df.join(cuts, group, "left")
-        .withColumn("__range", F.when(F.col("__cuts").isNull(), 0).otherwise(_range_of("__cuts", key, longest)))
-        .drop("__cuts")
-    )
+    found = _lookup(df, cuts, points, group, order, "left")
+    at = F.coalesce(_range_of("__cuts", key, longest), F.lit(0))
+    return found.withColumn(name, at).drop("__cuts")
+
+
+def with_position(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    name: str = "ord",
+    max_rows: int = MAX_ROWS,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Adds the 1-based position of each row in its group, ordered by ``order``.
+
+    Rows are numbered per group, or per range of a group that is too large for
+    one task (see ``in_ranges``) and then shifted by the number of rows in the
+    ranges before it.
+    """
+    group, order = list(group), list(order)
+    ranged = in_ranges(df, group, order, "__range", max_rows, sizes)
+    if ranged is None:
+        return df.withColumn(name, _row_number(group, order))
     filled = ranged.groupBy(*group, "__range").agg(F.count("*").alias("__rows"))
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = filled.select(
         *group, "__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
     )
-    local = Window.partitionBy(*group, "__range").orderBy(*order)
     return (
-        ranged.withColumn(name, F.row_number().over(local).cast("bigint"))
+        ranged.withColumn(name, _row_number([*group, "__range"], order))
         .join(offsets, [*group, "__range"])
         .withColumn(name, F.col(name) + F.col("__before"))
         .drop("__range", "__before")
     )
 
 
+def _row_number(group: list[str], order: list[str]) -> Column:
+    return F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
+
+
+def _lookup(
+    df: DataFrame, small: DataFrame, entries: int, group: list[str], order: list[str], how: str
+) -> DataFrame:
+    """Joins a table the driver built, whose number of entries it therefore knows.
+
+    Up to ``MAX_BROADCAST`` entries go to every task; more are met by salted keys.
+    """
+    if entries <= MAX_BROADCAST:
+        return df.join(F.broadcast(small), group, how)
+    return salted_join(df, small, group, how, spread=order)
+
+
 def _range_of(cuts: str, key: Column, longest: int) -> Column:
     """How many cut points are at or below ``key``, by binary search."""
     between = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
@@ -82,25 +120,30 @@ def _range_of(cuts: str, key: Column, longest: int) -> Column:
 
 def _cut_points(
     df: DataFrame, group: list[str], order: list[str], large: list[Row], max_rows: int
-) -> tuple[DataFrame, int]:
-    """One row per large group with its sorted array of cut points, and the longest array's length."""
+) -> tuple[DataFrame, int, int]:
+    """One row per large group with its sorted array of cut points, their number, the longest array."""
     spark = df.sparkSession
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    groups = T.StructType([T.StructField(g, kinds[g]) for g in group])
+    groups = [T.StructField(g, kinds[g]) for g in group]
     keys = T.StructType([T.StructField(f"k{i}", kinds[c]) for i, c in enumerate(order)])
-    wanted = spark.createDataFrame([tuple(row[g] for g in group) for row in large], groups)
+    # Of each large group one key in ``step`` is kept, about SAMPLES of them per range.
+    steps = [max(1, max(max_rows, row["n"] // MAX_RANGES) // SAMPLES) for row in large]
+    wanted = spark.createDataFrame(
+        [(*[row[g] for g in group], step) for row, step in zip(large, steps)],
+        T.StructType([*groups, T.StructField("__step", T.LongType())]),
+    )
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    # One key in ``step`` is kept, which leaves about SAMPLES of them per range.
-    step = max(1, max_rows // SAMPLES)
-    sample = (
-        df.select(*dict.fromkeys([*group, *order]))
-        .join(wanted, group, "left_semi")
-        .filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    keyed = df.select(*dict.fromkeys([*group, *order]))
+    sample = _lookup(keyed, wanted, len(large), group, order, "inner").filter(
+        F.pmod(F.xxhash64(*order), F.col("__step")) == 0
     )
     every = min(SAMPLES, max_rows)
-    cuts = F.filter("keys", lambda _, i: (i % every == 0) & (i > 0))
-    rows = sample.select(*group, cuts.alias("__cuts")).collect()
-    schema = T.StructType([*groups.fields, T.StructField("__cuts", T.ArrayType(keys))])
-    return spark.createDataFrame(rows, schema), max((len(r["__cuts"]) for r in rows), default=0)
+    rows = (
+        sample.groupBy(*group)
+        .agg(F.array_sort(F.collect_list(key)).alias("keys"))
+        .select(*group, F.filter("keys", lambda _, i: (i % every == 0) & (i > 0)).alias("__cuts"))
+        .collect()
+    )
+    lengths = [len(r["__cuts"]) for r in rows]
+    schema = T.StructType([*groups, T.StructField("__cuts", T.ArrayType(keys))])
+    return spark.createDataFrame(rows, schema), sum(lengths), max(lengths, default=0)

@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.render import ORDER
+from corpusloom.plans.ranking import in_ranges
 
+MAX_SECTIONS = 50_000
 
-def write_documents(fragments: DataFrame, path: str, name: str) -> None:
-    """Writes ``<path>/project=<project>/document=<name>/part-*.txt``.
 
-    A project's document is the concatenation of its part files in name order.
-    Rows are range-partitioned by project and place, so a small project is one
-    file and a huge one several, each written by its own task. Text crosses the
-    network once.
+def write_documents(
+    fragments: DataFrame, path: str, files: DataFrame, max_rows: int = MAX_SECTIONS
+) -> None:
+    """Writes ``<path>/project=<project>/piece=<n>/part-*.txt``.
+
+    A project's document is the concatenation of its pieces by number. Most have
+    one; a project of more than ``max_rows`` files is cut into several, each
+    sorted and written by its own task. The text crosses the network once, and
+    finding the cut points reads the ordering columns only.
     """
-    place = ["project", *ORDER]
-    ordered = fragments.repartitionByRange(*place).sortWithinPartitions(*place)
+    sizes = files.groupBy("project").agg(F.count("*").alias("n"))
+    ranged = in_ranges(fragments, ["project"], ORDER, "piece", max_rows, sizes)
+    if ranged is None:
+        ranged = fragments.withColumn("piece", F.lit(0))
+    # The partition columns lead the sort, so the writer keeps the order as it is.
+    columns = {"project": F.coalesce("project", F.lit("")), "piece": F.coalesce("piece", F.lit(0))}
+    ordered = (
+        ranged.withColumns(columns)
+        .repartition("project", "piece")
+        .sortWithinPartitions("project", "piece", *ORDER)
+    )
     # Every fragment ends in a newline, which the text writer adds itself.
     body = F.expr("left(markdown, length(markdown) - 1)").alias("value")
-    ordered.select("project", F.lit(name).alias("document"), body).write.partitionBy("project", "document").text(path)
+    ordered.select("project", "piece", body).write.partitionBy("project", "piece").text(path)
