@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,46 +18,41 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("path", paths.normalize(F.col("path")))
 
 
-def read_folder(
+def read_visible(
     spark: SparkSession,
     root: str,
     max_file_size: int,
     project: str | None = None,
     name_glob: str | None = None,
-    keep_unreadable: bool = False,
 ) -> DataFrame:
-    """Files below ``root``, read in parallel; text only up to ``max_file_size`` bytes.
+    """Files below ``root`` by Spark's own binary file reader.
 
-    Each directory directly below ``root`` is one project, unless ``project``
-    names the whole of it. Larger files stay as rows without content: their
-    bytes are never read, as the size test is pushed into the scan. With
-    ``keep_unreadable`` the same holds for files that fail to open.
+    That reader never returns empty files and names that start with a dot or an
+    underscore; use ``folders.read_folder`` where they matter. Each directory
+    directly below ``root`` is one project, unless ``project`` names the whole.
+    Files over ``max_file_size`` bytes stay as rows without content: their bytes
+    are never read, as the size test is pushed into the scan.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     rows = reader.load(root)
     small = rows.filter(F.col("length") <= max_file_size).select(
-        "path", "length", F.col("content").cast("string").alias("content")
+        "path", F.col("length").alias("size"), F.col("content").cast("string").alias("content")
+    )
+    large = rows.filter(F.col("length") > max_file_size).select(
+        "path", F.col("length").alias("size"), F.lit(None).cast("string").alias("content")
     )
-    if keep_unreadable:
-        readable = reader.option("ignoreCorruptFiles", "true").load(root)
-        bodies = readable.filter(F.col("length") <= max_file_size).select(
-            "path", F.col("content").cast("string").alias("content")
-        )
-        files = rows.select("path", "length").join(bodies, "path", "left")
-    else:
-        large = rows.filter(F.col("length") > max_file_size).select(
-            "path", "length", F.lit(None).cast("string").alias("content")
-        )
-        files = small.unionByName(large)
-    base = globs.quote(root.split(":", 1)[-1].rstrip("/"))
-    inner = F.regexp_replace("path", rf"^(?:[a-z0-9+.-]+:)?(?://[^/]*)?/*?{base}/", "")
+    return with_project(small.unionByName(large), root, project)
+
+
+def with_project(files: DataFrame, root: str, project: str | None) -> DataFrame:
+    """Paths relative to their project, which is ``project`` or the first directory below ``root``."""
+    base = globs.quote(re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/"))
+    inner = F.regexp_replace("path", rf"^(?:[a-z0-9+.-]+:)?(?://[^/]+(?=/))?/*{base.lstrip('/')}/", "")
     owner: Column = F.lit(project) if project else F.substring_index(inner, "/", 1)
     local = inner if project else F.regexp_replace(inner, "^[^/]*/", "")
-    return files.select(
-        owner.alias("project"), local.alias("path"), F.col("length").alias("size"), F.col("content")
-    )
+    return files.select(owner.alias("project"), local.alias("path"), "size", "content")
 
 
 def with_path_parts(files: DataFrame) -> DataFrame:
