@@ -122,12 +122,17 @@ def compile_rules(profiles: DataFrame) -> DataFrame:
     )
 
 
+def _finds(path: Column, regex: str) -> Column:
+    """The row's own regex finds a match. Unlike ``rlike``, this keeps the compiled pattern between rows."""
+    return F.regexp_instr(path, F.col(regex)) > 0
+
+
 def is_selected(path: Column) -> Column:
     """Selection by the compiled profile columns of the row."""
     mode = F.col("selection_mode")
     return (
-        F.when((mode == "list") & (F.size("included_paths") > 0), F.rlike(path, F.col("roots_re")))
-        .when((mode == "patterns") & (F.size("include_patterns") > 0), F.rlike(path, F.col("patterns_re")))
+        F.when((mode == "list") & (F.size("included_paths") > 0), _finds(path, "roots_re"))
+        .when((mode == "patterns") & (F.size("include_patterns") > 0), _finds(path, "patterns_re"))
         .otherwise(True)
     )
 
@@ -158,7 +163,7 @@ def decide(files: DataFrame, profiles: DataFrame, config_stem: str = Profile().c
         & ~rules.is_own_config(path, config_stem)
         & ~outputs
         & ~leftovers
-        & ~F.rlike(path, F.col("exclude_re"))
+        & ~_finds(path, "exclude_re")
         & is_selected(path)
     )
     listed = F.exists(important, lambda item: path.endswith(item))

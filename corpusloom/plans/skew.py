@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Spark's own size estimate of ``df`` is within ``spark.sql.autoBroadcastJoinThreshold``."""
+    if not hasattr(df, "_jdf"):
+        return False
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= limit
+
+
 def salted_join(
     facts: DataFrame,
     dims: DataFrame,
@@ -20,13 +29,16 @@ def salted_join(
 ) -> DataFrame:
     """Joins many ``facts`` to ``dims`` with few rows per key.
 
-    The rows of one key are split by a hash of the ``spread`` columns and the
-    matching ``dims`` row is repeated once per split, so a project or directory
+    Small ``dims`` (a stored table has its size on disk as estimate) are left to
+    Spark, which sends them to every task without moving the facts. Otherwise the
+    facts of one key are split by a hash of the ``spread`` columns and the
+    matching ``dims`` rows repeated once per split, so a project or directory
     holding a third of all files is worked on by many tasks. The salt is a
     function of the row alone: a lost executor's tasks recompute the same split.
-    There is no broadcast hint; Spark broadcasts ``dims`` when its size
-    statistics allow. ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti.
     """
+    if fits_broadcast(dims):
+        return facts.join(dims, list(on), how)
     salt = "__salt"
     left = facts.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = dims.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -62,7 +62,7 @@ def select_patterns(spark: SparkSession, sf: str) -> DataFrame:
         .filter("patterns IS NOT NULL")
         .withColumn("re", globs.regex_column(F.col("patterns"), "paths"))
     )
-    return salted_join(files, rows, ["project"]).filter(F.rlike(F.col("path"), F.col("re"))).select("project", "path")
+    return salted_join(files, rows, ["project"]).filter(F.regexp_instr("path", F.col("re")) > 0).select("project", "path")
 
 
 VISIBLE = Profile(excluded_patterns=("temp_*",), output_filename="", include_docs=True)

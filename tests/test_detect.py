@@ -197,3 +197,13 @@ def test_dependencies(spark):
     data = files(spark, ("package.json", '{"vue": 1, "@angular/core": 2}'))
     got = {r["dependency"] for r in detect.dependencies(data, ["vue", "react", "@angular/core"]).collect()}
     assert got == {"vue", "@angular/core"}
+
+
+def test_text_is_read_for_manifests_only(spark, tmp_path):
+    build(spark, CASES).write.parquet(str(tmp_path / "f"))
+    plan = detect.project_types(spark.read.parquet(str(tmp_path / "f")))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    slim, manifests = sorted(scans, key=lambda line: "content" in line)
+    assert "content" not in slim
+    assert "EqualTo(path,package.json)" in manifests

@@ -22,6 +22,24 @@ def test_query_equals_oracle(spark, con, sf_dir, name):
     assert diff is None, diff
 
 
+SALTED = (
+    "select_list", "select_patterns", "bulk_select", "profile_decisions", "tree_last_sibling", "tree_lines",
+    "subproject_files", "subproject_pick", "section_monorepo", "document_lines",
+)
+
+
+@pytest.mark.parametrize("name", SALTED)
+def test_salted_plans_give_the_same(spark, con, sf_dir, name):
+    """Without broadcasts every lookup takes the way it takes for tables beyond the limit."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        diff = difference(spark, con, sf_dir, contract.queries()[name], contract.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert diff is None, diff
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["project", "lang", "n_files", "n_bytes"] and df.count() > 0

@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.ranking import in_ranges, with_position
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import fits_broadcast, salted_join
+from corpusloom.session import materialize
 
 
 def skewed(spark):
@@ -66,7 +67,10 @@ def test_large_driver_tables_are_met_by_salted_keys(spark, monkeypatch):
 def test_salted_join_equals_plain_join(spark, how):
     facts = skewed(spark).withColumnRenamed("k", "path")
     dims = spark.createDataFrame([("hot", 1), ("g3", 2), ("none", 3)], "g string, v int")
-    got = salted_join(facts, dims, ["g"], how, salts=8)
+    salted = facts.groupBy("g").count().filter("g IN ('hot', 'g3')").drop("count").unionByName(dims.select("g").filter("g = 'none'"))
+    wide = salted.join(dims, "g")
+    assert not fits_broadcast(wide)
+    got = salted_join(facts, wide, ["g"], how, salts=8)
     want = facts.join(dims, "g", how)
     assert sorted(got.columns) == sorted(want.columns)
     want = want.select(*got.columns)
@@ -89,3 +93,13 @@ def test_salted_join_spreads_the_hot_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_small_stored_table_is_broadcast_unsalted(spark):
+    facts = skewed(spark).withColumnRenamed("k", "path")
+    dims = materialize(facts.groupBy("g").agg(F.count("*").alias("n")), "dims")
+    assert fits_broadcast(dims)
+    plan = salted_join(facts, dims, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "salt" not in plan
+    facts_side = plan[: plan.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning" not in facts_side
