@@ -13,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import ship_package
+
 NEVER = r"[^\s\S]"
 
 _SPECIAL = frozenset("\\.^$|?*+()[]{}")
@@ -161,6 +163,7 @@ def regex_column(arrays: Column, kind: str) -> Column:
 
     For rule *tables*: one call per profile row, never per file.
     """
+    ship_package(SparkSession.active())
     build = {"names": names_regex, "paths": paths_regex, "roots": roots_regex}[kind]
 
     @F.pandas_udf(T.StringType())

@@ -11,6 +11,7 @@ from corpusloom.functions import globs, paths, rules
 from corpusloom.functions.languages import language
 from corpusloom.functions.rules import Profile
 from corpusloom.plans.skew import salted_join
+from corpusloom.session import materialize, ship_package
 from corpusloom.sources.files import is_unread
 
 # Defaults of the settings that are not rules.
@@ -113,13 +114,19 @@ def _exclude_regex(excludes: pd.Series, important: pd.Series) -> pd.Series:
 
 
 def compile_rules(profiles: DataFrame) -> DataFrame:
-    """Adds the regexes of each profile's pattern lists: one Python call per *profile* batch."""
+    """A stored copy of the profiles with the regexes of their pattern lists.
+
+    Python is called once per profile, and the stored table has a known size:
+    if it is small every task gets it, else it is met by salted keys.
+    """
+    ship_package(profiles.sparkSession)
     excludes = effective_excludes(F.col("excluded_patterns"), F.col("output_filename"), F.col("include_docs"))
-    return (
+    compiled = (
         profiles.withColumn("exclude_re", _exclude_regex(excludes, F.col("important_files")))
         .withColumn("roots_re", globs.regex_column(F.col("included_paths"), "roots"))
         .withColumn("patterns_re", globs.regex_column(F.col("include_patterns"), "paths"))
     )
+    return materialize(compiled, "profiles")
 
 
 def _finds(path: Column, regex: str) -> Column:

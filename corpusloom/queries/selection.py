@@ -10,6 +10,7 @@ from corpusloom.functions.rules import Profile
 from corpusloom.operators import saved, scan, selection
 from corpusloom.plans.skew import salted_join
 from corpusloom.queries.registry import FILES, default_user_sql, excluded_sql, query
+from corpusloom.session import materialize
 from corpusloom.sources.derived import corpus
 
 # Each project lists a folder, a folder with a slash, and two of its files.
@@ -55,13 +56,11 @@ def select_patterns(spark: SparkSession, sf: str) -> DataFrame:
     lists = F.when(lang == "en", F.array(F.lit("**/*.go"), F.lit("docs/*.md"))).when(
         lang == "fr", F.array(F.lit("src/**/*.ts*"))
     )
-    rows = (
-        files.select("project")
-        .distinct()
-        .select("project", lists.alias("patterns"))
-        .filter("patterns IS NOT NULL")
-        .withColumn("re", globs.regex_column(F.col("patterns"), "paths"))
+    projects = files.select("project").distinct().select("project", lists.alias("patterns"))
+    compiled = projects.filter("patterns IS NOT NULL").select(
+        "project", globs.regex_column(F.col("patterns"), "paths").alias("re")
     )
+    rows = materialize(compiled, "patterns")
     return salted_join(files, rows, ["project"]).filter(F.regexp_instr("path", F.col("re")) > 0).select("project", "path")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import MAX_DEPTH
-from corpusloom.session import materialize
+from corpusloom.session import materialize, ship_package
 
 ENTRIES = "path string, is_dir boolean, size bigint"
 BODIES = "path string, size bigint, content string"
@@ -81,6 +81,7 @@ def list_folder(
 
     ``prune`` says of a relative directory path that it is not to be entered.
     """
+    ship_package(spark)
     _, base = _open(root)
     frontier = spark.createDataFrame([(base,)], "path string")
     relative = F.expr(f"substring(path, {len(base.rstrip('/')) + 2})")
