@@ -36,7 +36,8 @@ def depth(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """From the last dot of the last segment, dot included; empty if none."""
-    return F.regexp_extract(path, r"(\.[^./]*)\z", 1)
+    name = base_name(path)
+    return F.when(name.contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
 
 
 def prefixes(path: Column, include_self: bool) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import globs
-from corpusloom.functions.paths import base_name, depth, extension
+from corpusloom.functions.paths import base_name, depth
 
 # Names excluded wherever they occur, as file or directory.
 SYSTEM_NAMES = (
@@ -90,23 +92,37 @@ def effective_excludes(profile: Profile) -> list[str]:
 # --- name rules: these remove a file -------------------------------------------------
 
 
+def _names(patterns: Sequence[str]) -> str:
+    """Regex for one whole segment that matches any of the globs.
+
+    ``*.ext`` globs, the most common kind, share one look back from the end of
+    the segment instead of scanning it once each.
+    """
+    endings = [p[1:] for p in patterns if p[:1] == "*" and len(p) > 1 and not set(p[1:]) & set("*?[\\")]
+    others = [globs.name_regex(p) for p in patterns if p[1:] not in endings or p[:1] != "*"]
+    if endings:
+        others.append(f"[^/]*+(?<={'|'.join(map(globs.quote, endings))})")
+    return "|".join(others)
+
+
 def exclude_regex(patterns: Sequence[str], important: Sequence[str], directory: bool) -> str:
     """Regex over a whole path that finds a match when the path is excluded.
 
-    ``patterns`` are effective excludes. Patterns without a slash apply to every segment, patterns with one to the
-    path and to each directory above it. ``directory`` says whether the last
-    segment is a directory. An important name is never excluded by itself but
-    goes with an excluded directory above it.
+    ``patterns`` are effective excludes. Patterns without a slash apply to every
+    segment, patterns with one to the path and to each directory above it.
+    ``directory`` says whether the last segment is a directory. An important
+    name is never excluded by itself but goes with an excluded directory above
+    it.
     """
     keep = "|".join(globs.quote(name) for name in important)
     end = r"(?:/|\z)"
     guard = f"(?!(?:{keep}){end})" if keep else ""
-    names = "|".join(globs.name_regex(p) for p in dict.fromkeys(patterns) if "/" not in p)
-    dirs = "|".join(globs.name_regex(p) for p in SYSTEM_DIRS)
-    alternatives = [f"(?:^|/){guard}(?:{dirs})" + (end if directory else "/")]
-    if names:
-        alternatives.append(f"(?:^|/){guard}(?:{names}){end}")
-    wholes = "|".join(globs.path_regex(p) for p in dict.fromkeys(patterns) if "/" in p)
+    patterns = list(dict.fromkeys(patterns))
+    names = _names([p for p in patterns if "/" not in p])
+    dirs = "(?:" + "|".join(map(globs.quote, SYSTEM_DIRS)) + ")" + (end if directory else "/")
+    segment = f"(?:{names}){end}|{dirs}" if names else dirs
+    alternatives = [f"(?:^|/){guard}(?:{segment})"]
+    wholes = "|".join(globs.path_regex(p) for p in patterns if "/" in p)
     if wholes:
         not_kept = rf"(?!(?:[\s\S]*/)?(?:{keep})\z)" if keep else ""
         alternatives += [rf"^(?:{wholes})/[\s\S]", rf"^{not_kept}(?:{wholes})\z"]
@@ -177,16 +193,22 @@ def is_kept(path: Column, profile: Profile) -> Column:
 # --- type rules ----------------------------------------------------------------------
 
 
+def _ends(path: Column, extensions: Sequence[str]) -> Column:
+    """The extension, in any case, is one of those listed."""
+    lower = F.lower(path)
+    return reduce(or_, [lower.endswith(ext) for ext in extensions])
+
+
 def is_style(path: Column) -> Column:
-    return F.lower(extension(path)).isin(*STYLE_EXTENSIONS)
+    return _ends(path, STYLE_EXTENSIONS)
 
 
 def is_markup(path: Column) -> Column:
-    return F.lower(extension(path)).isin(*MARKUP_EXTENSIONS)
+    return _ends(path, MARKUP_EXTENSIONS)
 
 
 def is_config(path: Column) -> Column:
-    return F.lower(extension(path)).isin(*CONFIG_EXTENSIONS) | F.lower(base_name(path)).contains("config")
+    return _ends(path, CONFIG_EXTENSIONS) | F.lower(base_name(path)).contains("config")
 
 
 def is_test(path: Column) -> Column:
@@ -195,7 +217,7 @@ def is_test(path: Column) -> Column:
 
 
 def is_doc(path: Column) -> Column:
-    return F.lower(extension(path)).isin(*DOC_EXTENSIONS)
+    return _ends(path, DOC_EXTENSIONS)
 
 
 CATEGORIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import HOT_CONTENTS, HOT_ROWS, salted_join
 
 
 def targets_above(files: DataFrame, targets: DataFrame) -> DataFrame:
@@ -25,6 +25,6 @@ def targets_above(files: DataFrame, targets: DataFrame) -> DataFrame:
 
 def per_directory(files: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
     """Joins ``facts`` with one row per ``(project, parent)`` to the files of that directory."""
-    return salted_join(
-        files.withColumn("parent", paths.parent(F.col("path"))), facts, ["project", "parent"], how
-    ).drop("parent")
+    placed = files.withColumn("parent", paths.parent(F.col("path")))
+    hot_rows = HOT_CONTENTS if "content" in files.columns else HOT_ROWS
+    return salted_join(placed, facts, ["project", "parent"], how, hot_rows=hot_rows).drop("parent")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SALTS = 32
+# Rows of one key that one task may join; keys with more are split.
+HOT_ROWS = 500_000
+
+# The same for rows that carry file contents.
+HOT_CONTENTS = 50_000
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -25,21 +31,38 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = ("path",),
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Joins many ``facts`` to ``dims`` with few rows per key.
 
     Small ``dims`` (a stored table has its size on disk as estimate) are left to
-    Spark, which sends them to every task without moving the facts. Otherwise the
-    facts of one key are split by a hash of the ``spread`` columns and the
-    matching ``dims`` rows repeated once per split, so a project or directory
-    holding a third of all files is worked on by many tasks. The salt is a
-    function of the row alone: a lost executor's tasks recompute the same split.
-    ``how`` is inner, left, left_semi or left_anti.
+    Spark, which sends them to every task without moving the facts. Otherwise
+    the keys with more than ``hot_rows`` facts are looked up first. Their facts
+    are split by a hash of the ``spread`` columns and their ``dims`` rows
+    repeated once per split, so a project or directory holding a third of all
+    files is worked on by many tasks; all other keys are joined as they are.
+    The driver sees one row per hot key, at most one per ``hot_rows`` facts. The
+    salt is a function of the row alone: a lost executor's tasks recompute the
+    same split. ``how`` is inner, left, left_semi or left_anti.
     """
+    on = list(on)
     if fits_broadcast(dims):
-        return facts.join(dims, list(on), how)
-    salt = "__salt"
-    left = facts.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = dims.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, salt], how).drop(salt)
+        return facts.join(dims, on, how)
+    counts = facts.groupBy(*on).agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") > hot_rows).collect()
+    if not hot:
+        return facts.join(dims, on, how)
+    kinds = {f.name: f.dataType for f in facts.schema.fields}
+    splits = facts.sparkSession.createDataFrame(
+        [(*[row[c] for c in on], math.ceil(row["n"] / hot_rows)) for row in hot],
+        T.StructType([*[T.StructField(c, kinds[c]) for c in on], T.StructField("__splits", T.IntegerType())]),
+    )
+    n = F.coalesce("__splits", F.lit(1))
+    left = facts.join(F.broadcast(splits), on, "left").withColumn(
+        "__salt", F.pmod(F.xxhash64(*spread), n).cast("int")
+    )
+    right = dims.join(F.broadcast(splits), on, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), n - 1))
+    )
+    joined = left.drop("__splits").join(right.drop("__splits"), [*on, "__salt"], how)
+    return joined.drop("__salt")

@@ -29,8 +29,9 @@ SALTED = (
 
 
 @pytest.mark.parametrize("name", SALTED)
-def test_salted_plans_give_the_same(spark, con, sf_dir, name):
+def test_salted_plans_give_the_same(spark, con, sf_dir, name, monkeypatch):
     """Without broadcasts every lookup takes the way it takes for tables beyond the limit."""
+    monkeypatch.setattr("corpusloom.plans.skew.salted_join.__defaults__", ("inner", ("path",), 4))
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

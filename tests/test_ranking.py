@@ -70,7 +70,7 @@ def test_salted_join_equals_plain_join(spark, how):
     salted = facts.groupBy("g").count().filter("g IN ('hot', 'g3')").drop("count").unionByName(dims.select("g").filter("g = 'none'"))
     wide = salted.join(dims, "g")
     assert not fits_broadcast(wide)
-    got = salted_join(facts, wide, ["g"], how, salts=8)
+    got = salted_join(facts, wide, ["g"], how, hot_rows=50)
     want = facts.join(dims, "g", how)
     assert sorted(got.columns) == sorted(want.columns)
     want = want.select(*got.columns)
@@ -86,7 +86,7 @@ def test_salted_join_spreads_the_hot_key(spark):
         facts = skewed(spark).withColumnRenamed("k", "path")
         dims = facts.groupBy("g").agg(F.count("*").alias("n"))
         sizes = (
-            salted_join(facts, dims, ["g"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+            salted_join(facts, dims, ["g"], hot_rows=200).groupBy(F.spark_partition_id().alias("p")).count().collect()
         )
         assert max(r["count"] for r in sizes) < 1000
     finally:
