@@ -15,6 +15,9 @@ HOT_ROWS = 500_000
 # The same for rows that carry file contents.
 HOT_CONTENTS = 50_000
 
+# Hot keys that are listed and sent to every task.
+MAX_HOT_KEYS = 200_000
+
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Spark's own size estimate of ``df`` is within ``spark.sql.autoBroadcastJoinThreshold``."""
@@ -50,6 +53,10 @@ def salted_join(
         return facts.join(dims, on, how)
     counts = facts.groupBy(*on).agg(F.count("*").alias("n"))
     hot = counts.filter(F.col("n") > hot_rows).collect()
+    # Ever larger keys only, until their list is small enough to send to every task.
+    while len(hot) > MAX_HOT_KEYS:
+        hot_rows *= 2
+        hot = [row for row in hot if row["n"] > hot_rows]
     if not hot:
         return facts.join(dims, on, how)
     kinds = {f.name: f.dataType for f in facts.schema.fields}
