@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.paths import split_list
 from corpusloom.plans.ranking import MAX_ROWS, with_position
 from corpusloom.schemas import SELECTION_LOG
 
@@ -88,6 +89,45 @@ def load(log: DataFrame, name: str = "") -> DataFrame:
     return current(log).filter(F.col("key") == key_of(F.lit(name)))
 
 
+def dispatch(profiles: DataFrame, requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Profiles with the selection their project's request asks for, and a ``status``.
+
+    ``requests`` is ``(project, use_last, name, paths)``, one row per project,
+    any field unset. The first that is set decides: the most recent save (all
+    files if there is none), a saved selection by name (``not_found`` if there
+    is none), a comma-separated list of paths. Otherwise the profile's own mode
+    stays, unknown modes becoming ``all``.
+    """
+    asked = requests.withColumn("key", key_of(F.coalesce("name", F.lit(""))))
+    newest = last(log).select("project", F.col("paths").alias("last_paths"), F.lit(True).alias("has_last"))
+    named = current(log).select("project", "key", F.col("paths").alias("named_paths"), F.lit(True).alias("has_named"))
+    known = (
+        profiles.join(asked, "project", "left").join(newest, "project", "left").join(named, ["project", "key"], "left")
+    )
+    is_last = F.coalesce("use_last", F.lit(False))
+    is_name = ~is_last & (F.coalesce("key", F.lit("")) != "")
+    by_last = is_last | (is_name & (F.col("key") == LAST))
+    by_paths = ~is_last & ~is_name & (F.coalesce("paths", F.lit("")) != "")
+    found = F.when(by_last, F.col("has_last")).when(is_name, F.col("has_named"))
+    none = F.array().cast("array<string>")
+    paths = (
+        F.when(by_last & F.col("has_last"), F.coalesce("last_paths", none))
+        .when(is_name & ~by_last & F.col("has_named"), F.coalesce("named_paths", none))
+        .when(by_paths, split_list(F.col("paths")))
+        .otherwise(F.col("included_paths"))
+    )
+    own = F.when(F.col("selection_mode").isin("list", "patterns", "interactive"), F.col("selection_mode"))
+    mode = (
+        F.when(found | by_paths, F.lit("list"))
+        .when(is_last, F.lit("all"))
+        .when(is_name, F.col("selection_mode"))
+        .otherwise(F.coalesce(own, F.lit("all")))
+    )
+    status = F.when(is_name & found.isNull(), F.lit("not_found")).otherwise(F.lit("ok"))
+    changed = {"selection_mode": mode.alias("selection_mode"), "included_paths": paths.alias("included_paths")}
+    return known.select(*[changed.get(c, F.col(c)) for c in profiles.columns], status.alias("status"))
+
+
 def catalogue(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Existing selections in key order: ``project, ord, key, name, description, n_paths, label``."""
     names = current(log).filter(F.col("key") != LAST)

@@ -304,3 +304,47 @@ FROM newest WHERE op = 'save' AND key <> 'last'
 )
 def selection_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return saved.catalogue(log(spark, sf))
+
+
+MODE_SQL = "CASE n % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'patterns' WHEN 2 THEN 'unknown' ELSE 'list' END"
+REQUESTS_SQL = {
+    "use_last": "CASE WHEN n % 7 = 0 THEN true WHEN n % 7 = 1 THEN false END",
+    "name": "CASE n % 7 WHEN 1 THEN 'click 1' WHEN 2 THEN 'last' WHEN 3 THEN 'nothing' WHEN 4 THEN '' WHEN 0 THEN 'view 2' END",
+    "paths": "CASE WHEN n % 7 IN (1, 4, 5) THEN ' a , b/' END",
+}
+
+
+@query(
+    "selection_dispatch",
+    f"""
+WITH {LOG_SQL},
+asked AS (
+  SELECT project, {MODE_SQL} AS own, {", ".join(f"{sql} AS {name}" for name, sql in REQUESTS_SQL.items())}
+  FROM (SELECT project, count(*) AS n FROM log GROUP BY project)
+),
+lasts AS (SELECT * FROM log WHERE op = 'save' QUALIFY row_number() OVER (PARTITION BY project ORDER BY seq DESC) = 1),
+way AS (
+  SELECT *, CASE WHEN use_last THEN 'last' WHEN name = 'last' THEN 'last' WHEN name <> '' THEN 'name'
+                 WHEN paths <> '' THEN 'paths' ELSE 'own' END AS way FROM asked
+)
+SELECT w.project,
+       CASE WHEN way = 'last' AND l.project IS NOT NULL THEN 'list' WHEN use_last THEN 'all'
+            WHEN way = 'name' AND s.project IS NOT NULL THEN 'list' WHEN way IN ('name', 'last') THEN own
+            WHEN way = 'paths' THEN 'list' WHEN own IN ('list', 'patterns', 'interactive') THEN own ELSE 'all' END AS selection_mode,
+       CASE WHEN way = 'last' AND l.project IS NOT NULL THEN array_to_string(l.paths, ',')
+            WHEN way = 'name' AND s.project IS NOT NULL THEN array_to_string(s.paths, ',')
+            WHEN way = 'paths' THEN 'a,b/' ELSE 'cfg' END AS included_paths,
+       CASE WHEN (way = 'name' AND s.project IS NULL) OR (way = 'last' AND l.project IS NULL AND use_last IS NOT TRUE)
+            THEN 'not_found' ELSE 'ok' END AS status
+FROM way w LEFT JOIN lasts l ON l.project = w.project
+LEFT JOIN newest s ON s.project = w.project AND s.op = 'save' AND s.key = replace(w.name, ' ', '_')
+""",
+)
+def selection_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """What each user asked for decides over what the user's profile says."""
+    entries = log(spark, sf)
+    counted = entries.groupBy("project").agg(F.count("*").alias("n"))
+    own = counted.select("project", F.expr(MODE_SQL).alias("selection_mode"), F.array(F.lit("cfg")).alias("included_paths"))
+    requests = counted.select("project", *[F.expr(sql).alias(name) for name, sql in REQUESTS_SQL.items()])
+    chosen = saved.dispatch(own, requests, entries)
+    return chosen.withColumn("included_paths", F.array_join("included_paths", ","))

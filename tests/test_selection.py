@@ -211,3 +211,30 @@ def test_store_export_import(spark, log, tmp_path):
         "p": (100, "save", "my_set", "my_set", ["d"], None, 3),
         "q": (100, "save", "my_set", "my set", [], None, 3),
     }
+
+
+def test_requests_decide_over_profiles(spark, log):
+    own = spark.createDataFrame(
+        [(p, "patterns", ["own"]) for p in "pqrstu"] + [("v", "odd", [])],
+        "project string, selection_mode string, included_paths array<string>",
+    )
+    requests = spark.createDataFrame(
+        [
+            ("p", True, "my set", "x"),  # the last save wins over name and paths
+            ("q", None, "my set", "x"),
+            ("r", True, None, None),  # nothing was ever saved
+            ("s", None, "gone", None),
+            ("t", None, "", " a, b "),
+        ],
+        "project string, use_last boolean, name string, paths string",
+    )
+    got = {r["project"]: (r["selection_mode"], r["included_paths"], r["status"]) for r in saved.dispatch(own, requests, log).collect()}
+    assert got == {
+        "p": ("list", ["d"], "ok"),
+        "q": ("list", [], "ok"),
+        "r": ("all", ["own"], "ok"),
+        "s": ("patterns", ["own"], "not_found"),
+        "t": ("list", ["a", "b"], "ok"),
+        "u": ("patterns", ["own"], "ok"),
+        "v": ("all", [], "ok"),
+    }
