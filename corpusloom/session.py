@@ -61,7 +61,10 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, whose Python helpers import it. Once per application."""
+    """Sends this package to the executors, whose Python helpers import it. Once per application.
+
+    The archive is made where the driver runs; Spark hands it to the executors.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
