@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+
+from corpusloom.llm import substring_dedup, tables
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def expected(docs, window):
+    """By a dictionary of every window; a null id is the largest."""
+    split = [(i, WORD.findall((t or "").encode())) for i, t in docs]
+    least = {}
+    for i, words in split:
+        key = 1 << 63 if i is None else i
+        for at in range(len(words) - window + 1):
+            w = tuple(words[at : at + window])
+            least[w] = min(least.get(w, key), key)
+    out = []
+    for i, words in split:
+        key, gone = 1 << 63 if i is None else i, set()
+        for at in range(len(words) - window + 1):
+            if least[tuple(words[at : at + window])] < key:
+                gone.update(range(at, at + window))
+        kept = b" ".join(w for at, w in enumerate(words) if at not in gone)
+        out.append((i, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in tables.read(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in substring_dedup.op4(spark, sf_dir).collect()), key=repr)
+    want = expected(docs, substring_dedup.WINDOW)
+    assert got == want and any(r[2] for r in want)
+
+
+P = "p1 p2 p3 p4 p5 p6 p7 p8 p9"
+DOCS = [
+    (5, f"a b {P} c d"), (3, f"x {P} y z {P}"), (9, P), (7, None), (8, ""), (10, "p1 p2 p3"), (None, f"é {P} ß"),
+    (11, "o " * 500), (12, "o " * 300 + "q"), (9, P), (9, f"z {P} a"), (13, f"p2 p3 p4 p5 p6 p7  {P}\x0b{P}\x00 {P}"),
+]
+
+
+@pytest.mark.parametrize("hot_runs", [50_000, 2, 0])
+@pytest.mark.parametrize("chunk", [1 << 20, 30])
+def test_edge_cases(spark, hot_runs, chunk):
+    docs = spark.createDataFrame([(i, t, "z", 1) for i, t in DOCS], "doc_id long, text string, owner string, id int")
+    got = substring_dedup.remove_repeats(docs, window=6, minimiser=3, hot_runs=hot_runs, chunk_bytes=chunk).collect()
+    rows = [(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got]
+    assert sorted(rows, key=repr) == expected(DOCS, 6)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert substring_dedup.remove_repeats(docs).count() == 0
