@@ -2,6 +2,7 @@
 
 from corpusloom.llm import (  # noqa: F401
     decontamination,
+    jaccard_join,
     substring_dedup,
 )
 from corpusloom.llm.registry import ORACLES, QUERIES
