@@ -2,6 +2,7 @@
 
 from corpusloom.llm import (  # noqa: F401
     decontamination,
+    fingerprints,
     jaccard_join,
     substring_dedup,
 )
