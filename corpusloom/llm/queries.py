@@ -4,6 +4,7 @@ from corpusloom.llm import (  # noqa: F401
     decontamination,
     fingerprints,
     jaccard_join,
+    lm_scoring,
     substring_dedup,
 )
 from corpusloom.llm.registry import ORACLES, QUERIES

@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from corpusloom.llm import lm_scoring as lm
+from corpusloom.llm import tables
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def tokens(text):
+    return [*WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())), "end"]
+
+
+def rest(doc):
+    return zlib.crc32(str(doc).encode()) % 7 if doc is not None else 0
+
+
+def counted(docs):
+    words, pairs = Counter(), Counter()
+    for _, text in docs:
+        own = tokens(text)
+        words.update(own)
+        pairs.update(zip(["start", *own], own))
+    words["start"] = words["end"]
+    return words, pairs
+
+
+def expected(docs):
+    """Plain dictionaries; the weights by expectation-maximisation over single tokens."""
+    train = [d for d in docs if rest(d[0]) != 2]
+    words, pairs = counted(train)
+    total = sum(n for w, n in words.items() if w != "start")
+    types = sum(n > 0 for w, n in words.items() if w != "start")
+    c_words, c_pairs = counted([d for d in train if rest(d[0]) != 3])
+    c_total = max(1, sum(n for w, n in c_words.items() if w != "start"))
+    by_class = {}
+    for doc, text in train:
+        if rest(doc) == 3:
+            own = tokens(text)
+            for h, w in zip(["start", *own], own):
+                n = c_words[h]
+                by_class.setdefault(n.bit_length(), []).append((c_pairs[h, w] / n if n else 0, c_words[w] / c_total, 1 / (types + 1)))
+    weights = {}
+    for k in range(lm.CLASSES):
+        p, w = np.array(by_class.get(k, [])).reshape(-1, 3), np.array([1 / 3] * 3 if k else [0, 0.5, 0.5])
+        for _ in range(lm.ROUNDS):
+            share = w * p
+            gained = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 1
+            gained[0] *= bool(k)
+            w = gained / gained.sum()
+        weights[k] = w
+    out = {}
+    for doc, text in docs:
+        own = tokens(text)
+        base = sum(math.log10((words[w] + 1) / (total + types + 1)) for w in own)
+        score = 0.0
+        for h, w in zip(["start", *own], own):
+            n, (a, b, c) = words[h], weights[words[h].bit_length()]
+            score += math.log10(a * (pairs[h, w] / n if n else 0) + b * words[w] / max(total, 1) + c / (types + 1))
+        out[doc] = (rest(doc) == 2, len(own), sum(words[w] > 0 for w in own), total, base, score)
+    return out
+
+
+def check(df, docs):
+    got, want = df.collect(), expected(docs)
+    assert len(got) == len(docs) and {r["doc_id"] for r in got} == set(want)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert tuple(r)[1:5] == w[:4]
+        assert r["base_score"] == pytest.approx(w[4], rel=1e-9)
+        assert r["score"] == pytest.approx(w[5], rel=5e-3)
+    return got
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in tables.read(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    got = check(lm.op5(spark, sf_dir), docs)
+    held = [r for r in got if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+DOCS = [(i, t) for i, t in enumerate(["a b a b", "A  B\tc", "", None, "x", "a " * 300, "é ß a b"] * 6)] + [(None, "a b zz")]
+
+
+@pytest.mark.parametrize("batch,ranges", [(1 << 20, 1 << 20), (20, 10)])
+def test_edge_cases(spark, batch, ranges):
+    df = spark.createDataFrame([(i, t, 1, "q") for i, t in DOCS], "doc_id long, text string, id int, part string")
+    check(lm.score_documents(df, batch_tokens=batch, range_tokens=ranges), DOCS)
+
+
+def test_repeated_rows(spark):
+    docs = [(1, "a b"), (1, "a b"), (1, "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in lm.score_documents(df).collect()) == [2, 3, 3]
+
+
+def test_nothing_to_learn_from(spark):
+    doc = next(i for i in range(100) if rest(i) == 2)
+    df = spark.createDataFrame([(doc, "a b")], "doc_id long, text string")
+    r = lm.score_documents(df).first()
+    assert (r["n_known"], r["train_tokens"]) == (0, 0) and math.isfinite(r["score"]) and r["base_score"] == 0
+    assert lm.score_documents(df.limit(0)).count() == 0
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    cell = rng.integers(0, 5, 40) * lm.STEPS**2 + rng.integers(0, lm.STEPS**2, 40)
+    weights = lm.fit_weights(np.sort(cell), rng.integers(1, 9, 40), rng.random(40), rng.random(40), 1000)
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[1:] > 0).all() and weights[0, 0] == 0
