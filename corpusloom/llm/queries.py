@@ -5,7 +5,9 @@ from corpusloom.llm import (  # noqa: F401
     fingerprints,
     jaccard_join,
     lm_scoring,
+    sharding,
     substring_dedup,
+    url_filter,
 )
 from corpusloom.llm.registry import ORACLES, QUERIES
 
