@@ -5,6 +5,7 @@ from corpusloom.llm import (  # noqa: F401
     fingerprints,
     jaccard_join,
     lm_scoring,
+    pieces,
     sharding,
     substring_dedup,
     url_filter,
