@@ -6,6 +6,7 @@ from corpusloom.llm import (  # noqa: F401
     jaccard_join,
     lm_scoring,
     pieces,
+    quality,
     sharding,
     substring_dedup,
     url_filter,
