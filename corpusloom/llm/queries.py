@@ -4,6 +4,7 @@ from corpusloom.llm import (  # noqa: F401
     decontamination,
     fingerprints,
     jaccard_join,
+    line_dedup,
     lm_scoring,
     pieces,
     quality,
