@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm import tables
 from corpusloom.llm.components import components
 from corpusloom.llm.registry import query
-from corpusloom.llm.words import PLAIN, mix, sequence_hashes, window_hashes, words_of
+from corpusloom.llm.words import PLAIN, by_text, mix, sequence_hashes, window_hashes, words_of
 
 #: Longest extension of a prefix.
 MAX_MATCHES = 4
 #: Shingles whose counts shape the order: so many at most, 16 bytes each.
 FREQUENT = 1 << 17
 #: Shingles among which a task counts at a time; those seen fewer than three times there count as rare.
-COUNT_BLOCK = 4 << 20
+COUNT_BLOCK = 2 << 20
 #: Cost of verifying a candidate, in list entries read.
 VERIFY_COST = 50
 _LAST = (1 << 63) - 1
@@ -63,7 +63,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray,
     short = np.flatnonzero((counts > 0) & (counts < width))
     text = np.concatenate([words.text[: len(full)][valid], short])
     shingles = np.concatenate([full[valid], sequence_hashes(hashes, first[short], first[short] + counts[short])])
-    order = np.lexsort((shingles, text))
+    order = by_text(text, shingles)
     text, shingles = text[order], shingles[order]
     new = np.ones(len(text), dtype=bool)
     new[1:] = (text[1:] != text[:-1]) | (shingles[1:] != shingles[:-1])
@@ -134,7 +134,7 @@ def _prefixes(width: int, percent: int, most: int, frequent: np.ndarray, seen: n
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
                 often = np.where(frequent[at] == shingles, seen[at], 0)
-            order = np.lexsort((shingles, often, text))
+            order = by_text(text, often, shingles)
             text, shingles = text[order], shingles[order]
             own = np.bincount(text, minlength=n_texts)
             place = np.arange(len(text)) - (np.cumsum(own) - own)[text]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom import session
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -31,12 +31,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 to base**(n-1); kept between calls."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        _powers.clear() if size > 1 << 26 else None
-        _powers[int(base)] = have
+        if size <= 1 << 22:  # those of a very long text are not kept
+            _powers[int(base)] = have
     return have[:n]
 
 
@@ -68,6 +68,15 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * powers(_INVERSE, n))
 
 
+def by_text(text: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Order by text number, then by ``keys``; texts are few, so their numbers are sorted by counting."""
+    order = np.argsort(keys[-1])
+    for key in keys[-2::-1]:
+        order = order[np.argsort(key[order], kind="stable")]
+    small = text.astype(np.uint16) if not len(text) or text.max() < 1 << 16 else text
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values."""
     n = len(values) - width + 1
