@@ -175,10 +175,8 @@ def _compatible(n: str, m: str, percent: int) -> F.Column:
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most: int = MAX_MATCHES,
-) -> DataFrame:
-    """One row per document: ``id_col, n_shingles, component_id``; links have a Jaccard similarity of ``percent`` or more."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Every document as ``id, owner, text_hash, n, node``, and ``node, class, name`` of the nodes that have shingles."""
     tables.on_executors(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(
         "id", F.coalesce("id", F.lit(_LAST)).alias("owner"), F.xxhash64("text").alias("text_hash"), "text"
@@ -251,13 +249,39 @@ def similar_documents(
     nodes = members.where("n > 0").groupBy("node").agg(F.min("owner").alias("least"))
     named = nodes.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node"))
     names = named.groupBy("class").agg(F.min("least").alias("name"))
-    names = tables.store(named.select("node", "class").join(names, "class").select("node", "name"), "class-names")
+    return members, tables.store(named.select("node", "class").join(names, "class"), "class-names")
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most: int = MAX_MATCHES,
+) -> DataFrame:
+    """One row per document: ``id_col, n_shingles, component_id``; links have a Jaccard similarity of ``percent`` or more."""
+    members, names = _classes(docs, id_col, text_col, width, percent, most)
     name = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("owner"))
     return members.join(names, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(name < _LAST, name).alias("component_id")
     )
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, that are alone or the first of their class, by id and then by a hash of the text."""
+    members, names = _classes(docs, id_col, text_col, width, percent, MAX_MATCHES)
+    rows = members.where("n > 0").join(names, "node").select("class", "owner", "text_hash")
+    first = rows.groupBy("class").agg(F.min(F.struct("owner", "text_hash")).alias("first"))
+    gone = rows.join(first, "class").where((F.col("owner") != F.col("first.owner")) | (F.col("text_hash") != F.col("first.text_hash")))
+    gone = gone.select(F.col("owner").alias("__o"), F.col("text_hash").alias("__h")).distinct()
+    owner, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(text_col)
+    kept = docs.join(gone, (owner == F.col("__o")) & (text_hash == F.col("__h")), "left_anti")
+    repeated = rows.groupBy("owner", "text_hash").count().where("count > 1")
+    if not repeated.isEmpty():
+        # Rows that repeat both id and text: one of them stays.
+        repeated = repeated.select(F.col("owner").alias("__o"), F.col("text_hash").alias("__h"))
+        same = (owner == F.col("__o")) & (text_hash == F.col("__h"))
+        once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept
+
+
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(tables.read(spark, sf_dir, "documents"), width=4, percent=85)

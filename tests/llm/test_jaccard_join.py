@@ -76,6 +76,19 @@ def test_edge_cases(spark, percent, width, most):
     assert got(jaccard_join.similar_documents(df, width=width, percent=percent, most=most)) == expected(docs, width, percent)
 
 
+def test_one_of_each_stays(spark):
+    docs = near_copies() + [(14, "other"), (0, None), (0, None)]
+    df = spark.createDataFrame([(t, i, 1, "x") for i, t in docs], "text string, doc_id long, node int, owner string")
+    kept = jaccard_join.first_of_each(df, width=4, percent=85)
+    name = {r[:2]: r for r in expected(docs, 4, 85)}
+    assert kept.columns == df.columns
+    rows = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    empty = [d for d in docs if not shingles(d[1], 4)]
+    classes = len({r[2] for r in expected([d for d in docs if shingles(d[1], 4)], 4, 85)})
+    assert len(rows) == classes + len(empty) + 1 and len(name) > classes  # id 14 has two classes
+    assert len({r for r in rows if shingles(r[1], 4)}) == classes + 1
+
+
 def test_order_does_not_matter(spark, monkeypatch):
     import numpy as np
 
