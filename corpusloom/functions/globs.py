@@ -4,7 +4,8 @@ The translation runs once per pattern on the driver (or once per profile row);
 matching itself is a plain ``rlike`` on the executors.
 
 ``*`` and ``?`` stay within a segment, ``[a-z]`` and ``[^a-z]`` are classes,
-``\\`` escapes. A segment that is exactly ``**`` stands for zero or more
+``\\`` escapes in globs on names; in globs on paths it is another slash, as in
+stored paths, and a class (``[*]``) takes a character literally. A segment that is exactly ``**`` stands for zero or more
 directories. A malformed pattern matches nothing.
 """
 

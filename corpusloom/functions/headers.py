@@ -19,12 +19,13 @@ LINE = rf"(?dm)^{BLANK}*"
 # the end of the text; or a whole block written on one line.
 IMPORT_BLOCK = (
     rf"{LINE}import{BLANK}*\("
-    r'(?:(?:[^)\n"]*"[^"\n]*")+[^)\n"]*\)[^\n]*'
+    r'(?:(?:[^)\n"`]*(?:"[^"\n]*"|`[^`\n]*`))+[^)\n"`]*\)[^\n]*'
     rf"|[\s\S]*?(?:\n{BLANK}*\){BLANK}*(?=\n|\z)|\z))"
 )
-SINGLE_IMPORT = rf'{LINE}import{BLANK}+(?:[^\s"(]+{BLANK}+)?"[^"\n]+"'
+SINGLE_IMPORT = rf'{LINE}import{BLANK}+(?:[^\s"`(]+{BLANK}+)?(?:"[^"\n]+"|`[^`\n]+`)'
 COMMENT_LINE = rf"{LINE}//[^\n]*"
-FIRST_QUOTED = r'(?dm)^[^"\n]*"([^"\n]+)"'
+QUOTED = r'["`]([^"`\n]+)["`]'
+FIRST_QUOTED = rf'(?dm)^[^"`\n]*{QUOTED}'
 
 # What a declaration of an exported symbol looks like.
 FUNCTION = rf"{LINE}func{BLANK}+([A-Z][^(\n]*)\("
@@ -55,9 +56,13 @@ def imports(content: Column) -> Column:
     code = F.regexp_replace(content, COMMENT_LINE, "")
     either = rf"{IMPORT_BLOCK}|{SINGLE_IMPORT}"
     statements = F.regexp_extract_all(code, F.lit(either), F.lit(0))
-    # In a block the path of a line is its quoted text; the same holds for a
-    # single import, so both kinds of statement are read alike.
-    return F.flatten(F.transform(statements, lambda s: F.regexp_extract_all(s, F.lit(FIRST_QUOTED), F.lit(1))))
+    # In a block the path of a line is its first quoted text; a statement on one
+    # line, in parentheses or not, has all its quoted texts as paths.
+    def paths(s: Column) -> Column:
+        first, every = (F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in (FIRST_QUOTED, QUOTED))
+        return F.when(F.trim(s).contains("\n"), first).otherwise(every)
+
+    return F.flatten(F.transform(statements, paths))
 
 
 def body(content: Column) -> Column:

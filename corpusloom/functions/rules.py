@@ -38,13 +38,10 @@ MARKUP_EXTENSIONS = (".html", ".htm")
 CONFIG_EXTENSIONS = (".json", ".yaml", ".yml")
 DOC_EXTENSIONS = (".md", ".markdown")
 
-# The default profile.
+# The default profile. The size is what a stored profile without one resolves to.
 DEFAULT_MAX_FILE_SIZE = 2 * 1024 * 1024
 DEFAULT_EXCLUDED = (".gitignore", ".DS_Store", "Thumbs.db", "*.log", "*.tmp", "*.bak")
 
-# Entries of directories nested deeper than this many levels are left out.
-MAX_DEPTH = 20
-
 SELECTION_MODES = ("all", "interactive", "patterns", "list")
 
 
@@ -53,10 +50,13 @@ class Profile:
     """Rules for one run, the same for every project.
 
     ``config_stem`` marks the engine's own config files: any name containing it
-    is left out.
+    is left out; an empty one marks none. Files over ``max_file_size`` bytes are
+    shown without content, and entries of directories nested deeper than
+    ``max_depth`` levels are left out; both are off unless set.
     """
 
-    max_file_size: int = DEFAULT_MAX_FILE_SIZE
+    max_file_size: int | None = None
+    max_depth: int | None = None
     include_tests: bool = False
     include_configs: bool = True
     include_markup: bool = True
@@ -143,7 +143,7 @@ def is_pruned(directory: Column, profile: Profile) -> Column:
 
 def is_own_config(path: Column, stem: str) -> Column:
     """Some name on the path carries the engine's own config stem, in any case."""
-    return F.lower(path).contains(stem.lower())
+    return F.lower(path).contains(stem.lower()) if stem else F.lit(False)
 
 
 def is_own_output(name: Column, output_filename: Column, output_stem: Column) -> Column:
@@ -174,15 +174,15 @@ def is_important(name: Column, important: Sequence[str]) -> Column:
     return name.isin(*important) if important else F.lit(False)
 
 
-def within_depth(path: Column) -> Column:
-    return depth(path) <= MAX_DEPTH + 1
+def within_depth(path: Column, max_depth: int | None) -> Column:
+    return F.lit(True) if max_depth is None else depth(path) <= max_depth + 1
 
 
 def is_listed(path: Column, profile: Profile) -> Column:
     """The file survives the name rules of the tree: excludes, own config and outputs, depth."""
     outputs = is_own_output(base_name(path), F.lit(profile.output_filename), F.lit(profile.output_stem))
     own = is_own_config(path, profile.config_stem) | outputs
-    return within_depth(path) & ~own & ~is_excluded(path, profile)
+    return within_depth(path, profile.max_depth) & ~own & ~is_excluded(path, profile)
 
 
 def is_kept(path: Column, profile: Profile) -> Column:

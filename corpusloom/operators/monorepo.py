@@ -13,7 +13,7 @@ from corpusloom.functions.rules import Profile
 from corpusloom.operators.tree import BRANCH, GAP, LAST_BRANCH, PIPE
 from corpusloom.plans.ancestry import per_directory, targets_above
 from corpusloom.plans.ranking import MAX_ROWS, with_position
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import join_facts
 from corpusloom.sources.files import is_unread
 
 # The folders sub-projects live in, in listing order; their marker file.
@@ -70,8 +70,7 @@ def pick(numbered: DataFrame, choices: DataFrame) -> DataFrame:
     )
     columns = numbered.columns
     some = numbered.join(numbers, ["project", "idx"]).select(*columns, "pick")
-    # One typed line per project against all its sub-projects: a salted lookup.
-    whole = salted_join(numbered, typed.filter(everything), ["project"], "left_semi", spread=["root"])
+    whole = join_facts(numbered, typed.filter(everything), ["project"], "left_semi")
     return whole.withColumn("pick", F.col("idx")).unionByName(some)
 
 
@@ -89,7 +88,7 @@ def important_root_files(files: DataFrame, important: Sequence[str], profile: Pr
     found = files.filter(F.col("path").isin(*important)) if important else files.limit(0)
     placed = found.select("*", F.posexplode(names).alias("__at", "__name")).filter("__name = path")
     unread = F.coalesce(
-        is_unread(F.col("size"), F.col("content"), F.lit(profile.max_file_size)), F.lit(True)
+        is_unread(F.col("size"), F.col("content"), profile.max_file_size), F.lit(True)
     ) | rules.is_own_config(F.col("path"), profile.config_stem)
     return (
         placed.withColumn("pos", (F.col("__at") + 1).cast("bigint"))
@@ -138,11 +137,10 @@ def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> Dat
         pick = F.expr(place.get("pick", "0")).cast("bigint").alias("pick")
         return df.select("project", F.lit(part).alias("part"), *keys, pick, line.alias("line"))
 
-    members = salted_join(
+    members = join_facts(
         subs.select("project", "type", "name", "root", "pick"),
         typed.select("project", "type", "last_sub", "closes"),
         ["project", "type"],
-        spread=["root", "pick"],
     )
     member_line = F.concat(
         F.when(F.col("closes"), F.lit(GAP)).otherwise(F.lit(PIPE)),
@@ -150,7 +148,7 @@ def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> Dat
         F.col("name"),
     )
     type_line = F.concat(_connector(F.col("closes")), F.col("type"), F.lit("/"))
-    files = salted_join(roots.select("project", "path"), last_file, ["project"])
+    files = join_facts(roots.select("project", "path"), last_file, ["project"])
     file_line = F.concat(_connector(F.col("path") == F.col("last_file")), F.col("path"))
     both = ends.filter("last_type IS NOT NULL AND last_file IS NOT NULL")
     every = (

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import globs, paths, rules
 from corpusloom.functions.languages import language
 from corpusloom.functions.rules import Profile
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import join_facts
 from corpusloom.session import materialize, ship_package
 from corpusloom.sources.files import is_unread
 
@@ -52,7 +52,7 @@ def resolve(projects: DataFrame, overrides: DataFrame) -> DataFrame:
 
     return projects.join(overrides, "project", "left").select(
         "project",
-        F.coalesce(F.nullif(F.col("max_file_size"), F.lit(0)), F.lit(default.max_file_size))
+        F.coalesce(F.nullif(F.col("max_file_size"), F.lit(0)), F.lit(rules.DEFAULT_MAX_FILE_SIZE))
         .cast("bigint")
         .alias("max_file_size"),
         *[flag(name, getattr(default, name)) for name in rules.CATEGORIES],
@@ -117,7 +117,7 @@ def compile_rules(profiles: DataFrame) -> DataFrame:
     """A stored copy of the profiles with the regexes of their pattern lists.
 
     Python is called once per profile, and the stored table has a known size:
-    if it is small every task gets it, else it is met by salted keys.
+    Spark sends it to every task only if it is small.
     """
     ship_package(profiles.sparkSession)
     excludes = effective_excludes(F.col("excluded_patterns"), F.col("output_filename"), F.col("include_docs"))
@@ -149,7 +149,7 @@ def select(files: DataFrame, profiles: DataFrame) -> DataFrame:
     rules_of = compile_rules(profiles).select(
         "project", "selection_mode", "included_paths", "include_patterns", "roots_re", "patterns_re"
     )
-    joined = salted_join(files, rules_of, ["project"])
+    joined = join_facts(files, rules_of, ["project"])
     return joined.filter(is_selected(F.col("path"))).select(*files.columns)
 
 
@@ -160,14 +160,13 @@ def decide(files: DataFrame, profiles: DataFrame, config_stem: str = Profile().c
     itself is not shuffled; join it back by ``(project, path)`` where needed.
     """
     slim = files.select("project", "path", "size", F.col("content").isNull().alias("unreadable"))
-    joined = salted_join(slim, compile_rules(profiles), ["project"])
+    joined = join_facts(slim, compile_rules(profiles), ["project"])
     path, name = F.col("path"), paths.base_name(F.col("path"))
     important = F.col("important_files")
     outputs = rules.is_own_output(name, F.col("output_filename"), output_stem(F.col("output_filename")))
     leftovers = rules.is_leftover(name) & ~F.array_contains(important, name)
     kept = (
-        rules.within_depth(path)
-        & ~rules.is_own_config(path, config_stem)
+        ~rules.is_own_config(path, config_stem)
         & ~outputs
         & ~leftovers
         & ~_finds(path, "exclude_re")

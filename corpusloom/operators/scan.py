@@ -28,7 +28,7 @@ def classify(files: DataFrame, profile: Profile, type_rule: str = "stub") -> Dat
     elif type_rule != "stub":
         raise ValueError(f"type_rule {type_rule!r} is neither 'stub' nor 'remove'")
     unread = F.coalesce(
-        is_unread(F.col("size"), F.col("content"), F.lit(profile.max_file_size)), F.lit(True)
+        is_unread(F.col("size"), F.col("content"), profile.max_file_size), F.lit(True)
     )
     return (
         kept.withColumn("lang", language(path))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths, rules
 from corpusloom.functions.rules import Profile
 from corpusloom.plans.ranking import MAX_ROWS, with_position
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import join_facts
 
 # The pieces of a drawn tree.
 BRANCH, LAST_BRANCH = "├── ", "└── "
@@ -34,7 +34,7 @@ def directories(files: DataFrame, profile: Profile | None = None) -> DataFrame:
     if profile is None:
         return found
     path = F.col("path")
-    return found.filter(rules.within_depth(path) & ~rules.is_pruned(path, profile))
+    return found.filter(rules.within_depth(path, profile.max_depth) & ~rules.is_pruned(path, profile))
 
 
 def nodes(files: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def _is_last() -> Column:
 
 def with_last_flag(tree: DataFrame) -> DataFrame:
     """Adds ``is_last``: no sibling follows."""
-    joined = salted_join(tree, _last_children(tree), ["project", "parent"])
+    joined = join_facts(tree, _last_children(tree), ["project", "parent"])
     return joined.withColumn("is_last", _is_last()).drop("last")
 
 
@@ -77,7 +77,7 @@ def with_lines(tree: DataFrame) -> DataFrame:
     """Adds ``line``, the drawn text of each node."""
     last = _last_children(tree)
     dirs = tree.filter("is_dir")
-    flags = salted_join(dirs, last, ["project", "parent"]).select(
+    flags = join_facts(dirs, last, ["project", "parent"]).select(
         "project", F.col("path").alias("ancestor"), _is_last().alias("ancestor_last")
     )
     # What every line below a directory starts with: one piece per ancestor.
@@ -86,7 +86,7 @@ def with_lines(tree: DataFrame) -> DataFrame:
     ).withColumnRenamed("col", "ancestor")
     piece = F.struct("pos", F.when(F.col("ancestor_last"), F.lit(GAP)).otherwise(F.lit(PIPE)).alias("text"))
     indents = (
-        salted_join(chains, flags, ["project", "ancestor"], spread=["dir"])
+        join_facts(chains, flags, ["project", "ancestor"])
         .groupBy("project", "dir")
         .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
         .select(
@@ -96,7 +96,7 @@ def with_lines(tree: DataFrame) -> DataFrame:
         )
     )
     looks = last.join(indents, ["project", "parent"], "left")
-    drawn = salted_join(tree, looks, ["project", "parent"])
+    drawn = join_facts(tree, looks, ["project", "parent"])
     line = F.concat(
         F.coalesce("indent", F.lit("")),
         F.when(_is_last(), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),

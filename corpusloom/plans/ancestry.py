@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
-from corpusloom.plans.skew import HOT_CONTENTS, HOT_ROWS, salted_join
+from corpusloom.plans.skew import join_facts
 
 
 def targets_above(files: DataFrame, targets: DataFrame) -> DataFrame:
@@ -20,11 +20,10 @@ def targets_above(files: DataFrame, targets: DataFrame) -> DataFrame:
     parents = files.select("project", paths.parent(F.col("path")).alias("parent")).distinct()
     chain = F.concat(F.array(F.lit("")), paths.prefixes(F.col("parent"), include_self=True))
     chains = parents.select("project", "parent", F.explode(chain).alias("target"))
-    return salted_join(chains, targets, ["project", "target"], spread=["parent"])
+    return join_facts(chains, targets, ["project", "target"])
 
 
 def per_directory(files: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
     """Joins ``facts`` with one row per ``(project, parent)`` to the files of that directory."""
     placed = files.withColumn("parent", paths.parent(F.col("path")))
-    hot_rows = HOT_CONTENTS if "content" in files.columns else HOT_ROWS
-    return salted_join(placed, facts, ["project", "parent"], how, hot_rows=hot_rows).drop("parent")
+    return join_facts(placed, facts, ["project", "parent"], how).drop("parent")

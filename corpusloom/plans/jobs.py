@@ -18,7 +18,7 @@ from corpusloom.functions.rules import Profile
 from corpusloom.operators import detect, monorepo, render, scan, tree
 from corpusloom.operators.render import TEXTS, Texts
 from corpusloom.plans.ranking import with_position
-from corpusloom.plans.skew import HOT_CONTENTS, salted_join
+from corpusloom.plans.skew import join_facts
 from corpusloom.session import materialize
 
 # Texts are long, so one task numbers fewer of them than of plain rows.
@@ -41,8 +41,8 @@ def number(fragments: DataFrame, files: DataFrame, max_rows: int = MAX_SECTIONS)
     return numbered.select("project", "ord", "markdown")
 
 
-def _of(rows: DataFrame, projects: DataFrame, spread: str = "path") -> DataFrame:
-    return salted_join(rows, projects.select("project"), ["project"], "left_semi", [spread], HOT_CONTENTS)
+def _of(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    return join_facts(rows, projects.select("project"), ["project"], "left_semi")
 
 
 def _body(

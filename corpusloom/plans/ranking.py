@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import join_facts
 
 # Rows of one group one task may sort; larger groups are cut into ranges.
 MAX_ROWS = 1_000_000
@@ -16,9 +16,6 @@ MAX_ROWS = 1_000_000
 # Sampled keys per range.
 SAMPLES = 40
 
-# Ranges of one group; beyond this the ranges grow instead of their number.
-MAX_RANGES = 10_000
-
 # Entries of a driver-built table that may be sent to every task.
 MAX_BROADCAST = 500_000
 
@@ -36,8 +33,8 @@ def in_ranges(
     Groups of at most ``max_rows`` rows have the single range 0. The cut points
     of a larger one come from a hash sample of its keys, so they balance the
     ranges but decide nothing else: ranges are disjoint and ordered whatever
-    the sample looks like. The driver sees at most one row per ``max_rows``
-    input rows, and one task collects at most ``SAMPLES * MAX_RANGES`` keys.
+    the sample looks like. The driver sees one cut point per ``max_rows`` rows of
+    a large group, and one task sorts ``SAMPLES`` keys for each.
 
     ``sizes`` (group columns and ``n``) replaces counting ``df`` when the caller
     has cheaper counts of the same magnitude.
@@ -94,11 +91,11 @@ def _lookup(
 ) -> DataFrame:
     """Joins a table the driver built, whose number of entries it therefore knows.
 
-    Up to ``MAX_BROADCAST`` entries go to every task; more are met by salted keys.
+    Up to ``MAX_BROADCAST`` entries go to every task; more are joined by key.
     """
     if entries <= MAX_BROADCAST:
         return df.join(F.broadcast(small), group, how)
-    return salted_join(df, small, group, how, spread=order)
+    return join_facts(df, small, group, how)
 
 
 def _range_of(cuts: str, key: Column, longest: int) -> Column:
@@ -127,9 +124,9 @@ def _cut_points(
     groups = [T.StructField(g, kinds[g]) for g in group]
     keys = T.StructType([T.StructField(f"k{i}", kinds[c]) for i, c in enumerate(order)])
     # Of each large group one key in ``step`` is kept, about SAMPLES of them per range.
-    steps = [max(1, max(max_rows, row["n"] // MAX_RANGES) // SAMPLES) for row in large]
+    step = max(1, max_rows // SAMPLES)
     wanted = spark.createDataFrame(
-        [(*[row[g] for g in group], step) for row, step in zip(large, steps)],
+        [(*[row[g] for g in group], step) for row in large],
         T.StructType([*groups, T.StructField("__step", T.LongType())]),
     )
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])

@@ -1,75 +1,20 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins of many rows with facts about their key, where one key may hold a large share of the rows."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Rows of one key that one task may join; keys with more are split.
-HOT_ROWS = 500_000
 
-# The same for rows that carry file contents.
-HOT_CONTENTS = 50_000
+def join_facts(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins many ``rows`` to ``facts`` with few rows per key, by one plan for all sizes.
 
-# Hot keys that are listed and sent to every task.
-MAX_HOT_KEYS = 200_000
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Spark's own size estimate of ``df`` is within ``spark.sql.autoBroadcastJoinThreshold``."""
-    if not hasattr(df, "_jdf"):
-        return False
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= limit
-
-
-def salted_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    spread: Sequence[str] = ("path",),
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Joins many ``facts`` to ``dims`` with few rows per key.
-
-    Small ``dims`` (a stored table has its size on disk as estimate) are left to
-    Spark, which sends them to every task without moving the facts. Otherwise
-    the keys with more than ``hot_rows`` facts are looked up first. Their facts
-    are split by a hash of the ``spread`` columns and their ``dims`` rows
-    repeated once per split, so a project or directory holding a third of all
-    files is worked on by many tasks; all other keys are joined as they are.
-    The driver sees one row per hot key, at most one per ``hot_rows`` facts. The
-    salt is a function of the row alone: a lost executor's tasks recompute the
-    same split. ``how`` is inner, left, left_semi or left_anti.
+    Spark sends ``facts`` to every task only below
+    ``spark.sql.autoBroadcastJoinThreshold``. Beyond it both sides are sorted by
+    key, and adaptive execution splits a hot key's rows over many tasks, each of
+    which reads the few facts of that key (``spark.sql.adaptive.skewJoin``). That
+    covers ``how`` of inner, left, left_semi and left_anti. Nothing is counted
+    or collected beforehand.
     """
-    on = list(on)
-    if fits_broadcast(dims):
-        return facts.join(dims, on, how)
-    counts = facts.groupBy(*on).agg(F.count("*").alias("n"))
-    hot = counts.filter(F.col("n") > hot_rows).collect()
-    # Ever larger keys only, until their list is small enough to send to every task.
-    while len(hot) > MAX_HOT_KEYS:
-        hot_rows *= 2
-        hot = [row for row in hot if row["n"] > hot_rows]
-    if not hot:
-        return facts.join(dims, on, how)
-    kinds = {f.name: f.dataType for f in facts.schema.fields}
-    splits = facts.sparkSession.createDataFrame(
-        [(*[row[c] for c in on], math.ceil(row["n"] / hot_rows)) for row in hot],
-        T.StructType([*[T.StructField(c, kinds[c]) for c in on], T.StructField("__splits", T.IntegerType())]),
-    )
-    n = F.coalesce("__splits", F.lit(1))
-    left = facts.join(F.broadcast(splits), on, "left").withColumn(
-        "__salt", F.pmod(F.xxhash64(*spread), n).cast("int")
-    )
-    right = dims.join(F.broadcast(splits), on, "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), n - 1))
-    )
-    joined = left.drop("__splits").join(right.drop("__splits"), [*on, "__salt"], how)
-    return joined.drop("__salt")
+    return rows.join(facts, list(on), how)

@@ -27,7 +27,6 @@ from corpusloom.queries.trees import nodes_sql
 from corpusloom.sources.derived import corpus
 
 PROFILE = Profile(
-    max_file_size=6000,
     include_styles=False,
     include_docs=True,
     important_files=("package.json", "nx.json"),
@@ -47,7 +46,7 @@ def body_sql(files: str, type_rule: str) -> str:
     return f"""
 {nodes_sql(files, f"{stay} AND NOT {OFF_SQL}", pruned_sql("seg", ENTRY, KEEP))},
 classified AS (
-  SELECT project, path, content, {stub} OR size > 6000 AS skipped,
+  SELECT project, path, content, {stub} AS skipped,
          list_transform(seg, lambda s, i: CASE WHEN i < len(seg) THEN '0' ELSE '1' END || s) AS key
   FROM {files} WHERE {stay} AND NOT starts_with(name, '~$') {drop}
 ),
@@ -120,7 +119,7 @@ unit_files AS (
 wanted AS (SELECT project || '#' || pick AS project FROM picked_subs),
 {body_sql("unit_files", "stub").replace("{open}", n("#" + TREE_OPEN))},
 configs AS (
-  SELECT project, pos, path, content, size > 6000 AS skipped
+  SELECT project, pos, path, content, false AS skipped
   FROM wide JOIN (VALUES (1, 'package.json'), (2, 'nx.json')) l(pos, listed) ON path = listed
   WHERE project IN (SELECT project FROM chosen)
 ),

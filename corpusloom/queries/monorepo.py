@@ -77,7 +77,7 @@ def root_files(spark: SparkSession, sf: str) -> DataFrame:
     return monorepo.root_files(corpus(spark, sf), ROOTS).select("project", "path")
 
 
-SMALL = Profile(max_file_size=10)
+EVERY = Profile()
 LISTED = ("package.json", "nx.json", "tsconfig.base.json", "go.mod", "nx.json")
 
 
@@ -85,14 +85,13 @@ LISTED = ("package.json", "nx.json", "tsconfig.base.json", "go.mod", "nx.json")
     "important_root_files",
     f"""
 WITH {FILES}
-SELECT project, pos::BIGINT AS pos, path, {language_sql()} AS lang, size > 10 AS skipped,
-       CASE WHEN size <= 10 THEN content END AS content
+SELECT project, pos::BIGINT AS pos, path, {language_sql()} AS lang, false AS skipped, content
 FROM files JOIN (VALUES (1, 'package.json'), (2, 'nx.json'), (3, 'tsconfig.base.json'), (4, 'go.mod'), (5, 'nx.json')) l(pos, listed)
   ON path = listed
 """,
 )
 def important_root_files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = monorepo.important_root_files(corpus(spark, sf), LISTED, SMALL)
+    rows = monorepo.important_root_files(corpus(spark, sf), LISTED, EVERY)
     return rows.select("project", "pos", "path", "lang", "skipped", "content")
 
 

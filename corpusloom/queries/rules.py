@@ -263,11 +263,10 @@ def depth_limit(spark: SparkSession, sf: str) -> DataFrame:
     nested = corpus(spark, sf).select(
         "project", F.concat(F.expr("repeat('n/', length(path) % 25)"), F.col("path")).alias("path")
     )
-    return nested.filter(rules.within_depth(F.col("path")))
+    return nested.filter(rules.within_depth(F.col("path"), 20))
 
 
 STUBS = Profile(
-    max_file_size=5000,
     excluded_patterns=("*.txt", "*.log"),
     include_styles=False,
     include_docs=True,
@@ -277,7 +276,7 @@ STUBS = Profile(
 STUBS_SQL = f"""
   SELECT project, path, {language_sql()} AS lang, size, content,
          ((regexp_matches(lower(name), '\\.(css|scss|sass|less)$') OR contains(lower(name), '.spec.')
-           OR contains(lower(name), '.test.')) AND NOT ends_with(path, 'theme_0.scss')) OR size > 5000 AS skipped
+           OR contains(lower(name), '.test.')) AND NOT ends_with(path, 'theme_0.scss')) AS skipped
   FROM files
   WHERE NOT {excluded_sql("seg", "s LIKE '%.txt' OR s LIKE '%.log'", "['theme_0.scss']").replace(default_user_sql("s"), "false")}
     AND NOT starts_with(name, '~$')

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import globs
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import saved, scan, selection
-from corpusloom.plans.skew import salted_join
+from corpusloom.plans.skew import join_facts
 from corpusloom.queries.registry import FILES, default_user_sql, excluded_sql, query
 from corpusloom.session import materialize
 from corpusloom.sources.derived import corpus
@@ -61,7 +61,7 @@ def select_patterns(spark: SparkSession, sf: str) -> DataFrame:
         "project", globs.regex_column(F.col("patterns"), "paths").alias("re")
     )
     rows = materialize(compiled, "patterns")
-    return salted_join(files, rows, ["project"]).filter(F.regexp_instr("path", F.col("re")) > 0).select("project", "path")
+    return join_facts(files, rows, ["project"]).filter(F.regexp_instr("path", F.col("re")) > 0).select("project", "path")
 
 
 VISIBLE = Profile(excluded_patterns=("temp_*",), output_filename="", include_docs=True)

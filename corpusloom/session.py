@@ -25,23 +25,23 @@ def build_session(master: str = "local[*]", app: str = "corpusloom", **conf: obj
     return builder.getOrCreate()
 
 
-_local_folder: str | None = None
-
-
 def work_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session that leaves it unset gets a temporary folder.
+    A session that leaves it unset gets one in its warehouse, which is shared too.
     """
-    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="corpusloom-")
-    return _local_folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark).rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored; results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     size is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import globs, paths
+from corpusloom.functions import paths
 from corpusloom.functions.languages import language
 from corpusloom.schemas import FILES
 
@@ -18,43 +16,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("path", paths.normalize(F.col("path")))
 
 
-def read_visible(
-    spark: SparkSession,
-    root: str,
-    max_file_size: int,
-    project: str | None = None,
-    name_glob: str | None = None,
-) -> DataFrame:
-    """Files below ``root`` by Spark's own binary file reader.
-
-    That reader never returns empty files and names that start with a dot or an
-    underscore; use ``folders.read_folder`` where they matter. Each directory
-    directly below ``root`` is one project, unless ``project`` names the whole.
-    Files over ``max_file_size`` bytes stay as rows without content: their bytes
-    are never read, as the size test is pushed into the scan.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    rows = reader.load(root)
-    small = rows.filter(F.col("length") <= max_file_size).select(
-        "path", F.col("length").alias("size"), F.col("content").cast("string").alias("content")
-    )
-    large = rows.filter(F.col("length") > max_file_size).select(
-        "path", F.col("length").alias("size"), F.lit(None).cast("string").alias("content")
-    )
-    return with_project(small.unionByName(large), root, project)
-
-
-def with_project(files: DataFrame, root: str, project: str | None) -> DataFrame:
-    """Paths relative to their project, which is ``project`` or the first directory below ``root``."""
-    base = globs.quote(re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/"))
-    inner = F.regexp_replace("path", rf"^(?:[a-z0-9+.-]+:)?(?://[^/]+(?=/))?/*{base.lstrip('/')}/", "")
-    owner: Column = F.lit(project) if project else F.substring_index(inner, "/", 1)
-    local = inner if project else F.regexp_replace(inner, "^[^/]*/", "")
-    return files.select(owner.alias("project"), local.alias("path"), "size", "content")
-
-
 def with_path_parts(files: DataFrame) -> DataFrame:
     """Adds name, extension, parent directory, depth and language."""
     path = F.col("path")
@@ -69,15 +30,15 @@ def with_path_parts(files: DataFrame) -> DataFrame:
     )
 
 
-def is_unread(size: Column, content: Column, max_file_size: Column) -> Column:
-    """Too large (strictly over the limit), or no content could be read."""
-    return (size > max_file_size) | content.isNull()
+def is_unread(size: Column, content: Column, max_file_size: Column | int | None) -> Column:
+    """Too large (strictly over the limit, if there is one), or no content could be read."""
+    limit = F.lit(max_file_size).cast("bigint")
+    return (limit.isNotNull() & (size > limit)) | content.isNull()
 
 
-def bounded(files: DataFrame, max_file_size: Column | int) -> DataFrame:
+def bounded(files: DataFrame, max_file_size: Column | int | None) -> DataFrame:
     """Every file, with ``skipped`` set and the content dropped when it cannot be shown."""
-    limit = F.lit(max_file_size) if isinstance(max_file_size, int) else max_file_size
-    skipped = F.coalesce(is_unread(F.col("size"), F.col("content"), limit), F.lit(True))
+    skipped = F.coalesce(is_unread(F.col("size"), F.col("content"), max_file_size), F.lit(True))
     return files.withColumn("skipped", skipped).withColumn(
         "content", F.when(~F.col("skipped"), F.col("content"))
     )

@@ -15,12 +15,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.rules import MAX_DEPTH
 from corpusloom.session import materialize, ship_package
 
 ENTRIES = "path string, is_dir boolean, size bigint"
 BODIES = "path string, size bigint, content string"
 
+# Project of the files that lie beside the projects' folders.
+LOOSE = "."
+
 LIST_ROWS = 10_000
 READ_BYTES = 64 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
@@ -74,10 +76,8 @@ def _reader(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     return run
 
 
-def list_folder(
-    spark: SparkSession, root: str, prune: Callable[[Column], Column] | None = None, levels: int = MAX_DEPTH + 2
-) -> DataFrame:
-    """``(path, size)`` of all files below ``root``, paths relative to it.
+def list_folder(spark: SparkSession, root: str, prune: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(path, size)`` of all files below ``root``, however deep, paths relative to it.
 
     ``prune`` says of a relative directory path that it is not to be entered.
     """
@@ -86,7 +86,7 @@ def list_folder(
     frontier = spark.createDataFrame([(base,)], "path string")
     relative = F.expr(f"substring(path, {len(base.rstrip('/')) + 2})")
     found: DataFrame | None = None
-    for _ in range(levels):
+    while True:
         listed = frontier.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(_lister(root), ENTRIES)
         entries = materialize(listed, "listing")
         files = entries.filter("NOT is_dir").select(relative.alias("path"), "size")
@@ -103,39 +103,39 @@ def list_folder(
 def read_folder(
     spark: SparkSession,
     root: str,
-    max_file_size: int,
+    max_file_size: int | None = None,
     project: str | None = None,
     prune: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """The ``files`` table of a folder tree.
 
     Each directory directly below ``root`` is one project, unless ``project``
-    names the whole of it. Files over ``max_file_size`` bytes and files that
+    names the whole of it; files lying in ``root`` itself are of the project
+    ``LOOSE``. Files over ``max_file_size`` bytes, if that is set, and files that
     fail to open stay as rows without content. ``prune`` is asked about
     directory paths relative to their project; a project's own directory is
     never pruned.
     """
-    depth = MAX_DEPTH + 1 + (project is None)
     inner = None
     if prune is not None:
         # One project: the path itself. Many: the part below the project's directory, if any.
         local = (lambda p: p) if project else (lambda p: F.regexp_replace(p, "^[^/]*/", ""))
         inner = (lambda p: prune(local(p))) if project else (lambda p: p.contains("/") & prune(local(p)))
-    listing = list_folder(spark, root, inner, depth)
-    small = listing.filter(F.col("size") <= max_file_size)
+    listing = list_folder(spark, root, inner)
+    fits = F.lit(True) if max_file_size is None else F.col("size") <= max_file_size
+    small = listing.filter(fits)
     total = small.agg(F.sum("size")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     _, base = _open(root)
     absolute = F.concat(F.lit(base.rstrip("/") + "/"), "path")
     bodies = small.select(absolute.alias("path"), "size").repartition(tasks, "path").mapInPandas(_reader(root), BODIES)
     shown = bodies.withColumn("path", F.expr(f"substring(path, {len(base.rstrip('/')) + 2})"))
-    stubs = listing.filter(F.col("size") > max_file_size).withColumn("content", F.lit(None).cast("string"))
+    stubs = listing.filter(~fits).withColumn("content", F.lit(None).cast("string"))
     files = shown.unionByName(stubs)
     if project:
         return files.select(F.lit(project).alias("project"), "path", "size", "content")
-    nested = files.filter(F.col("path").contains("/"))
-    return nested.select(
-        F.substring_index("path", "/", 1).alias("project"),
+    return files.select(
+        F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(LOOSE).alias("project"),
         F.regexp_replace("path", "^[^/]*/", "").alias("path"),
         "size",
         "content",

@@ -143,3 +143,15 @@ def test_extraction_needs_no_shuffle(spark):
     data = files(spark, ("a.go", "func F() {}")).withColumns({"lang": F.lit("go"), "skipped": F.lit(False)})
     plan = render.with_section(data, render.HEADERS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_imports_on_one_line_and_in_backquotes(spark):
+    cases = {
+        'import ("a"; "b/c")\nfunc F() {}': ["a", "b/c"],
+        "import `raw/path`\n": ["raw/path"],
+        "import (\n\tx `q/r` // \"no\"\n\t\"s\"\n)\n": ["q/r", "s"],
+        'import m "one/two"\nvar s = "three"\n': ["one/two"],
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    got = {r["c"]: r["i"] for r in df.select("c", headers.imports(F.col("c")).alias("i")).collect()}
+    assert got == cases

@@ -25,16 +25,15 @@ def test_query_equals_oracle(spark, con, sf_dir, name):
     assert diff is None, diff
 
 
-SALTED = (
+LOOKUPS = (
     "select_list", "select_patterns", "bulk_select", "profile_decisions", "tree_last_sibling", "tree_lines",
     "subproject_files", "subproject_pick", "section_monorepo", "document_lines",
 )
 
 
-@pytest.mark.parametrize("name", SALTED)
-def test_salted_plans_give_the_same(spark, con, sf_dir, name, monkeypatch):
-    """Without broadcasts every lookup takes the way it takes for tables beyond the limit."""
-    monkeypatch.setattr("corpusloom.plans.skew.salted_join.__defaults__", ("inner", ("path",), 4))
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_plans_without_broadcasts_give_the_same(spark, con, sf_dir, name):
+    """Every lookup takes the way it takes for tables beyond the limit."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -50,9 +49,9 @@ def test_entry(spark):
 
 
 def test_no_hints_and_no_collect_in_operators():
-    """But for the two modules that count what they collect and send."""
+    """But for the module that counts what it collects and sends."""
     root = Path(__file__).parent.parent / "corpusloom"
-    allowed = {"ranking.py", "skew.py"}
+    allowed = {"ranking.py"}
     for file in root.rglob("*.py"):
         if "llm" in file.relative_to(root).parts:
             continue

@@ -8,6 +8,7 @@ from corpusloom.operators import profiles, scan
 from corpusloom.schemas import PROFILES
 from tests.helpers import files
 
+# What a profile with nothing set resolves to.
 DEFAULTS = {
     "max_file_size": 2 * 1024 * 1024,
     "include_tests": False,

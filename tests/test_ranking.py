@@ -7,8 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.ranking import in_ranges, with_position
-from corpusloom.plans.skew import fits_broadcast, salted_join
-from corpusloom.session import materialize
+from corpusloom.plans.skew import join_facts
 
 
 def skewed(spark):
@@ -56,50 +55,17 @@ def test_content_is_shuffled_once_for_positions(spark):
     assert len(exchanges) == 4 and len(by_group_only) == 1, plan
 
 
-def test_large_driver_tables_are_met_by_salted_keys(spark, monkeypatch):
+def test_large_driver_tables_are_joined_by_key(spark, monkeypatch):
     monkeypatch.setattr("corpusloom.plans.ranking.MAX_BROADCAST", 0)
     df = skewed(spark)
     plain = df.withColumn("ord", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
     assert with_position(df, ["g"], ["k"], "ord", 100).exceptAll(plain).isEmpty()
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
-    facts = skewed(spark).withColumnRenamed("k", "path")
-    dims = spark.createDataFrame([("hot", 1), ("g3", 2), ("none", 3)], "g string, v int")
-    salted = facts.groupBy("g").count().filter("g IN ('hot', 'g3')").drop("count").unionByName(dims.select("g").filter("g = 'none'"))
-    wide = salted.join(dims, "g")
-    assert not fits_broadcast(wide)
-    got = salted_join(facts, wide, ["g"], how, hot_rows=50)
-    want = facts.join(dims, "g", how)
-    assert sorted(got.columns) == sorted(want.columns)
-    want = want.select(*got.columns)
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-
-
-def test_salted_join_spreads_the_hot_key(spark):
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        facts = skewed(spark).withColumnRenamed("k", "path")
-        dims = facts.groupBy("g").agg(F.count("*").alias("n"))
-        sizes = (
-            salted_join(facts, dims, ["g"], hot_rows=200).groupBy(F.spark_partition_id().alias("p")).count().collect()
-        )
-        assert max(r["count"] for r in sizes) < 1000
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
-def test_small_stored_table_is_broadcast_unsalted(spark):
-    facts = skewed(spark).withColumnRenamed("k", "path")
-    dims = materialize(facts.groupBy("g").agg(F.count("*").alias("n")), "dims")
-    assert fits_broadcast(dims)
-    plan = salted_join(facts, dims, ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "salt" not in plan
-    facts_side = plan[: plan.index("BroadcastExchange")]
-    assert "Exchange hashpartitioning" not in facts_side
+def test_facts_are_joined_without_jobs(spark):
+    rows = skewed(spark)
+    facts = rows.groupBy("g").agg(F.count("*").alias("n"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    joined = join_facts(rows, facts, ["g"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+    assert joined.filter("g = 'hot'").count() == 2000

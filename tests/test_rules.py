@@ -19,18 +19,18 @@ BARE = Profile(excluded_patterns=(), output_filename="", include_docs=True)
 
 def test_language(spark):
     want = {
-        "main.go": "go",
-        "script.js": "javascript",
-        "component.tsx": "tsx",
-        "styles.css": "css",
-        "styles.scss": "scss",
-        "index.html": "html",
-        "config.json": "json",
-        "README.md": "markdown",
-        "main.py": "python",
-        "App.java": "java",
-        "main.rs": "rust",
-        "Dockerfile": "text",
+        "cmd/serve.GO": "go",
+        "old/jquery.min.js": "javascript",
+        "ui/Row.jsx": "jsx",
+        "ui/Row.tsx": "tsx",
+        "lib.d.ts": "typescript",
+        "site/print.css": "css",
+        "site/print.sass": "scss",
+        "about.htm": "html",
+        "deploy.yml": "yaml",
+        "queries/top.sql": "sql",
+        "Notes.MD": "markdown",
+        "Makefile": "text",
         "A.MJS": "javascript",
         "x.less": "text",
         "x.h": "text",
@@ -193,7 +193,13 @@ def test_stub_and_remove(spark):
 
 def test_depth_limit(spark):
     shallow, deep = "/".join(["d"] * 20 + ["f"]), "/".join(["d"] * 21 + ["f"])
-    assert flags(spark, [shallow, deep], rules.within_depth) == {shallow: True, deep: False}
+    assert flags(spark, [shallow, deep], lambda p: rules.within_depth(p, 20)) == {shallow: True, deep: False}
+    assert flags(spark, [shallow, deep], lambda p: rules.is_listed(p, BARE)) == {shallow: True, deep: True}
+
+
+def test_empty_config_stem_marks_nothing(spark):
+    profile = replace(BARE, config_stem="")
+    assert paths_of(scan.listed(files(spark, "a.go", "corpusloom_config.yml"), profile)) == {"a.go", "corpusloom_config.yml"}
 
 
 def test_effective_excludes_have_no_duplicates():

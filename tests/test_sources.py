@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import Profile, is_pruned
 from corpusloom.operators import scan
-from corpusloom.session import materialize, work_folder
-from corpusloom.sources.files import bounded, read_table, read_visible, with_path_parts
-from corpusloom.sources.folders import read_folder
+from corpusloom.session import clear_work, materialize, work_folder
+from corpusloom.sources.files import bounded, read_table, with_path_parts
+from corpusloom.sources.folders import LOOSE, read_folder
 
 
 def lay_out(root):
@@ -70,25 +72,14 @@ def test_unreadable_file_stays_as_a_stub(spark, tmp_path):
     assert state["empty"] == (False, "") and state.get("loop", (True, None)) == (True, None)
 
 
-def test_built_in_reader(spark, tmp_path):
-    lay_out(tmp_path)
-    got = as_rows(read_visible(spark, str(tmp_path), 64))
-    assert got == {
-        ("one", "src/a.go"): (10, "package a\n"),
-        ("one", "big.txt"): (100, None),
-        ("one", "exact.txt"): (64, "y" * 64),
-        ("one", "node_modules/x.js"): (1, "x"),
-        ("two", "a b.txt"): (2, "ü"),
-        ("build", "x"): (1, "x"),
-    }
-    one = as_rows(read_visible(spark, f"file:{tmp_path}/one/", 1000, project="me", name_glob="*.go"))
-    assert one == {("me", "src/a.go"): (10, "package a\n")}
-
-
-def test_size_limit_reaches_the_scan(spark, tmp_path):
-    lay_out(tmp_path)
-    plan = read_visible(spark, str(tmp_path), 64)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,64)" in plan and "GreaterThan(length,64)" in plan
+def test_deep_and_loose_files_are_read(spark, tmp_path):
+    deep = "one/" + "d/" * 30 + "f.txt"
+    for path in (deep, "loose.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    assert as_rows(read_folder(spark, str(tmp_path))) == {
+        ("one", deep[4:]): (len(deep), deep), (LOOSE, "loose.md"): (8, "loose.md"),
+    }
 
 
 def test_oversized_files_become_stubs(spark, tmp_path):
@@ -121,3 +112,10 @@ def test_stored_tables_lie_in_the_named_folder(spark):
     stored = materialize(df, "t")
     assert stored.schema == df.schema or stored.count() == 5
     assert folder in stored.inputFiles()[0]
+
+
+def test_stored_tables_go_in_one_call(spark):
+    path = materialize(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists()
+    clear_work(spark)
+    assert not Path(path).exists()
