@@ -11,11 +11,17 @@ of its own lists.
    order, which may be any; results do not depend on them.
 2. Each set is a node, named by a digest of it, so copies are one node.
 3. Prefix shingles that several nodes have make lists. In each, every node is
-   paired with the list's smallest node, and those pairs are verified: a group
-   of copies is joined without the pairs among its members.
+   paired with the list's hub, the node with the largest share of its prefix in
+   lists, and those pairs are verified: a group of copies is joined through the
+   copy with the fewest edits, without the pairs among its members.
 4. What is left is exact: nodes of one list that are not yet connected are
    paired, counted over the shared prefix shingles, and verified if they share
    as many as their l asks for.
+
+Every pair is first tested by parity sketches: bit i of a node's sketch is the
+parity of the number of its shingles that hash to i, so two sets differ in at
+least as many shingles as their sketches do in bits. The test drops no pair
+that is similar enough, and groups just below the threshold seldom pass it.
 5. Connected components over all verified links.
 
 Similarity is exact on whole sets in every verification; no list, partner or
@@ -49,6 +55,8 @@ MAX_MATCHES = 4
 FREQUENT = 1 << 17
 #: Shingles among which a task counts at a time; those seen fewer than three times there count as rare.
 COUNT_BLOCK = 2 << 20
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 #: Cost of verifying a candidate, in list entries read.
 VERIFY_COST = 50
 _LAST = (1 << 63) - 1
@@ -79,18 +87,33 @@ def _nodes(text: np.ndarray, shingles: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, mix(sums[ends] - sums[ends - size] + size.astype(np.uint64)).view(np.int64)
 
 
+def _sketches(text: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """The parity sketch of each text, a row of 64-bit words."""
+    bits = 64 * SKETCH
+    place = (mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(text * bits + place, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables.slices(batches, "text"):
-            size, node = _nodes(*shingle_sets(batch.column("text"), width))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("owner"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(node)],
-                ["id", "owner", "text_hash", "n", "node"],
-            )
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                text, shingles, n = shingle_sets(part.column("text"), width)
+                size, node = _nodes(text, shingles, n)
+                words = [pa.array(np.ascontiguousarray(w)) for w in _sketches(text, shingles, n).T]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("owner"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node), *words],
+                    ["id", "owner", "text_hash", "n", "node", *_WORDS],
+                )
 
     return run
 
 
+_WORDS = [f"sketch_{i}" for i in range(SKETCH)]
+
+
 def _counted(width: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -171,8 +194,11 @@ def _alike(width: int, percent: int):
     return run
 
 
-def _compatible(n: str, m: str, percent: int) -> F.Column:
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+def _possible(a: str, b: str, percent: int) -> F.Column:
+    """Whether sets of these sizes and sketches can be similar enough; ``a`` and ``b`` are patterns of column names."""
+    n, m = F.col(a.format("n")), F.col(b.format("n"))
+    differ = sum(F.bit_count(F.col(a.format(w)).bitwiseXOR(F.col(b.format(w)))) for w in _WORDS)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -182,10 +208,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         "id", F.coalesce("id", F.lit(_LAST)).alias("owner"), F.xxhash64("text").alias("text_hash"), "text"
     )
     members = tables.store(
-        rows.mapInArrow(_members(width), "id long, owner long, text_hash long, n long, node long"), "members"
+        rows.mapInArrow(_members(width), f"id long, owner long, text_hash long, n long, node long, {', '.join(f'{w} long' for w in _WORDS)}"),
+        "members",
     )
     # One text stands for each node; a repeated (id, text) is one row of texts.
     stands = members.where("n > 0").groupBy("node").agg(F.min(F.struct("owner", "text_hash")).alias("d"))
+    sketches = tables.store(members.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), *[F.min(w).alias(w) for w in _WORDS]), "sketches")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *_WORDS)]), side)
+        return pairs.where(_possible("{}_a", "{}_b", percent)).select("a", "b")
     texts = rows.select("owner", "text_hash", "text").dropDuplicates(["owner", "text_hash"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -201,14 +234,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     index = rows.select("text").mapInArrow(
         _prefixes(width, percent, most, frequent, seen), "shingle long, node long, n int, level int"
     )
-    lists = index.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
-    lists = tables.store(index.join(lists, "shingle").dropDuplicates(["shingle", "node"]), "prefix-lists")
-
-    hubs = lists.where("node <> hub").groupBy("hub", "node").agg(F.max("n").alias("n"))
-    hub_size = lists.where("node = hub").groupBy("hub").agg(F.max("n").alias("m"))
-    checked = tables.store(
-        hubs.join(hub_size, "hub").where(_compatible("n", "m", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")), "hub-pairs"
-    )
+    shared = index.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
+    lists = tables.store(index.join(shared, "shingle").dropDuplicates(["shingle", "node"]), "prefix-lists")
+    central = lists.groupBy("node").agg((-F.count("*") / F.max("n")).alias("order"))
+    hubs = lists.join(central, "node").groupBy("shingle").agg(F.min(F.struct("order", "node")).alias("first"))
+    lists = tables.store(lists.join(hubs.select("shingle", F.col("first.node").alias("hub")), "shingle"), "hub-lists")
+    pairs = lists.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    checked = tables.store(sketched(pairs), "hub-pairs")
     links = tables.store(verified(checked), "hub-links")
     class_of = tables.store(components(links), "hub-classes")
 
@@ -227,12 +259,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         F.array(*[F.struct((F.col(f"c{i}") * (1 + VERIFY_COST / i)).alias("cost"), F.lit(i).alias("l")) for i in range(1, most + 1)])
     )
     chosen = cost.select("node", choices["l"].alias("l"))
-    entries = entries.join(chosen, "node").select("shingle", "node", "n", "level", "class", "l", (F.col("class") == F.col("main")).alias("is_main"))
+    entries = (
+        entries.join(chosen, "node")
+        .join(sketches.drop("n"), "node")
+        .select("shingle", "node", "n", "level", "class", "l", (F.col("class") == F.col("main")).alias("is_main"), *_WORDS)
+    )
     # Each unordered pair once: one side is outside the list's main class.
     x, y = entries.where("not is_main").alias("x"), entries.alias("y")
     pairs = (
         x.join(y, F.expr("x.shingle = y.shingle and x.class <> y.class and (y.is_main or x.node < y.node)"))
-        .where(_compatible("x.n", "y.n", percent))
+        .where(_possible("x.{}", "y.{}", percent))
         .select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
             # The probing side is the larger set, by node if equal.
