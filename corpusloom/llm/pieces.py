@@ -5,8 +5,8 @@ crosses: spaces with the word after them, and line ends. A stretch has a
 lattice of the pieces that fit it. Forward filtering sums the weights of all
 segmentations up to each character; backward sampling then draws a piece that
 ends there in proportion, from the end to the start. A stretch is filtered once
-for all its occurrences in a task; the draws of all occurrences are array
-operations. A draw is a hash of the seed, the row's key, the stretch's number
+for all its occurrences in a slice of texts; the lattices of all stretches of one
+length, and the draws of all occurrences, are array operations. A draw is a hash of the seed, the row's key, the stretch's number
 and the step, so a row gets the same pieces in any task and attempt.
 
 The vocabulary's scores are merge ranks, so a piece weighs (rank + 3) ** -alpha,
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,12 +41,11 @@ from corpusloom.llm.words import mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
 SEED = 1
-#: Arcs of the lattices that a task keeps between batches.
-KEPT_ARCS = 1 << 21
 
 _STRETCH = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Ids from here on stand for characters spelt in bytes.
 _SPELT = 1 << 24
+_SLOT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -83,56 +81,95 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
 
 
 class Lattices:
-    """Arcs of all lattices met so far. A node's arcs have sums of probabilities from its number up to the next."""
+    """Pieces by hash, and their weights: what the lattices of a task are built from."""
 
     def __init__(self, vocabulary: Vocabulary, alpha: float) -> None:
         self.vocabulary = vocabulary
         self.weights = {p: -alpha * math.log(r + 3) for p, r in vocabulary.ranks.items()}
+        #: Weight of a character that is spelt in bytes.
         self.spelling = min(self.weights.values(), default=0.0) - 2
         self.longest = max(map(len, self.weights), default=1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.ends: dict[str, int] = {}
-        self.spelt: dict[str, int] = {}
-        self.spellings: list[list[int]] = []
-        self.nodes = 0
-        self.sums, self.sources, self.pieces = array("d"), array("q"), array("q")
-
-    def _spelt(self, char: str) -> int:
-        if char not in self.spelt:
-            self.spelt[char] = _SPELT + len(self.spellings)
-            self.spellings.append([self.vocabulary.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")])
-        return self.spelt[char]
-
-    def end(self, stretch: str) -> int:
-        """The last node of a stretch's lattice; node i of a stretch of n characters is that less n - i, the first has no number."""
-        known = self.ends.get(stretch)
-        if known is not None:
-            return known
-        n, base = len(stretch), self.nodes - 1
-        forward, weights, ids, longest = [0.0] * (n + 1), self.weights, self.vocabulary.ids, self.longest
+        hashes = np.zeros(len(self.weights), dtype=np.uint64)
+        names = list(self.weights)
+        for length in range(1, self.longest + 1):
+            own = [i for i, p in enumerate(names) if len(p) == length]
+            if own:
+                hashes[own] = list(_runs(_points("".join(names[i] for i in own), length), length))[-1][:, 0]
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([vocabulary.ids[p] for p in names], dtype=np.int64)[order]
+        self.logs = np.array(list(self.weights.values()))[order]
+        self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int64)
+        # Pieces by the first bits of their hash; those that share them follow in order.
+        self.slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
+        slots = (self.hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        self.slots[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.shared = int(np.unique(slots, return_counts=True)[1].max(initial=1))
+
+    def spelt(self, piece: int) -> list[int]:
+        """The byte pieces of a character that is no piece."""
+        return [self.vocabulary.byte_ids[b] for b in chr(piece - _SPELT).encode("utf-8", "surrogatepass")]
+
+    def build(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
+        """Lattices of stretches of one length n, n nodes each, numbered from 0 in order.
+
+        Arcs are sorted by the node they end in: the sum of probabilities within
+        it so far (plus its number), their length, whether they start the stretch,
+        and their piece.
+        """
+        points = _points("".join(stretches), len(stretches[0]))
+        count, n = points.shape
+        most = min(self.longest, n)
+        arcs = np.full((count, n, most), -np.inf)
+        ids = np.zeros((count, n, most), dtype=np.int32)
+        for length, keys in enumerate(_runs(points, most), 1):
+            place = np.flatnonzero(self.slots[(keys >> np.uint64(64 - _SLOT_BITS)).ravel()] >= 0)
+            keys = keys.ravel()[place]
+            first = self.slots[(keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
+            for later in range(self.shared):
+                at = np.minimum(first + later, len(self.hashes) - 1)
+                known = self.hashes[at] == keys
+                row, column = np.divmod(place[known], n - length + 1)
+                arcs[row, column + length - 1, length - 1] = self.logs[at[known]]
+                ids[row, column + length - 1, length - 1] = self.ids[at[known]]
+        alone = np.isneginf(arcs[:, :, 0])
+        arcs[:, :, 0][alone] = self.spelling
+        spelt = points[alone].astype(np.int64)
+        ids[:, :, 0][alone] = np.where(spelt < 128, self.byte_ids[np.minimum(spelt, 127)], _SPELT + spelt)
+        forward = np.zeros((count, n + 1))
         for j in range(1, n + 1):
-            arcs = []
-            for i in range(max(0, j - longest), j):
-                piece = stretch[i:j]
-                weight = weights.get(piece)
-                if weight is not None:
-                    arcs.append((forward[i] + weight, i, ids[piece]))
-            if stretch[j - 1] not in ids:
-                arcs.append((forward[j - 1] + self.spelling, j - 1, self._spelt(stretch[j - 1])))
-            top = max(a[0] for a in arcs)
-            total = sum(math.exp(a[0] - top) for a in arcs)
-            forward[j] = top + math.log(total)
-            node, so_far = base + j, 0.0
-            for k, (value, i, piece) in enumerate(arcs):
-                so_far += math.exp(value - top) / total
-                self.sums.append(node + 1 if k == len(arcs) - 1 else node + min(so_far, 1 - 1e-9))
-                self.sources.append(base + i if i else -1)
-                self.pieces.append(piece)
-        self.nodes += n
-        self.ends[stretch] = base + n
-        return base + n
+            k = min(most, j)
+            own = arcs[:, j - 1, :k]
+            own += forward[:, j - k : j][:, ::-1]
+            top = own.max(axis=1)
+            own -= top[:, None]
+            np.exp(own, out=own)
+            total = own.sum(axis=1)
+            own /= total[:, None]
+            arcs[:, j - 1, k:] = 0
+            forward[:, j] = top + np.log(total)
+        some = arcs > 0
+        node = np.arange(count * n).reshape(count, n, 1)
+        sums = node + np.minimum(np.cumsum(arcs, axis=2), 1 - 1e-9)
+        length = np.broadcast_to(np.arange(1, most + 1), arcs.shape)
+        starts = length == np.arange(1, n + 1)[:, None]
+        sums, length, starts, ids = sums[some], length[some], starts[some], ids[some]
+        last = np.cumsum(some.sum(axis=2).ravel()) - 1
+        sums[last] = np.arange(1, count * n + 1)
+        return sums, length, starts, ids
+
+
+def _points(text: str, width: int) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, width)
+
+
+def _runs(points: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Hashes of the runs of 1, 2, up to ``most`` points in each row."""
+    total = np.zeros_like(points, dtype=np.uint64)
+    for length in range(1, most + 1):
+        n = points.shape[1] - length + 1
+        total = total[:, :n] * np.uint64(0x9E3779B97F4A7C15) + points[:, length - 1 : length - 1 + n] + np.uint64(1)
+        yield mix(total)
 
 
 def _draw(seed: int, keys: np.ndarray, numbers: np.ndarray, step: int) -> np.ndarray:
@@ -142,49 +179,66 @@ def _draw(seed: int, keys: np.ndarray, numbers: np.ndarray, step: int) -> np.nda
 
 def sample(texts: list[str], keys: np.ndarray, lattices: Lattices, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after another, and how many each text has."""
-    if len(lattices.sums) > KEPT_ARCS:
-        lattices.clear()
-    ends, sizes, end = array("q"), [], lattices.end
+    found, sizes = [], []
     for text in texts:
-        stretches = _STRETCH.findall(" " + text) if text else []
-        ends.extend([end(s) for s in stretches])
-        sizes.append(len(stretches))
+        own = _STRETCH.findall(" " + text) if text else []
+        found += own
+        sizes.append(len(own))
     sizes = np.array(sizes, dtype=np.int64)
-    if not len(ends):
+    if not found:
         return np.zeros(0, np.int64), sizes
-    sums, sources, pieces = (np.frombuffer(a, dtype=t) for a, t in ((lattices.sums, np.float64), (lattices.sources, np.int64), (lattices.pieces, np.int64)))
-    node = np.frombuffer(ends, dtype=np.int64)
+    kinds = {stretch: i for i, stretch in enumerate(dict.fromkeys(found))}
+    kind = np.fromiter(map(kinds.__getitem__, found), dtype=np.int64, count=len(found))
+    by_length: dict[int, list[str]] = {}
+    for stretch in kinds:
+        by_length.setdefault(len(stretch), []).append(stretch)
+    length_of = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds))
+    rank = np.empty(len(kinds), dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    number = (np.arange(len(node)) - (np.cumsum(sizes) - sizes)[owner]).astype(np.uint64)
+    number = (np.arange(len(kind)) - (np.cumsum(sizes) - sizes)[owner]).astype(np.uint64)
     key = keys.view(np.uint64)[owner]
-    at, steps, length = np.arange(len(node)), [], np.zeros(len(node), dtype=np.int64)
-    while len(at):
-        arc = np.searchsorted(sums, node + _draw(seed, key, number, len(steps)), side="right")
-        steps.append((at, pieces[arc]))
-        length[at] += 1
-        node = sources[arc]
-        going = node >= 0
-        at, node, key, number = at[going], node[going], key[going], number[going]
-    stop = np.cumsum(length)
+    taken: list[tuple[np.ndarray, np.ndarray, int]] = []
+    steps_of = np.zeros(len(kind), dtype=np.int64)
+    own_length = length_of[kind]
+    order = np.argsort(own_length, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(own_length[order])) + 1)
+    for at in groups:
+        n = int(own_length[at[0]])
+        stretches = by_length[n]
+        rank[np.flatnonzero(length_of == n)] = np.arange(len(stretches))
+        sums, length, starts, pieces = lattices.build(stretches)
+        node, step = rank[kind[at]] * n + n - 1, 0
+        while len(at):
+            arc = np.searchsorted(sums, node + _draw(seed, key[at], number[at], step), side="right")
+            taken.append((at, pieces[arc], step))
+            steps_of[at] += 1
+            going = ~starts[arc]
+            at, node = at[going], (node - length[arc])[going]
+            step += 1
+    stop = np.cumsum(steps_of)
     out = np.empty(stop[-1], dtype=np.int64)
-    for step, (at, piece) in enumerate(steps):
+    for at, piece, step in taken:
         out[stop[at] - 1 - step] = piece
-    owner = np.repeat(owner, length)
-    spelt = out >= _SPELT
-    if spelt.any():
+    owner = np.repeat(owner, steps_of)
+    spelt = np.flatnonzero(out >= _SPELT)
+    if len(spelt):
+        codes, which = np.unique(out[spelt], return_inverse=True)
+        spellings = [lattices.spelt(int(c)) for c in codes]
         width = np.ones(len(out), dtype=np.int64)
-        width[spelt] = np.array([len(s) for s in lattices.spellings])[out[spelt] - _SPELT]
-        place = np.cumsum(width) - width
-        flat, out = out, np.repeat(out, width)
-        owner = np.repeat(owner, width)
-        for i in np.flatnonzero(spelt):
-            out[place[i] : place[i] + width[i]] = lattices.spellings[flat[i] - _SPELT]
+        width[spelt] = np.array([len(x) for x in spellings])[which]
+        place = (np.cumsum(width) - width)[spelt]
+        out, owner = np.repeat(out, width), np.repeat(owner, width)
+        for i in range(4):
+            has = width[spelt] > i
+            out[place[has] + i] = np.array([x[i] if i < len(x) else 0 for x in spellings])[which[has]]
     return out, np.bincount(owner, minlength=len(texts))
 
 
 def join(ids: list[int], vocabulary: Vocabulary) -> str:
     raw = vocabulary.raw
-    data = b"".join([raw[i] for i in ids if 0 <= i < len(raw)])
+    if ids and not 0 <= min(ids) <= max(ids) < len(raw):
+        ids = [i for i in ids if 0 <= i < len(raw)]
+    data = b"".join(map(raw.__getitem__, ids))
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
@@ -197,7 +251,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary, alpha)
-        for batch in tables.slices(batches, "text", tables.SLICE_BYTES // 2):
+        for batch in tables.slices(batches, "text", 3 * tables.SLICE_BYTES):
             keys = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False)
             ids, sizes = sample(tables.strings(batch.column("text")).to_pylist(), keys, lattices, seed)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -217,8 +271,10 @@ def decode(pieces: DataFrame, id_col: str = "doc_id", pieces_col: str = "piece_i
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = [join(ids or [], vocabulary) for ids in part.column("piece_ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("piece_ids"), pa.array(texts, pa.string())], ["id", "piece_ids", "text"])
+                lists = part.column("piece_ids")
+                ids, ends = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).tolist(), np.cumsum(lists.value_lengths().fill_null(0))
+                texts = [join(ids[a:b], vocabulary) for a, b in zip([0, *ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(texts, pa.string())], ["id", "piece_ids", "text"])
 
     rows = pieces.select(F.col(id_col).cast("long").alias("id"), F.col(pieces_col).alias("piece_ids"))
     return rows.mapInArrow(run, "id long, piece_ids array<int>, text string").withColumnRenamed("id", id_col)

@@ -43,7 +43,7 @@ def segmentations(stretch, lattices):
         w = lattices.weights.get(stretch[:n])
         options = [(lattices.vocabulary.ids[stretch[:n]], w)] if w is not None else []
         if n == 1 and stretch[0] not in lattices.vocabulary.ids:
-            options.append((lattices._spelt(stretch[0]), lattices.spelling))
+            options.append((pieces._SPELT + ord(stretch[0]), lattices.spelling))
         for piece, w in options:
             out += [((piece, *rest), w + v) for rest, v in segmentations(stretch[n:], lattices)]
     return out
@@ -56,7 +56,7 @@ def test_draws_follow_the_weights(vocabulary, text):
     ids, sizes = pieces.sample([text] * n, np.arange(n), lattices, 7)
     cuts = np.cumsum(sizes)[:-1]
     seen = Counter(tuple(x.tolist()) for x in np.split(ids, cuts))
-    spell = lambda s: tuple(b for p in s for b in (lattices.spellings[p - pieces._SPELT] if p >= pieces._SPELT else [p]))
+    spell = lambda s: tuple(b for p in s for b in (lattices.spelt(p) if p >= pieces._SPELT else [p]))
     every = segmentations(" " + text, lattices)
     total = sum(math.exp(w) for _, w in every)
     for s, w in every:
