@@ -196,7 +196,7 @@ def fragments(
 
 def file_fragments(
     files: DataFrame,
-    mode: str,
+    mode: str | Column,
     part: int,
     unit: Column | int = 0,
     step: int = 0,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import detect, monorepo, render, scan, tree
+from corpusloom.operators.profiles import decide
 from corpusloom.operators.render import TEXTS, Texts
 from corpusloom.plans.ranking import with_position
 from corpusloom.plans.skew import join_facts
@@ -95,6 +96,21 @@ def document(files: DataFrame, profile: Profile, run_ts: Column, texts: Texts =
     return _document(files, profile, typed.withColumnRenamed("type", "kind"), run_ts, "remove", texts)
 
 
+def sections_by_profile(files: DataFrame, profiles: DataFrame, texts: Texts = TEXTS) -> DataFrame:
+    """The file sections of every project under its own row of ``profiles``, a resolved table.
+
+    Excludes, toggles, size bound, selection and documentation mode act per
+    project. Decisions are made on paths and sizes; contents are joined to the
+    files that are shown, once.
+    """
+    stored = materialize(profiles, "profiles")
+    decided = decide(files, stored)
+    shown = decided.filter(~F.col("skipped")).join(files.select("project", "path", "content"), ["project", "path"])
+    stubs = decided.filter("skipped").withColumn("content", F.lit(None).cast("string"))
+    rows = join_facts(shown.unionByName(stubs), stored.select("project", "documentation_mode"), ["project"])
+    return render.file_fragments(rows, F.col("documentation_mode"), 1, step=5, texts=texts)
+
+
 def document_go(files: DataFrame, profile: Profile, run_ts: Column, texts: Texts = TEXTS) -> DataFrame:
     """Documents of the Go projects; the module file is always shown, its checksums never."""
     go = replace(

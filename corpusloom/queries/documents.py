@@ -10,9 +10,11 @@ from corpusloom.operators import render
 from corpusloom.plans import jobs
 from corpusloom.queries.detect import FRAMEWORK_SQL, TYPES_SQL
 from corpusloom.queries.monorepo import CHOICE_SQL, OVERVIEW_SQL, WIDE_SQL, choices, wide
-from corpusloom.queries.profiles import PROFILES_SQL, profile_table
+from corpusloom.queries.headers import LINES_SQL
+from corpusloom.queries.profiles import DECIDED_SQL, PROFILES_SQL, profile_table
 from corpusloom.queries.registry import FILES, excluded_sql, pruned_sql, query
 from corpusloom.queries.sections import (
+    HEADERS_SQL,
     MODULES,
     ROOT_CONFIGS,
     SECTION_SQL,
@@ -99,6 +101,30 @@ def document_js(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.number(jobs.document_js(files, PROFILE, run_ts()), files)
 
 
+@query(
+    "document_profiles",
+    f"""
+WITH {FILES}, {PROFILES_SQL}, {DECIDED_SQL}, {LINES_SQL}, {HEADERS_SQL},
+rows AS (
+  SELECT d.project, d.path, d.skipped, f.content, f.seg, p.documentation_mode, p.output_filename, p.append_timestamp, s.markdown AS brief
+  FROM decided d JOIN files f ON f.project = d.project AND f.path = d.path JOIN profiles p ON p.project = d.project
+  JOIN short s ON s.project = d.project AND s.path = d.path
+)
+SELECT project, CASE WHEN append_timestamp THEN regexp_replace(output_filename, '\\.[^./]*$', '') || '_{STAMP}' ||
+         regexp_extract(output_filename, '\\.[^./]*$') ELSE output_filename END AS output,
+       row_number() OVER (PARTITION BY project ORDER BY list_transform(seg, lambda s, i: CASE WHEN i < len(seg) THEN '0' ELSE '1' END || s)) AS ord,
+       CASE WHEN NOT skipped AND documentation_mode = 'headers' THEN brief ELSE {SECTION_SQL} END AS markdown
+FROM rows
+""",
+)
+def document_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of every project under its own profile: mode, selection, toggles, excludes and output name."""
+    files, table = corpus(spark, sf), profile_table(corpus(spark, sf))
+    numbered = jobs.number(jobs.sections_by_profile(files, table), files)
+    output = render.output_name(F.col("output_filename"), F.col("append_timestamp"), run_ts())
+    return numbered.join(table.select("project", output.alias("output")), "project").select("project", "output", "ord", "markdown")
+
+
 @query(
     "document_monorepo",
     f"""
