@@ -173,9 +173,10 @@ def train(
     tables.on_executors(docs.sparkSession)
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).alias("q")).where("id is not null and q is not null")
     known = known.groupBy("id").agg((F.avg("q") >= 0.5).cast("double").alias("quality"))
-    known = known.orderBy(F.xxhash64("id", F.lit(_SEED_LABELLED)), "id").limit(max_labelled)
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
-    others = ids.orderBy(F.xxhash64("id", F.lit(_SEED_POOL)), "id").limit(pool).distinct().join(known, "id", "left_anti")
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    # Only labels that meet a document are drawn.
+    known = known.join(ids, "id", "left_semi").orderBy(F.xxhash64("id", F.lit(_SEED_LABELLED)), "id").limit(max_labelled)
+    others = ids.orderBy(F.xxhash64("id", F.lit(_SEED_POOL)), "id").limit(pool).join(known, "id", "left_anti")
     # At most max_labelled + pool rows of an id and a number.
     drawn = F.broadcast(known.unionByName(others.withColumn("quality", F.lit(None).cast("double"))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(m).alias(f"m_{i}") for i, m in enumerate(meta)])

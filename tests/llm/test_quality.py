@@ -65,3 +65,10 @@ def test_without_labels_all_are_kept(spark):
     for labels in ([], [(i, 1) for i in range(30)]):
         model = quality.train(df, spark.createDataFrame(labels, "doc_id long, quality int"), meta=("src", "size"))
         assert quality.good_documents(df, model, meta=("src", "size")).count() == 30
+
+
+def test_labels_without_document_are_not_drawn(spark):
+    """Few documents among many labels: the draw must still meet enough of them."""
+    df = spark.createDataFrame(DOCS, SHAPE)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    assert quality.train(df, labels, meta=("src", "size"), max_labelled=40).views is not None
