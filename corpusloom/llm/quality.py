@@ -17,7 +17,8 @@ its whole text, by a model of fixed size, where it lies.
 Defined cases: null and empty texts, and texts without words, have the features
 of an empty text; null metadata is a value of its own; labels without id or
 verdict are left out, and several for one id count by their mean (0.5: good);
-a null id is scored but never drawn; repeated rows are scored alike; with fewer
+a null id is scored but never drawn; of the rows of an id one is
+fitted to; repeated rows are scored alike; with fewer
 than ``LEAST`` labelled documents of either kind every document is kept; an
 empty table gives no rows. Only the named columns are read for the score.
 """
@@ -157,11 +158,20 @@ def co_train(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, pool: tupl
 
 
 def _features(meta: Sequence[str]) -> Callable:
+    """Features of one row of each id in a task, the least, so that the order of rows does not matter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in tables.slices(batches, "text"):
             both = text_features(batch.column("text")), metadata_features({m: batch.column(f"m_{i}") for i, m in enumerate(meta)})
-            rows = [pa.array([row.tobytes() for row in x], pa.binary()) for x in both]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), *rows], ["quality", "text_view", "meta_view"])
+            for key, quality, text, metadata in zip(batch.column("id").to_pylist(), batch.column("quality").to_pylist(), *both):
+                row = text.tobytes(), metadata.tobytes(), quality
+                if key not in held or row[:2] < held[key][:2]:
+                    held[key] = row
+        if held:
+            kinds = batch.schema.field("id").type, pa.binary(), pa.binary(), pa.float64()
+            columns = [pa.array(list(c), kind) for c, kind in zip((held, *zip(*held.values())), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_view", "meta_view", "quality"])
 
     return run
 
@@ -180,7 +190,10 @@ def train(
     # At most max_labelled + pool rows of an id and a number.
     drawn = F.broadcast(known.unionByName(others.withColumn("quality", F.lit(None).cast("double"))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(m).alias(f"m_{i}") for i, m in enumerate(meta)])
-    found = rows.join(drawn, "id").drop("id").mapInArrow(_features(meta), "quality double, text_view binary, meta_view binary").toArrow()
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = rows.join(drawn, "id").mapInArrow(_features(meta), f"id {kind}, text_view binary, meta_view binary, quality double")
+    # However often an id repeats, one row of it comes to the driver.
+    found = found.groupBy("id").agg(F.min(F.struct("text_view", "meta_view", "quality")).alias("row")).select("row.*").toArrow()
     label = found.column("quality").to_numpy(zero_copy_only=False).astype(float)
     # The order in which tasks answer must not matter.
     order = np.argsort([zlib.crc32(b) for b in found.column("text_view").to_pylist()], kind="stable")

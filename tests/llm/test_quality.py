@@ -72,3 +72,12 @@ def test_labels_without_document_are_not_drawn(spark):
     df = spark.createDataFrame(DOCS, SHAPE)
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
     assert quality.train(df, labels, meta=("src", "size"), max_labelled=40).views is not None
+
+
+def test_one_row_of_an_id_is_fitted_to(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda views, label, pool: seen.append((len(label), len(pool[0]))))
+    df = spark.createDataFrame([*DOCS, *[(3, f"hot {i}", "s", i) for i in range(300)], *[(29, "hot", "s", i) for i in range(300)]], SHAPE)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    quality.train(df.repartition(5), labels, meta=("src", "size"))
+    assert seen == [(20, 10)]
