@@ -2,10 +2,12 @@
 
 from corpusloom.llm import (  # noqa: F401
     decontamination,
+    filter_audit,
     fingerprints,
     jaccard_join,
     line_dedup,
     lm_scoring,
+    packing,
     pieces,
     quality,
     sharding,
