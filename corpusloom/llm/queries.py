@@ -13,6 +13,7 @@ from corpusloom.llm import (  # noqa: F401
     sharding,
     substring_dedup,
     url_filter,
+    whitening,
 )
 from corpusloom.llm.registry import ORACLES, QUERIES
 
