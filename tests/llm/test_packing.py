@@ -113,6 +113,13 @@ def test_pack_is_whole_and_prefers_whole_pieces():
             assert at == n
 
 
+def test_ranks_give_the_ids_of_the_vocabulary(spark):
+    texts = [r["text"] for r in tables.read(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    texts += ["", " ", "\n\n  x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "\u00a0\u00e9\u0130\u024f \u0250", "\u4e2d\u6587 \U0001f600", "x" * 5000, " " * 5000, "I'll I'LL 12,3\x00\x1c\x85"]
+    want = ids_of(texts)
+    assert [x.tolist() for x in packing.tokenizer()(texts)] == [want[t] for t in texts]
+
+
 def test_gaps_are_filled_from_shorter_tiers():
     windows, rest = packing.pack([(0, 0, 1500), (1, 0, 500), (2, 0, 48), (3, 0, 256)])
     assert sorted(sorted(p[0] for p in w) for w in windows) == [[0, 1, 2], [3]] and rest == []
