@@ -18,6 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions import paths
 from corpusloom.session import ship_package
 
 NEVER = r"[^\s\S]"
@@ -172,3 +173,43 @@ def regex_column(arrays: Column, kind: str) -> Column:
         return lists.map(lambda ps: build([p for p in ps if p is not None]) if ps is not None else NEVER)
 
     return compile_patterns(arrays)
+
+
+# What a pattern and the paths it matches have in common, the most telling first.
+BY_NAME, BY_BOTH, BY_EXTENSION, BY_TOP, BY_NOTHING = "name", "top-ext", "ext", "top", "any"
+_WILD = set("*?[")
+
+
+def index_key(pattern: str) -> tuple[str, str]:
+    """A key that every path matched by the glob has too: its name, its first segment and extension or one of them, or nothing."""
+    parts = pattern.replace("\\", "/").split("/")
+    first, last = parts[0], parts[-1]
+    if last and not _WILD & set(last):
+        return BY_NAME, last
+    ending = last[last.rfind(".") :] if "[" not in last and "." in last else ""
+    ending = "" if _WILD & set(ending) else ending
+    top = first if len(parts) > 1 and not _WILD & set(first) else ""
+    if top and ending:
+        return BY_BOTH, f"{top}/{ending}"
+    if ending:
+        return BY_EXTENSION, ending
+    return (BY_TOP, top) if top else (BY_NOTHING, "")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "value", "regex")]))
+def _indexed(patterns: pd.Series) -> pd.DataFrame:
+    rows = [(*index_key(p), path_regex(p)) if p is not None else (None, None, None) for p in patterns]
+    return pd.DataFrame(rows, columns=["kind", "value", "regex"])
+
+
+def indexed(pattern: Column) -> Column:
+    """``kind, value, regex`` of a glob on whole paths; one call per pattern, never per file."""
+    ship_package(SparkSession.active())
+    return _indexed(pattern)
+
+
+def keys_of(path: Column) -> Column:
+    """The keys that patterns matching this path may have, as an array of ``kind, value``."""
+    ending, top = paths.extension(path), F.substring_index(path, "/", 1)
+    found = {BY_NAME: paths.base_name(path), BY_BOTH: F.concat(top, F.lit("/"), ending), BY_EXTENSION: ending, BY_TOP: top, BY_NOTHING: F.lit("")}
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in found.items()])

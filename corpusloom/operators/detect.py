@@ -57,9 +57,11 @@ def _with_dependencies(files: DataFrame, facts: DataFrame, names: list[str]) ->
     return facts.join(found, "project", "left").withColumn("deps", F.coalesce("deps", none))
 
 
-def project_types(files: DataFrame) -> DataFrame:
+def project_types(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``(project, type, status)``; the first rule that holds decides.
 
+    Paths are taken from ``index`` if it is given, and only manifests from ``files``.
+
     ``status`` is ``conflict`` for a Go module that is also a package (the type
     is then empty) and ``unsupported`` when nothing matches. Paths are read in
     one pass that combines before the shuffle; text is read for the root
@@ -71,7 +73,7 @@ def project_types(files: DataFrame) -> DataFrame:
     is_script = F.lit(False)
     for ext in JS_EXTENSIONS:
         is_script = is_script | lower.endswith(ext)
-    facts = files.groupBy("project").agg(
+    facts = (files if index is None else index).groupBy("project").agg(
         _has((GO_MODULE,)).alias("go_mod"),
         _has((MANIFEST,)).alias("manifest"),
         (_has(NX_FILES) | (_has_dir(NX_DIRS[0]) & _has_dir(NX_DIRS[1]))).alias("nx"),
@@ -106,10 +108,10 @@ def conflicts(files: DataFrame) -> DataFrame:
     )
 
 
-def frameworks(files: DataFrame) -> DataFrame:
-    """``(project, framework)``; the first framework whose files or dependency are found."""
+def frameworks(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``(project, framework)``; the first framework whose files or dependency are found. ``index`` as in ``project_types``."""
     counts = [_found(paths).alias(f"n{i}") for i, (_, paths, _, _) in enumerate(FRAMEWORKS)]
-    facts = files.groupBy("project").agg(*counts)
+    facts = (files if index is None else index).groupBy("project").agg(*counts)
     known = _with_dependencies(files, facts, [d for *_, d in FRAMEWORKS if d])
     name = F.lit(PLAIN_FRAMEWORK)
     for i, (label, _, enough, dependency) in reversed(list(enumerate(FRAMEWORKS))):

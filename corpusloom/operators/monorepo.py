@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import globs, paths, rules
 from corpusloom.functions.languages import language
 from corpusloom.functions.rules import Profile
 from corpusloom.operators.tree import BRANCH, GAP, LAST_BRANCH, PIPE
-from corpusloom.plans.ancestry import per_directory, targets_above
-from corpusloom.plans.ranking import MAX_ROWS, with_position
+from corpusloom.plans.ancestry import below
+from corpusloom.plans.ranking import PLACE, with_position
 from corpusloom.plans.skew import join_facts
 from corpusloom.sources.files import is_unread
 
@@ -33,26 +33,23 @@ def subprojects(files: DataFrame) -> DataFrame:
     roots = files.filter(
         (paths.base_name(path) == MARKER) & path.contains("/") & top.isin(*FOLDERS)
     ).select("project", paths.parent(path).alias("root"))
-    inside = roots.select("project", "root", F.explode_outer(paths.prefixes(F.col("root"), False)).alias("outer"))
-    known = roots.select("project", F.col("root").alias("outer"), F.lit(True).alias("nested"))
-    outermost = (
-        inside.join(known, ["project", "outer"], "left")
-        .groupBy("project", "root")
-        .agg(F.bool_or("nested").alias("nested"))
-        .filter("nested IS NULL")
-    )
+    # In tree order what lies below a root follows it without a break: a root is inside another if one before it has not ended.
+    walk = paths.tree_key(F.col("root"), F.lit(True))
+    earlier = Window.partitionBy("project").orderBy("walk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.max(F.concat("walk", F.lit("\x01"))).over(earlier)
+    outermost = roots.withColumn("walk", walk).withColumn("ends", ends).filter("ends IS NULL OR ends <= walk")
     root = F.col("root")
     return outermost.select(
         "project", paths.base_name(root).alias("name"), F.substring_index(root, "/", 1).alias("type"), "root"
     )
 
 
-def listed(subs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def listed(subs: DataFrame) -> DataFrame:
     """Adds ``idx``, the 1-based number of each sub-project in its project's listing."""
     keyed = subs.withColumn("__folder", F.array_position(F.array(*map(F.lit, FOLDERS)), F.col("type"))).withColumn(
         "__walk", F.replace("root", F.lit("/"), F.lit(paths.SEP))
     )
-    return with_position(keyed, ["project"], ["__folder", "__walk"], "idx", max_rows).drop("__folder", "__walk")
+    return with_position(keyed, ["project"], ["__walk"], "idx", ["__folder"]).drop("__folder", "__walk")
 
 
 def pick(numbered: DataFrame, choices: DataFrame) -> DataFrame:
@@ -99,28 +96,31 @@ def important_root_files(files: DataFrame, important: Sequence[str], profile: Pr
     )
 
 
-def assign(files: DataFrame, subs: DataFrame) -> DataFrame:
-    """Files below a sub-project root, with the columns of ``subs``; others are left out."""
-    targets = subs.withColumn("target", F.col("root"))
-    return per_directory(files, targets_above(files, targets).drop("target"), "inner")
+def assign(index: DataFrame, subs: DataFrame) -> DataFrame:
+    """Files of ``index`` (``ranking.path_index``) below a sub-project root, with the columns of ``subs``; others are left out.
+
+    Roots lie beside each other, not within. One that is picked several times gives its files as often.
+    """
+    found = below(index, subs.select("project", F.col("root").alias("target")))
+    return join_facts(found.withColumnRenamed("target", "root"), subs, ["project", "root"])
 
 
-def by_type(subs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def by_type(subs: DataFrame) -> DataFrame:
     """Sub-projects by type, sorted, with ``pos``, the position within the type."""
-    return with_position(subs, ["project", "type"], ["name", "root"], "pos", max_rows)
+    return with_position(subs, ["project", "type"], ["name", "root"], "pos")
 
 
 def _connector(is_last: Column) -> Column:
     return F.when(is_last, F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
 
 
-def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def overview(subs: DataFrame, roots: DataFrame) -> DataFrame:
     """Overview of each monorepo, ``(project, ord, line)``.
 
     Types with their sub-projects come first, then the root files. ``roots`` is
-    ``(project, path)``. Every entry is a row; only the last name of a list and
-    a few flags are looked up per entry. Both inputs are read several times:
-    pass stored tables. A ``pick`` column tells repeated sub-projects apart.
+    ``(project, path)``, with ``place`` where it is known. Every entry is a row;
+    only the last name of a list and a few flags are looked up per entry. A
+    ``pick`` column tells repeated sub-projects apart.
     """
     if "pick" not in subs.columns:
         subs = subs.withColumn("pick", F.lit(0).cast("bigint"))
@@ -135,7 +135,8 @@ def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> Dat
     def rows(df: DataFrame, part: int, line: Column, **place: str) -> DataFrame:
         keys = [F.expr(place.get(k, "''")).cast("string").alias(k) for k in ("kind", "label", "root")]
         pick = F.expr(place.get("pick", "0")).cast("bigint").alias("pick")
-        return df.select("project", F.lit(part).alias("part"), *keys, pick, line.alias("line"))
+        at = F.col(PLACE) if part == 3 else F.lit(0).alias(PLACE)
+        return df.select("project", F.lit(part).alias("part"), *keys, pick, at, line.alias("line"))
 
     members = join_facts(
         subs.select("project", "type", "name", "root", "pick"),
@@ -148,7 +149,9 @@ def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> Dat
         F.col("name"),
     )
     type_line = F.concat(_connector(F.col("closes")), F.col("type"), F.lit("/"))
-    files = join_facts(roots.select("project", "path"), last_file, ["project"])
+    if PLACE not in roots.columns:
+        roots = roots.withColumn(PLACE, F.lit(0))
+    files = join_facts(roots.select("project", "path", PLACE), last_file, ["project"])
     file_line = F.concat(_connector(F.col("path") == F.col("last_file")), F.col("path"))
     both = ends.filter("last_type IS NOT NULL AND last_file IS NOT NULL")
     every = (
@@ -159,5 +162,5 @@ def overview(subs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> Dat
         .unionByName(rows(both, 2, F.lit(PIPE.strip())))
         .unionByName(rows(files, 3, file_line, label="path"))
     )
-    order = ["part", "kind", "label", "root", "pick"]
-    return with_position(every, ["project"], order, "ord", max_rows).select("project", "ord", "line")
+    numbered = with_position(every, ["project"], ["label", "root", "pick"], blocks=["part", "kind", PLACE])
+    return numbered.select("project", "ord", "line")

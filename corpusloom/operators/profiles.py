@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 from corpusloom.functions import globs, paths, rules
 from corpusloom.functions.languages import language
 from corpusloom.functions.rules import Profile
+from corpusloom.operators import tree
 from corpusloom.plans.skew import join_facts
 from corpusloom.session import materialize, ship_package
-from corpusloom.sources.files import is_unread
 
 # Defaults of the settings that are not rules.
 DEFAULT_OUTPUT = {"output_format": "markdown", "output_filename": "project_docs.md", "append_timestamp": True}
@@ -107,22 +107,31 @@ def effective_excludes(excluded: Column, filename: Column, include_docs: Column)
     return F.array_union(F.array_union(user, _strings(rules.SYSTEM_NAMES)), docs)
 
 
-@F.pandas_udf(T.StringType())
-def _exclude_regex(excludes: pd.Series, important: pd.Series) -> pd.Series:
-    rows = zip(excludes, important)
-    return pd.Series([rules.exclude_regex(list(e), list(i), directory=False) for e, i in rows])
+def _exclude_regex(directory: bool):  # noqa: ANN202
+    @F.pandas_udf(T.StringType())
+    def regex(excludes: pd.Series, important: pd.Series) -> pd.Series:
+        rows = zip(excludes, important)
+        return pd.Series([rules.exclude_regex(list(e), list(i), directory=directory) for e, i in rows])
+
+    return regex
 
 
 def compile_rules(profiles: DataFrame) -> DataFrame:
     """A stored copy of the profiles with the regexes of their pattern lists.
 
     Python is called once per profile, and the stored table has a known size:
-    Spark sends it to every task only if it is small.
+    Spark sends it to every task only if it is small. A ``max_depth`` column is
+    optional; without one no project has a depth limit.
     """
     ship_package(profiles.sparkSession)
+    if "exclude_re" in profiles.columns:
+        return profiles
+    if "max_depth" not in profiles.columns:
+        profiles = profiles.withColumn("max_depth", F.lit(None).cast("int"))
     excludes = effective_excludes(F.col("excluded_patterns"), F.col("output_filename"), F.col("include_docs"))
     compiled = (
-        profiles.withColumn("exclude_re", _exclude_regex(excludes, F.col("important_files")))
+        profiles.withColumn("exclude_re", _exclude_regex(False)(excludes, F.col("important_files")))
+        .withColumn("prune_re", _exclude_regex(True)(excludes, F.col("important_files")))
         .withColumn("roots_re", globs.regex_column(F.col("included_paths"), "roots"))
         .withColumn("patterns_re", globs.regex_column(F.col("include_patterns"), "paths"))
     )
@@ -153,6 +162,47 @@ def select(files: DataFrame, profiles: DataFrame) -> DataFrame:
     return joined.filter(is_selected(F.col("path"))).select(*files.columns)
 
 
+def _within_depth(path: Column) -> Column:
+    return F.col("max_depth").isNull() | (paths.depth(path) <= F.col("max_depth") + 1)
+
+
+def _is_listed(path: Column, config_stem: str) -> Column:
+    """The name rules of tree and sections, by the compiled profile columns of the row."""
+    filename = F.col("output_filename")
+    outputs = rules.is_own_output(paths.base_name(path), filename, output_stem(filename))
+    return _within_depth(path) & ~rules.is_own_config(path, config_stem) & ~outputs & ~_finds(path, "exclude_re")
+
+
+def _is_off(path: Column) -> Column:
+    """Dropped by a category toggle, unless the path ends in an important name."""
+    important = F.exists(F.col("important_files"), lambda item: path.endswith(item))
+    return rules.is_toggled_off(path, {flag: F.col(flag) for flag in rules.CATEGORIES}) & ~important
+
+
+def listed(index: DataFrame, compiled: DataFrame, config_stem: str = Profile().config_stem) -> DataFrame:
+    """The files of ``index`` that each project's own profile shows in its tree."""
+    path = F.col("path")
+    joined = join_facts(index, compiled, ["project"])
+    return joined.filter(_is_listed(path, config_stem) & ~_is_off(path)).select(*index.columns)
+
+
+def directories(index: DataFrame, compiled: DataFrame, config_stem: str = Profile().config_stem) -> DataFrame:
+    """The directories that each project's own profile enters, ``(project, path, place)``; ``index`` is the whole scan."""
+    found = tree.directories(index)
+    path = F.col("path")
+    pruned = _finds(path, "prune_re") | rules.is_own_config(path, config_stem)
+    return join_facts(found, compiled, ["project"]).filter(_within_depth(path) & ~pruned).select(*found.columns)
+
+
+def decided(index: DataFrame, compiled: DataFrame, config_stem: str = Profile().config_stem) -> DataFrame:
+    """The files of ``index`` that get a section, with ``lang, skipped, documentation_mode``, by compiled profiles."""
+    path, name = F.col("path"), paths.base_name(F.col("path"))
+    leftovers = rules.is_leftover(name) & ~F.array_contains("important_files", name)
+    kept = join_facts(index, compiled, ["project"]).filter(_is_listed(path, config_stem) & ~leftovers & is_selected(path))
+    too_large = F.coalesce(F.col("size") > F.col("max_file_size"), F.lit(False))
+    return kept.select(*index.columns, language(path).alias("lang"), (_is_off(path) | too_large).alias("skipped"), "documentation_mode")
+
+
 def decide(files: DataFrame, profiles: DataFrame, config_stem: str = Profile().config_stem) -> DataFrame:
     """Per kept file ``project, path, size, lang, skipped`` under its project's profile.
 
@@ -160,21 +210,5 @@ def decide(files: DataFrame, profiles: DataFrame, config_stem: str = Profile().c
     itself is not shuffled; join it back by ``(project, path)`` where needed.
     """
     slim = files.select("project", "path", "size", F.col("content").isNull().alias("unreadable"))
-    joined = join_facts(slim, compile_rules(profiles), ["project"])
-    path, name = F.col("path"), paths.base_name(F.col("path"))
-    important = F.col("important_files")
-    outputs = rules.is_own_output(name, F.col("output_filename"), output_stem(F.col("output_filename")))
-    leftovers = rules.is_leftover(name) & ~F.array_contains(important, name)
-    kept = (
-        ~rules.is_own_config(path, config_stem)
-        & ~outputs
-        & ~leftovers
-        & ~_finds(path, "exclude_re")
-        & is_selected(path)
-    )
-    listed = F.exists(important, lambda item: path.endswith(item))
-    off = rules.is_toggled_off(path, {flag: F.col(flag) for flag in rules.CATEGORIES}) & ~listed
-    unread = is_unread(F.col("size"), F.when(~F.col("unreadable"), F.lit("")), F.col("max_file_size"))
-    return joined.filter(kept).select(
-        "project", "path", "size", language(path).alias("lang"), (off | F.coalesce(unread, F.lit(True))).alias("skipped")
-    )
+    rows = decided(slim, compile_rules(profiles), config_stem)
+    return rows.select("project", "path", "size", "lang", (F.col("skipped") | F.col("unreadable") | F.col("size").isNull()).alias("skipped"))

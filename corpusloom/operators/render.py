@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import headers, paths
 from corpusloom.functions.languages import fence_language
+from corpusloom.plans.ranking import PLACE
+from corpusloom.session import ship_package
 
 FULL, HEADERS = "full", "headers"
 FENCE = "```"
 
-# What orders the rows of one project's document.
-ORDER = ("part", "unit", "step", "key", "line")
+# What orders the rows of one project's document; a task sorts those that agree in the blocks.
+BLOCKS = ("part", "unit", "step", PLACE)
+ORDER = (*BLOCKS, "key", "line")
 
 
 @dataclass(frozen=True)
@@ -178,7 +182,10 @@ def fragments(
     key: Column | str = "",
     line: Column | int = 0,
 ) -> DataFrame:
-    """One text row per input row, with the columns that place it in the document."""
+    """One text row per input row, with the columns that place it in the document.
+
+    A ``place`` column of the input, the range that the row's key lies in, is kept.
+    """
 
     def column(value: Column | str | int, kind: str) -> Column:
         return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
@@ -188,6 +195,7 @@ def fragments(
         F.lit(part).alias("part"),
         column(unit, "bigint").alias("unit"),
         F.lit(step).alias("step"),
+        F.col(PLACE) if PLACE in df.columns else F.lit(0).alias(PLACE),
         column(key, "string").alias("key"),
         column(line, "bigint").alias("line"),
         column(markdown, "string").alias("markdown"),
@@ -208,6 +216,27 @@ def file_fragments(
     return fragments(with_section(files, mode, texts), F.col("markdown"), part, unit, step, place)
 
 
+def custom_fragments(
+    files: DataFrame, section: Callable[[str, str | None], Iterable[str]], part: int, unit: Column | int = 0, step: int = 0
+) -> DataFrame:
+    """Sections of one's own: ``section(path, content)`` gives the texts of a file, in order.
+
+    It runs as a table function on the executors, once per file, so it must be
+    importable there or have no module of its own; texts end in a newline. Add the
+    result to a job's fragments by ``unionByName``: part, unit and step place it,
+    and files follow in tree order.
+    """
+
+    class Section:
+        def eval(self, path: str, content: str | None) -> Iterator[tuple[int, str]]:
+            yield from enumerate(section(path, content))
+
+    ship_package(files.sparkSession)
+    texts = F.udtf(Section, returnType="line: bigint, markdown: string")
+    rows = files.lateralJoin(texts(F.col("path").outer(), F.col("content").outer()))
+    return fragments(rows, F.col("markdown"), part, unit, step, paths.tree_key(F.col("path"), F.lit(False)), F.col("line"))
+
+
 def output_name(filename: Column, append_timestamp: Column, run_ts: Column) -> Column:
     """Name of the document: a stamp before the extension if asked for, a stamped default if unnamed."""
     stamp = F.date_format(run_ts, "yyyyMMdd_HHmmss")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import split_list
-from corpusloom.plans.ranking import MAX_ROWS, with_position
+from corpusloom.plans.ranking import with_position
 from corpusloom.schemas import SELECTION_LOG
 
 LAST = "last"
@@ -128,12 +128,12 @@ def dispatch(profiles: DataFrame, requests: DataFrame, log: DataFrame) -> DataFr
     return known.select(*[changed.get(c, F.col(c)) for c in profiles.columns], status.alias("status"))
 
 
-def catalogue(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def catalogue(log: DataFrame) -> DataFrame:
     """Existing selections in key order: ``project, ord, key, name, description, n_paths, label``."""
     names = current(log).filter(F.col("key") != LAST)
     # Entries are ordered as the files they stand for, whose names continue with a dot.
     keyed = names.withColumn("__file", F.concat("key", F.lit(".")))
-    listed = with_position(keyed, ["project"], ["__file"], "ord", max_rows)
+    listed = with_position(keyed, ["project"], ["__file"])
     n = F.coalesce(F.size("paths"), F.lit(0)).cast("bigint")
     note = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" - "), "description"))
     label = F.concat(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def classify(files: DataFrame, profile: Profile, type_rule: str = "stub") -> Dat
     )
 
 
+def decide(index: DataFrame, profile: Profile, type_rule: str = "stub") -> DataFrame:
+    """The same decisions from paths and sizes alone; ``with_texts`` adds the contents."""
+    return classify(index.withColumn("content", F.lit("")), profile, type_rule).drop("content")
+
+
+def with_texts(decided: DataFrame, files: DataFrame, on: Sequence[str] = ("project", "path")) -> DataFrame:
+    """Joins ``content`` to the files that are shown; those without any become skipped. Texts move once, by file."""
+    texts = files.select(*on, "content")
+    shown = decided.filter(~F.col("skipped")).join(texts, list(on)).withColumn("skipped", F.col("content").isNull())
+    stubs = decided.filter("skipped").withColumn("content", F.lit(None).cast("string"))
+    return shown.unionByName(stubs)
+
+
 def listed(files: DataFrame, profile: Profile) -> DataFrame:
     """The files shown in the tree; the selection only decides about sections."""
     path = F.col("path")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, rules
 from corpusloom.functions.rules import Profile
-from corpusloom.plans.ranking import MAX_ROWS, with_position
+from corpusloom.plans.ranking import PLACE, with_position
 from corpusloom.plans.skew import join_facts
 
 # The pieces of a drawn tree.
@@ -21,16 +21,16 @@ ROOT = "."
 
 
 def directories(files: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """Every directory above any scanned file, ``(project, path)``.
+    """Every directory above any scanned file, ``(project, path, place)``.
 
     ``files`` must be the whole scan: a directory stays even when all of its
     files are filtered out. With a profile, pruned directories are left out.
     """
-    parents = files.select("project", paths.parent(F.col("path")).alias("dir")).distinct()
-    found = (
-        parents.select("project", F.explode(paths.prefixes(F.col("dir"), include_self=True)).alias("path"))
-        .distinct()
-    )
+    # A directory lies in the range of its first file; it stands right before it.
+    place = F.min(PLACE if PLACE in files.columns else F.lit(0)).alias(PLACE)
+    parents = files.groupBy("project", paths.parent(F.col("path")).alias("dir")).agg(place)
+    chains = parents.select("project", F.explode(paths.prefixes(F.col("dir"), include_self=True)).alias("path"), PLACE)
+    found = chains.groupBy("project", "path").agg(F.min(PLACE).alias(PLACE))
     if profile is None:
         return found
     path = F.col("path")
@@ -38,9 +38,10 @@ def directories(files: DataFrame, profile: Profile | None = None) -> DataFrame:
 
 
 def nodes(files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """One row per tree node: ``project, path, parent, name, is_dir, sort_key``."""
-    both = dirs.select("project", "path", F.lit(True).alias("is_dir")).unionByName(
-        files.select("project", "path", F.lit(False).alias("is_dir"))
+    """One row per tree node: ``project, path, parent, name, is_dir, sort_key, place``."""
+    place = F.col(PLACE) if PLACE in files.columns else F.lit(0).alias(PLACE)
+    both = dirs.select("project", "path", F.lit(True).alias("is_dir"), PLACE).unionByName(
+        files.select("project", "path", F.lit(False).alias("is_dir"), place)
     )
     path = F.col("path")
     return both.select(
@@ -50,12 +51,13 @@ def nodes(files: DataFrame, dirs: DataFrame) -> DataFrame:
         paths.base_name(path).alias("name"),
         "is_dir",
         paths.tree_key(path, F.col("is_dir")).alias("sort_key"),
+        PLACE,
     )
 
 
-def in_order(tree: DataFrame, max_rows: int = MAX_ROWS, sizes: DataFrame | None = None) -> DataFrame:
-    """Adds ``ord``, the 1-based position in tree order."""
-    return with_position(tree, ["project"], ["sort_key"], "ord", max_rows, sizes)
+def in_order(tree: DataFrame) -> DataFrame:
+    """Adds ``ord``, the 1-based position in tree order; a task sorts the nodes of one place."""
+    return with_position(tree, ["project"], ["sort_key"], blocks=[PLACE])
 
 
 def _last_children(tree: DataFrame) -> DataFrame:
@@ -106,9 +108,9 @@ def with_lines(tree: DataFrame) -> DataFrame:
     return drawn.withColumn("line", line).drop("last", "indent")
 
 
-def lines(tree: DataFrame, max_rows: int = MAX_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+def lines(tree: DataFrame) -> DataFrame:
     """The drawn tree of each project, ``(project, ord, line)``; the root line has ``ord`` 0."""
-    drawn = in_order(with_lines(tree), max_rows, sizes).select("project", "ord", "line")
+    drawn = in_order(with_lines(tree)).select("project", "ord", "line")
     root = tree.select("project").distinct().select(
         "project", F.lit(0).cast("bigint").alias("ord"), F.lit(ROOT).alias("line")
     )

@@ -1,105 +1,52 @@
-"""Positions within ordered groups, without putting a large group in one task."""
+"""Positions and running sums in ordered groups, without putting a large group in one task.
+
+A large group is cut into ranges of its order. Range partitioning of a corpus's
+paths, stored once, gives them: ``path_index`` numbers its partitions, and the
+first keys of partitions tell the range of any other row. Ranges only decide
+which task sorts a row; positions are exact whatever they are. Nothing is counted
+or collected when a plan is built.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from corpusloom.plans.skew import join_facts
 
-# Rows of one group one task may sort; larger groups are cut into ranges.
-MAX_ROWS = 1_000_000
+from corpusloom.functions import paths
+from corpusloom.session import materialize
 
-# Sampled keys per range.
-SAMPLES = 40
+#: Column of the range a row lies in; rows without one lie in a single range.
+PLACE = "place"
 
-# Entries of a driver-built table that may be sent to every task.
-MAX_BROADCAST = 500_000
 
+def path_index(files: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``project, path, size, sort_key, place, leads``: a corpus's paths in tree order, stored once, without texts.
 
-def in_ranges(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    name: str = "range",
-    max_rows: int = MAX_ROWS,
-    sizes: DataFrame | None = None,
-) -> DataFrame | None:
-    """Adds the number of each row's key range within its group; None if no group needs cutting.
-
-    Groups of at most ``max_rows`` rows have the single range 0. The cut points
-    of a larger one come from a hash sample of its keys, so they balance the
-    ranges but decide nothing else: ranges are disjoint and ordered whatever
-    the sample looks like. The driver sees one cut point per ``max_rows`` rows of
-    a large group, and one task sorts ``SAMPLES`` keys for each.
-
-    ``sizes`` (group columns and ``n``) replaces counting ``df`` when the caller
-    has cheaper counts of the same magnitude.
+    ``place`` is the number of the range, ``leads`` marks its first row. There
+    are as many ranges as shuffle partitions unless ``ranges`` is given.
     """
-    group, order = list(group), list(order)
-    counts = sizes if sizes is not None else df.groupBy(*group).agg(F.count("*").alias("n"))
-    large = counts.filter(F.col("n") > max_rows).collect()
-    if not large:
-        return None
-    cuts, points, longest = _cut_points(df, group, order, large, max_rows)
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    found = _lookup(df, cuts, points, group, order, "left")
-    at = F.coalesce(_range_of("__cuts", key, longest), F.lit(0))
-    return found.withColumn(name, at).drop("__cuts")
-
+    slim = files.select("project", "path", "size", paths.tree_key(F.col("path"), F.lit(False)).alias("sort_key"))
+    keys = ["project", "sort_key"]
+    ordered = (slim.repartitionByRange(ranges, *keys) if ranges else slim.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    # Row numbers count from 0 in each partition, in their low 33 bits.
+    leads = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return materialize(ordered.withColumn(PLACE, F.spark_partition_id()).withColumn("leads", leads), "paths")
 
-def with_position(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    name: str = "ord",
-    max_rows: int = MAX_ROWS,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Adds the 1-based position of each row in its group, ordered by ``order``.
 
-    Rows are numbered per group, or per range of a group that is too large for
-    one task (see ``in_ranges``) and then shifted by the number of rows in the
-    ranges before it.
-    """
-    group, order = list(group), list(order)
-    ranged = in_ranges(df, group, order, "__range", max_rows, sizes)
-    if ranged is None:
-        return df.withColumn(name, _row_number(group, order))
-    filled = ranged.groupBy(*group, "__range").agg(F.count("*").alias("__rows"))
-    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = filled.select(
-        *group, "__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
-    )
-    return (
-        ranged.withColumn(name, _row_number([*group, "__range"], order))
-        .join(offsets, [*group, "__range"])
-        .withColumn(name, F.col(name) + F.col("__before"))
-        .drop("__range", "__before")
-    )
-
-
-def _row_number(group: list[str], order: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
-
-
-def _lookup(
-    df: DataFrame, small: DataFrame, entries: int, group: list[str], order: list[str], how: str
-) -> DataFrame:
-    """Joins a table the driver built, whose number of entries it therefore knows.
+def with_place(rows: DataFrame, index: DataFrame, key: Column) -> DataFrame:
+    """Adds ``place`` to rows of ``project`` and a tree-order ``key``: how many ranges of ``index`` begin at or before it in its project.
 
-    Up to ``MAX_BROADCAST`` entries go to every task; more are joined by key.
+    What is sent to every task is one key for each range of the index.
     """
-    if entries <= MAX_BROADCAST:
-        return df.join(F.broadcast(small), group, how)
-    return join_facts(df, small, group, how)
+    cuts = index.filter("leads").groupBy("project").agg(F.array_sort(F.collect_list("sort_key")).alias("__cuts"))
+    found = rows.join(F.broadcast(cuts), "project", "left")
+    return found.withColumn(PLACE, F.coalesce(_range_of("__cuts", key), F.lit(0))).drop("__cuts")
 
 
-def _range_of(cuts: str, key: Column, longest: int) -> Column:
-    """How many cut points are at or below ``key``, by binary search."""
+def _range_of(cuts: str, key: Column) -> Column:
+    """How many cut points are at or below ``key``, by binary search; null without cut points."""
     between = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
 
     def halve(state: Column, _: Column) -> Column:
@@ -111,36 +58,44 @@ def _range_of(cuts: str, key: Column, longest: int) -> Column:
             F.when((low < high) & ~above, middle).otherwise(high).alias("high"),
         )
 
-    steps = F.sequence(F.lit(1), F.lit(max(1, longest.bit_length())))
-    return F.aggregate(steps, between, halve, lambda state: state["low"])
-
-
-def _cut_points(
-    df: DataFrame, group: list[str], order: list[str], large: list[Row], max_rows: int
-) -> tuple[DataFrame, int, int]:
-    """One row per large group with its sorted array of cut points, their number, the longest array."""
-    spark = df.sparkSession
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    groups = [T.StructField(g, kinds[g]) for g in group]
-    keys = T.StructType([T.StructField(f"k{i}", kinds[c]) for i, c in enumerate(order)])
-    # Of each large group one key in ``step`` is kept, about SAMPLES of them per range.
-    step = max(1, max_rows // SAMPLES)
-    wanted = spark.createDataFrame(
-        [(*[row[g] for g in group], step) for row in large],
-        T.StructType([*groups, T.StructField("__step", T.LongType())]),
-    )
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    keyed = df.select(*dict.fromkeys([*group, *order]))
-    sample = _lookup(keyed, wanted, len(large), group, order, "inner").filter(
-        F.pmod(F.xxhash64(*order), F.col("__step")) == 0
-    )
-    every = min(SAMPLES, max_rows)
-    rows = (
-        sample.groupBy(*group)
-        .agg(F.array_sort(F.collect_list(key)).alias("keys"))
-        .select(*group, F.filter("keys", lambda _, i: (i % every == 0) & (i > 0)).alias("__cuts"))
-        .collect()
-    )
-    lengths = [len(r["__cuts"]) for r in rows]
-    schema = T.StructType([*groups, T.StructField("__cuts", T.ArrayType(keys))])
-    return spark.createDataFrame(rows, schema), sum(lengths), max(lengths, default=0)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    return F.when(F.col(cuts).isNotNull(), F.aggregate(steps, between, halve, lambda state: state["low"]))
+
+
+def with_position(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    name: str = "ord",
+    blocks: Sequence[str] = (),
+    sums: dict[str, str] | None = None,
+) -> DataFrame:
+    """Adds the 1-based position of each row in its group, ordered by ``blocks`` and then by ``order``.
+
+    One task sorts the rows of a group that agree in ``blocks``, and what lies
+    before them is added. ``sums`` names further columns: the sum of a column
+    over the rows of the group before this one.
+    """
+    group, blocks, sums = list(group), list(blocks), dict(sums or {})
+    inside = Window.partitionBy(*group, *blocks).orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    own = {name: F.row_number().over(inside).cast("bigint")}
+    own.update({out: F.coalesce(F.sum(column).over(earlier), F.lit(0)) for out, column in sums.items()})
+    numbered = df.withColumns(own)
+    if not blocks:
+        return numbered
+    counts = df.groupBy(*group, *blocks).agg(F.count("*").alias(name), *[F.sum(column).alias(out) for out, column in sums.items()])
+    before = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    facts = counts.select(*group, *blocks, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in own])
+    whole = numbered.join(facts, [*group, *blocks])
+    return whole.select(*df.columns, *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in own])
+
+
+def with_running_max(df: DataFrame, group: Sequence[str], order: Sequence[str], column: str, name: str, blocks: Sequence[str]) -> DataFrame:
+    """Adds the largest ``column`` of the group's rows up to this one, in the order of ``blocks`` and then ``order``; null if there is none."""
+    keys = [*group, *blocks]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    facts = df.groupBy(*keys).agg(F.max(column).alias("__most")).select(*keys, F.max("__most").over(before).alias("__before"))
+    own = df.withColumn(name, F.max(column).over(inside)).join(facts, keys)
+    return own.withColumn(name, F.greatest(name, "__before")).drop("__before")

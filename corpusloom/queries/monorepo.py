@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import monorepo
+from corpusloom.plans.ranking import path_index
 from corpusloom.queries.registry import FILES, language_sql, query
 from corpusloom.session import materialize
 from corpusloom.sources.derived import corpus
@@ -52,14 +53,9 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
     return files.unionByName(markers)
 
 
-def stored_subprojects(files: DataFrame) -> DataFrame:
-    """Numbering and drawing read the sub-projects several times, so they are written once."""
-    return materialize(monorepo.subprojects(files.select("project", "path")), "subprojects")
-
-
 @query("subprojects", f"WITH {FILES}, {WIDE_SQL} SELECT project, idx, name, type, root FROM numbered")
 def subprojects(spark: SparkSession, sf: str) -> DataFrame:
-    return monorepo.listed(stored_subprojects(wide(spark, sf)))
+    return monorepo.listed(monorepo.subprojects(wide(spark, sf)))
 
 
 ROOTS = Profile(excluded_patterns=("*.tmp", "page_*"), output_filename="output.md")
@@ -104,9 +100,9 @@ FROM wide f JOIN subs s ON s.project = f.project AND starts_with(f.path, s.root
 """,
 )
 def subproject_files(spark: SparkSession, sf: str) -> DataFrame:
-    files = wide(spark, sf).select("project", "path")
-    subs = monorepo.subprojects(files).withColumnRenamed("name", "subproject")
-    return monorepo.assign(files, subs)
+    index = path_index(wide(spark, sf))
+    subs = monorepo.subprojects(index).withColumnRenamed("name", "subproject")
+    return monorepo.assign(index, subs).select("project", "path", "subproject", "type", "root")
 
 
 CHOICE_SQL = """
@@ -141,7 +137,8 @@ def choices(files: DataFrame) -> DataFrame:
 
 @query("subproject_pick", f"WITH {FILES}, {WIDE_SQL}, {CHOICE_SQL} SELECT project, pick, idx, name, type, root FROM picked")
 def subproject_pick(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = monorepo.listed(stored_subprojects(wide(spark, sf)))
+    # Listed sub-projects are looked up by number and taken whole: stored, so that both read one listing.
+    numbered = materialize(monorepo.listed(monorepo.subprojects(wide(spark, sf))), "listed")
     return monorepo.pick(numbered, choices(corpus(spark, sf)))
 
 
@@ -153,7 +150,7 @@ SELECT project, type, row_number() OVER (PARTITION BY project, type ORDER BY nam
 """,
 )
 def subprojects_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return monorepo.by_type(stored_subprojects(wide(spark, sf)))
+    return monorepo.by_type(monorepo.subprojects(wide(spark, sf)))
 
 
 OVERVIEW_SQL = """
@@ -193,6 +190,6 @@ SELECT * FROM overview
 """,
 )
 def section_monorepo(spark: SparkSession, sf: str) -> DataFrame:
-    files = wide(spark, sf).select("project", "path")
-    roots = materialize(files.filter("path NOT LIKE '%/%' AND path LIKE '%.json'"), "root-files")
-    return monorepo.overview(stored_subprojects(files), roots)
+    index = path_index(wide(spark, sf))
+    roots = index.filter("path NOT LIKE '%/%' AND path LIKE '%.json'")
+    return monorepo.overview(monorepo.subprojects(index), roots)

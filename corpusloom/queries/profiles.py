@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import profiles
 from corpusloom.queries.registry import FILES, language_sql, query, system_dir_sql, system_name_sql
+from corpusloom.queries.trees import nodes_sql
 from corpusloom.sources.derived import corpus
 
 # Partial profiles for most projects, varied by the project's number of files n.
@@ -180,6 +181,22 @@ def _entry(s: str) -> str:
       OR regexp_matches({s}, '^' || stem || '.*\\.md$'))"""
 
 
+def _no_own_pattern_sql() -> str:
+    """Not excluded by a pattern with a slash, nor an output of the project's own."""
+    return """NOT (list_contains(excluded_patterns, 'docs/api/**') AND starts_with(path, 'docs/api/'))
+    AND NOT (list_contains(excluded_patterns, 'src/**/deep/*.go') AND regexp_matches(path, '^src/(.*/)?deep/[^/]*\\.go$'))
+    AND name <> string_split(output_filename, '/')[-1]
+    AND NOT regexp_matches(name, '^' || stem || '.*\\.md$')"""
+
+
+TOGGLED_SQL = """(((NOT include_styles AND regexp_matches(lower(name), '\\.(css|scss|sass|less)$'))
+           OR (NOT include_markup AND regexp_matches(lower(name), '\\.html?$'))
+           OR (NOT include_configs AND (regexp_matches(lower(name), '\\.(json|ya?ml)$') OR contains(lower(name), 'config')))
+           OR (NOT include_tests AND (contains(lower(name), '.spec.') OR contains(lower(name), '.test.')))
+           OR (NOT include_docs AND regexp_matches(lower(name), '\\.(md|markdown)$')))
+          AND len(list_filter(important_files, lambda x: ends_with(path, x))) = 0)"""
+
+
 DECIDED_SQL = f"""
 joined AS (
   SELECT f.*, p.* EXCLUDE (project),
@@ -188,26 +205,39 @@ joined AS (
 ),
 decided AS (
   SELECT project, path, size, {language_sql()} AS lang,
-         (((NOT include_styles AND regexp_matches(lower(name), '\\.(css|scss|sass|less)$'))
-           OR (NOT include_markup AND regexp_matches(lower(name), '\\.html?$'))
-           OR (NOT include_configs AND (regexp_matches(lower(name), '\\.(json|ya?ml)$') OR contains(lower(name), 'config')))
-           OR (NOT include_tests AND (contains(lower(name), '.spec.') OR contains(lower(name), '.test.')))
-           OR (NOT include_docs AND regexp_matches(lower(name), '\\.(md|markdown)$')))
-          AND len(list_filter(important_files, lambda x: ends_with(path, x))) = 0)
+         {TOGGLED_SQL}
          OR size > max_file_size AS skipped
   FROM joined
   WHERE len(list_filter(seg, lambda s: {_entry("s")} AND NOT list_contains(important_files, s))) = 0
     AND len(list_filter(seg[:-2], lambda s: {system_dir_sql("s")} AND NOT list_contains(important_files, s))) = 0
-    AND NOT (list_contains(excluded_patterns, 'docs/api/**') AND starts_with(path, 'docs/api/'))
-    AND NOT (list_contains(excluded_patterns, 'src/**/deep/*.go') AND regexp_matches(path, '^src/(.*/)?deep/[^/]*\\.go$'))
-    AND name <> string_split(output_filename, '/')[-1]
-    AND NOT regexp_matches(name, '^' || stem || '.*\\.md$')
+    AND {_no_own_pattern_sql()}
     AND NOT starts_with(name, '~$')
     AND {SELECTED_SQL}
 )
 """
 
 
+def tree_by_profile_sql() -> str:
+    """Nodes, order and drawn lines of each project's tree under its own profile."""
+    dirs = """(SELECT DISTINCT project, seg[:i] AS seg FROM (SELECT project, seg, unnest(range(1, len(seg))) AS i FROM files))"""
+    nodes = f"""
+nodes AS (
+  SELECT project, seg, true AS is_dir FROM (
+    SELECT d.project, d.seg, p.*  EXCLUDE (project), array_to_string(d.seg, '/') AS path,
+           regexp_replace(string_split(output_filename, '/')[-1], '\\.[^.]*$', '') AS stem
+    FROM {dirs} d JOIN profiles p ON p.project = d.project)
+  WHERE len(list_filter(seg, lambda s: ({_entry("s")} OR {system_dir_sql("s")}) AND NOT list_contains(important_files, s))) = 0
+    AND NOT (list_contains(excluded_patterns, 'docs/api/**') AND starts_with(path || '/', 'docs/api/'))
+  UNION ALL
+  SELECT project, seg, false FROM joined
+  WHERE len(list_filter(seg, lambda s: {_entry("s")} AND NOT list_contains(important_files, s))) = 0
+    AND len(list_filter(seg[:-2], lambda s: {system_dir_sql("s")} AND NOT list_contains(important_files, s))) = 0
+    AND {_no_own_pattern_sql()} AND NOT {TOGGLED_SQL}
+)"""
+    rest = nodes_sql()
+    return f"{nodes},{rest[rest.index('keyed AS') :].rstrip()}"
+
+
 @query(
     "profile_decisions",
     f"WITH {FILES}, {PROFILES_SQL}, {DECIDED_SQL} SELECT * FROM decided",

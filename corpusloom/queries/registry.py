@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import guard
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +19,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under ``name``; ``oracle`` is the DuckDB statement it must equal."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def guarded(spark: SparkSession, sf: str) -> DataFrame:
+            guard(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = guarded
         if oracle is not None:
             ORACLES[name] = oracle.strip()
         return fn
@@ -28,12 +36,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 FILES = """
 docs AS (
   SELECT source || '-' || lang AS project, doc_id, lang, text, doc_id // 20 AS k,
-         ((doc_id % 20) * 4 + CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END) % 9 AS kind
+         ((doc_id % 20) * 4 + CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END) % 14 AS kind
   FROM documents
 ),
 named_docs AS (
   SELECT project, doc_id, lang, text,
          CASE WHEN kind = 7 THEN 'docs/' ELSE
+           CASE WHEN kind = 12 THEN substring('level0/level1/level2/level3/level4/level5/level6/level7/level8/', 1, (7 * (k % 10))::INT) ELSE '' END ||
            (['', 'src/', 'src/app/', 'src/utils/deep/', 'internal/service/', 'docs/', 'docs/api/', 'test/',
              'node_modules/react/', '.git/', 'src/vendor/lib/', 'dist/', 'src/app/core/'])[k % 13 + 1] END AS folder,
          (['main', 'index', 'app', 'view', 'user', 'styles', 'theme', 'page', 'config', 'settings', 'guide',
@@ -63,7 +72,12 @@ bodies AS (
     (4, 'go.mod', 'module m' || chr(10)), (4, 'go.sum', 'h1' || chr(10)),
     (5, 'package.json', '{"dependencies":{"react":"1"}}'),
     (6, 'go.mod', 'module m' || chr(10)), (6, 'package.json', '{}'),
-    (8, 'package.json', '{"dependencies":{"@angular/core":"1"}}')
+    (8, 'package.json', '{"dependencies":{"@angular/core":"1"}}'),
+    (9, 'workspace.json', '{}'), (9, 'libs/core/project.json', '{}'), (9, 'packages/kit/project.json', '{}'), (9, 'tools/lint/project.json', '{}'),
+    (10, 'package.json', '{}'), (10, 'vue.config.js', 'v'), (10, 'src/App.vue', '<template></template>'),
+    (11, 'package.json', '{"devDependencies":{"svelte":"4"}}'),
+    (12, 'go.mod', 'module deep' || chr(10)),
+    (13, 'package.json', '{"dependencies":{"vue":"3"}}'), (13, 'svelte.config.js', 's'), (13, 'src/App.svelte', '<p/>')
   ) m(kind, path, content) ON p.kind = m.kind
 ),
 files AS (

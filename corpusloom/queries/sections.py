@@ -13,7 +13,7 @@ from corpusloom.queries.headers import LINES_SQL
 from corpusloom.queries.monorepo import WIDE_SQL, wide
 from corpusloom.queries.registry import FILES, fence_sql, language_sql, query
 from corpusloom.queries.rules import STUBS, STUBS_SQL
-from corpusloom.queries.trees import nodes_sql, stored_nodes
+from corpusloom.queries.trees import nodes_sql, indexed_nodes
 from corpusloom.sources.derived import corpus
 
 RUN_TS = "2024-05-06 07:08:09"
@@ -69,7 +69,7 @@ UNION ALL SELECT DISTINCT project, 3, 0, {n(TREE_CLOSE)} FROM placed
 """,
 )
 def section_tree(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = stored_nodes(spark, sf)
+    nodes = indexed_nodes(spark, sf)
     projects = nodes.select("project").distinct()
     lines = F.concat("line", F.lit("\n"))
     rows = (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import globs
+from corpusloom.functions import globs, paths
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import saved, scan, selection
 from corpusloom.plans.skew import join_facts
@@ -84,6 +86,48 @@ def quick_select(spark: SparkSession, sf: str) -> DataFrame:
     return selection.in_tree_order(chosen)
 
 
+# Patterns kept as a table: every directory asks for its own files of one kind, a third of the
+# files are named in full, and every project takes a folder whole.
+PATTERNS_SQL = """
+ruled AS (
+  SELECT DISTINCT project, 'ext' AS how, parent AS a, CASE WHEN length(parent) % 2 = 0 THEN '.go' ELSE '.md' END AS b FROM files WHERE parent <> ''
+  UNION ALL SELECT project, 'name', name, '' FROM files WHERE length(name) % 3 = 0
+  UNION ALL SELECT DISTINCT project, 'top', CASE WHEN project LIKE '%-en' THEN 'src' ELSE 'docs' END, '' FROM files
+  UNION ALL SELECT DISTINCT project, 'any', '_1', '' FROM files WHERE project LIKE '%-de'
+)
+"""
+
+
+def pattern_table(files: DataFrame) -> DataFrame:
+    parent, name = paths.parent(F.col("path")), paths.base_name(F.col("path"))
+    ending = F.when(F.length(parent) % 2 == 0, F.lit("/*.go")).otherwise(F.lit("/*.md"))
+    folder = F.when(F.col("project").endswith("-en"), F.lit("src/**")).otherwise(F.lit("docs/**"))
+    rows = (
+        files.filter(parent != "").select("project", F.concat(parent, ending).alias("pattern")),
+        files.filter(F.length(name) % 3 == 0).select("project", F.concat(F.lit("**/"), name).alias("pattern")),
+        files.select("project", folder.alias("pattern")),
+        files.filter(F.col("project").endswith("-de")).select("project", F.lit("**/*_1*").alias("pattern")),
+    )
+    return reduce(DataFrame.unionByName, rows).distinct()
+
+
+@query(
+    "select_pattern_table",
+    f"""
+WITH {FILES}, {PATTERNS_SQL}
+SELECT project, path FROM files f WHERE EXISTS (
+  SELECT 1 FROM ruled r WHERE r.project = f.project AND r.how = 'ext' AND r.a = f.parent AND ends_with(f.name, r.b))
+  OR EXISTS (SELECT 1 FROM ruled r WHERE r.project = f.project AND r.how = 'name' AND r.a = f.name)
+  OR EXISTS (SELECT 1 FROM ruled r WHERE r.project = f.project AND r.how = 'top' AND r.a = f.seg[1])
+  OR EXISTS (SELECT 1 FROM ruled r WHERE r.project = f.project AND r.how = 'any' AND contains(f.name, r.a))
+""",
+)
+def select_pattern_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns that are rows of a table, as many as directories and files give."""
+    files = corpus(spark, sf).select("project", "path")
+    return selection.select_matching(files, pattern_table(files))
+
+
 EVENTS_SQL = """
 commands AS (
   SELECT project, min(doc) AS seq, target, CASE WHEN min(doc) % 3 = 0 THEN 'deselect' ELSE 'select' END AS action

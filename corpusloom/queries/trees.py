@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import scan, tree
+from corpusloom.plans.ranking import path_index
 from corpusloom.queries.registry import FILES, excluded_sql, pruned_sql, query
-from corpusloom.session import materialize
 from corpusloom.sources.derived import corpus
 
 PROFILE = Profile(include_styles=False, include_docs=True, output_filename="notes.md")
@@ -55,14 +55,13 @@ tree_lines AS (
 """
 
 
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    files = corpus(spark, sf)
+def _nodes(files: DataFrame) -> DataFrame:
     return tree.nodes(scan.listed(files, PROFILE), tree.directories(files, PROFILE))
 
 
-def stored_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordering and drawing read the nodes several times, so they are written once."""
-    return materialize(_nodes(spark, sf), "nodes")
+def indexed_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordering and drawing read paths several times, so those are stored once, in ranges."""
+    return _nodes(path_index(corpus(spark, sf)))
 
 
 @query(
@@ -74,20 +73,20 @@ def dir_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
     from corpusloom.functions.paths import depth
 
-    dirs = _nodes(spark, sf).filter("is_dir")
+    dirs = _nodes(corpus(spark, sf)).filter("is_dir")
     return dirs.select("project", "path", "parent", "name", depth(F.col("path")).alias("depth"))
 
 
 @query("tree_order", f"WITH {FILES}, {nodes_sql()} SELECT project, ord, path, is_dir FROM placed")
 def tree_order(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.in_order(stored_nodes(spark, sf)).select("project", "ord", "path", "is_dir")
+    return tree.in_order(indexed_nodes(spark, sf)).select("project", "ord", "path", "is_dir")
 
 
 @query("tree_last_sibling", f"WITH {FILES}, {nodes_sql()} SELECT project, path, is_last FROM placed")
 def tree_last_sibling(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.with_last_flag(stored_nodes(spark, sf)).select("project", "path", "is_last")
+    return tree.with_last_flag(indexed_nodes(spark, sf)).select("project", "path", "is_last")
 
 
 @query("tree_lines", f"WITH {FILES}, {nodes_sql()} SELECT project, ord, line FROM tree_lines")
 def tree_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.lines(stored_nodes(spark, sf))
+    return tree.lines(indexed_nodes(spark, sf))

@@ -10,6 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark 4.1 takes a union of branches that are partitioned alike as partitioned itself. Where adaptive execution
+#: then turns the join below one branch into a broadcast join, rows of one group stay in several partitions, and
+#: aggregates above the union give a group several rows.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
+def guard(spark: SparkSession) -> None:
+    """Turns that off for a session that was built elsewhere; results are wrong otherwise."""
+    spark.conf.set(UNION_PARTITIONING, "false")
+
+
 def build_session(master: str = "local[*]", app: str = "corpusloom", **conf: object) -> SparkSession:
     """A session with adaptive execution on; ``conf`` keys use ``__`` for ``.``."""
     builder = (
@@ -19,6 +30,7 @@ def build_session(master: str = "local[*]", app: str = "corpusloom", **conf: obj
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(UNION_PARTITIONING, "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
@@ -28,10 +40,16 @@ def build_session(master: str = "local[*]", app: str = "corpusloom", **conf: obj
 def work_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A session that leaves it unset gets one in its warehouse, which is shared too.
+    Without it only a session on one machine has a folder, in its warehouse; on a
+    cluster that might be any machine's own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -52,6 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     size is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
+    guard(spark)
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

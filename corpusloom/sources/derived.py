@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LANG_NUMBER = "CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END"
-KIND = f"((doc_id % 20) * 4 + {LANG_NUMBER}) % 9"
+KIND = f"((doc_id % 20) * 4 + {LANG_NUMBER}) % 14"
 
 DIRS = (
     "", "src/", "src/app/", "src/utils/deep/", "internal/service/", "docs/", "docs/api/", "test/",
@@ -40,7 +40,14 @@ MARKERS = {
     5: (("package.json", '{"dependencies":{"react":"1"}}'),),
     6: (("go.mod", "module m\n"), ("package.json", "{}")),
     8: (("package.json", '{"dependencies":{"@angular/core":"1"}}'),),
+    9: (("workspace.json", "{}"), ("libs/core/project.json", "{}"), ("packages/kit/project.json", "{}"), ("tools/lint/project.json", "{}")),
+    10: (("package.json", "{}"), ("vue.config.js", "v"), ("src/App.vue", "<template></template>")),
+    11: (("package.json", '{"devDependencies":{"svelte":"4"}}'),),
+    # A module whose files lie many levels down.
+    12: (("go.mod", "module deep\n"),),
+    13: (("package.json", '{"dependencies":{"vue":"3"}}'), ("svelte.config.js", "s"), ("src/App.svelte", "<p/>")),
 }
+DEEP_KIND, DEEP = 12, "".join(f"level{i}/" for i in range(9))
 
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
@@ -55,7 +62,10 @@ def _array(values: list[str]) -> str:
     return f"array({', '.join(values)})"
 
 
-FOLDER = f"CASE WHEN kind = 7 THEN 'docs/' ELSE {_array([_literal(d) for d in DIRS])}[k % 13] END"
+FOLDER = (
+    f"CASE WHEN kind = 7 THEN 'docs/' WHEN kind = {DEEP_KIND} THEN concat(substring('{DEEP}', 1, 7 * (k % 10)), "
+    f"{_array([_literal(d) for d in DIRS])}[k % 13]) ELSE {_array([_literal(d) for d in DIRS])}[k % 13] END"
+)
 STEM = f"{_array([_literal(stem) for stem, _ in NAMES])}[(k div 3) % 17]"
 EXT = f"{_array([_literal(ext) for _, ext in NAMES])}[(k div 3) % 17]"
 GO_SOURCE = (

@@ -1,14 +1,18 @@
 """Complete reads of folder trees: every file, whatever its name and size.
 
 Folders are listed level by level, each level one job whose result is stored;
-then the files small enough to show are read in parallel. Any file system that
-pyarrow opens will do, as long as the executors reach it.
+then the files small enough to show are read in parallel, once, into a stored
+table whose columns are read as needed. Any file system that pyarrow opens will
+do, as long as the executors reach it; a mounted one is listed entry by entry, so
+a directory may hold any number of files.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs
@@ -32,21 +36,28 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
 
 
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """Path, whether a directory, and size of each entry; links that lead nowhere are files of no size."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    yield entry.path, entry.is_dir(), entry.stat().st_size
+                except OSError:
+                    yield entry.path, False, 0
+    else:
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            yield info.path, info.type == fs.FileType.Directory, info.size or 0
+
+
 def _lister(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = _open(root)
         for batch in batches:
             for folder in batch["path"]:
-                found = system.get_file_info(fs.FileSelector(folder))
-                for at in range(0, len(found), LIST_ROWS):
-                    part = found[at : at + LIST_ROWS]
-                    yield pd.DataFrame(
-                        {
-                            "path": [e.path for e in part],
-                            "is_dir": [e.type == fs.FileType.Directory for e in part],
-                            "size": [e.size or 0 for e in part],
-                        }
-                    )
+                entries = _entries(system, folder)
+                while part := list(islice(entries, LIST_ROWS)):
+                    yield pd.DataFrame(part, columns=["path", "is_dir", "size"])
 
     return run
 
@@ -107,7 +118,7 @@ def read_folder(
     project: str | None = None,
     prune: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """The ``files`` table of a folder tree.
+    """The ``files`` table of a folder tree, stored: every body is read once, whatever is made of the table.
 
     Each directory directly below ``root`` is one project, unless ``project``
     names the whole of it; files lying in ``root`` itself are of the project
@@ -131,7 +142,7 @@ def read_folder(
     bodies = small.select(absolute.alias("path"), "size").repartition(tasks, "path").mapInPandas(_reader(root), BODIES)
     shown = bodies.withColumn("path", F.expr(f"substring(path, {len(base.rstrip('/')) + 2})"))
     stubs = listing.filter(~fits).withColumn("content", F.lit(None).cast("string"))
-    files = shown.unionByName(stubs)
+    files = materialize(shown.unionByName(stubs), "files")
     if project:
         return files.select(F.lit(project).alias("project"), "path", "size", "content")
     return files.select(

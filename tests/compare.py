@@ -50,7 +50,7 @@ def main(sf_dir: str, names: list[str]) -> None:
     from corpusloom.queries import ORACLES, QUERIES
     from corpusloom.session import build_session
 
-    spark = build_session("local[8]", "compare", spark__sql__shuffle__partitions=8, spark__driver__memory="8g")
+    spark = build_session("local[4]", "compare", spark__sql__shuffle__partitions=8, spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

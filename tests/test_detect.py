@@ -6,6 +6,7 @@ import pytest
 
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import detect, monorepo
+from corpusloom.plans.ranking import path_index
 from tests.helpers import files
 
 CASES = {
@@ -145,9 +146,10 @@ def test_important_root_files(spark):
     assert monorepo.important_root_files(data, [], Profile()).isEmpty()
 
 
-def test_files_belong_to_their_subproject(spark):
+@pytest.mark.parametrize("ranges", [1, 4, 30])
+def test_files_belong_to_their_subproject(spark, ranges):
     data = files(spark, *REPO)
-    rows = monorepo.assign(data.select("project", "path"), monorepo.subprojects(data)).collect()
+    rows = monorepo.assign(path_index(data, ranges), monorepo.subprojects(data)).collect()
     assert {(r["path"], r["root"]) for r in rows} == {
         ("apps/app1/project.json", "apps/app1"),
         ("apps/app1/inner/project.json", "apps/app1"),
@@ -183,7 +185,7 @@ def test_overview_with_root_files(spark):
 def test_overview_without_root_files(spark):
     subs = spark.createDataFrame([("p", "b", "apps", "apps/b"), ("p", "t", "tools", "tools/t")], SUBS)
     roots = spark.createDataFrame([], "project string, path string")
-    lines = [r["line"] for r in monorepo.overview(subs, roots, max_rows=1).orderBy("ord").collect()]
+    lines = [r["line"] for r in monorepo.overview(subs, roots, ).orderBy("ord").collect()]
     assert lines == ["nx-monorepo/", "├── apps/", "│   └── b", "└── tools/", "    └── t"]
 
 

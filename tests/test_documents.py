@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from corpusloom.functions.languages import language
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import render
 from corpusloom.plans import jobs
-from corpusloom.sources.documents import write_documents
+from corpusloom.plans.ranking import path_index
+from corpusloom.sources.documents import pieces, write_documents
 from tests.helpers import files
 
 TS = F.to_timestamp
@@ -68,6 +70,7 @@ def test_output_name(spark, name, stamped, want):
 
 PROFILE = Profile(excluded_patterns=(), include_docs=True)
 
+# The wording of a document.
 HEAD = (
     "# Проект: {name}\n\n**Дата генерации:** 2024-05-06 07:08:09\n\n"
     "**Полнота:** Полная структура проекта и исходный код\n\n**Тип:** {kind}\n\n"
@@ -99,7 +102,7 @@ def test_document(spark):
         ("q", "go.mod", ""),
     )
     profile = replace(PROFILE, max_file_size=20)
-    numbered = jobs.number(jobs.document(data, profile, run_ts()), data)
+    numbered = jobs.number(jobs.document(data, profile, run_ts()))
     assert text_of(numbered) == (
         HEAD.format(name="p", kind="go")
         + "## Структура проекта\n\n```\n.\n├── cmd/\n│   └── main.go\n├── big.txt\n└── go.mod\n\n```\n\n"
@@ -114,7 +117,7 @@ def test_document(spark):
 def test_go_document(spark):
     data = files(spark, ("go.mod", "m"), ("go.sum", "s"), ("a.spec.js", "t"), ("b.go", "x"))
     profile = replace(PROFILE, excluded_patterns=("go.mod",), important_files=())
-    text = text_of(jobs.number(jobs.document_go(data, profile, run_ts()), data))
+    text = text_of(jobs.number(jobs.document_go(data, profile, run_ts())))
     assert text.startswith(HEAD.format(name="p", kind="Go проект"))
     assert "```\n.\n├── b.go\n└── go.mod\n\n```" in text
     assert "### go.mod\n\n```text\nm\n```" in text and "go.sum" not in text
@@ -124,7 +127,7 @@ def test_go_document(spark):
 def test_js_document(spark):
     data = files(spark, ("package.json", '{"react": 1}'), ("src/a.ts", "x"), ("g", "go.mod", ""))
     profile = replace(PROFILE, include_configs=False, important_files=("package.json",))
-    numbered = jobs.number(jobs.document_js(data, profile, run_ts()), data)
+    numbered = jobs.number(jobs.document_js(data, profile, run_ts()))
     text = text_of(numbered)
     assert text.startswith(HEAD.format(name="p", kind="React проект"))
     assert '### package.json\n\n```json\n{"react": 1}\n```' in text
@@ -134,7 +137,7 @@ def test_js_document(spark):
 def test_project_without_shown_files_still_has_a_tree(spark):
     data = files(spark, ("package.json", "{}"))
     profile = replace(PROFILE, include_configs=False)
-    text = text_of(jobs.number(jobs.document(data, profile, run_ts()), data))
+    text = text_of(jobs.number(jobs.document(data, profile, run_ts())))
     assert "```\n.\n\n```\n\n" in text and text.endswith(MODULES)
 
 
@@ -151,7 +154,7 @@ def test_monorepo_document(spark):
     )
     choices = spark.createDataFrame([("p", "2,1,2"), ("r", "9")], "project string, input string")
     profile = replace(PROFILE, important_files=("nx.json", "package.json"))
-    numbered = jobs.number(jobs.document_monorepo(data, choices, profile, run_ts()), data)
+    numbered = jobs.number(jobs.document_monorepo(data, choices, profile, run_ts()))
 
     def unit(name, kind, root, tree, *sections):
         return (
@@ -176,39 +179,140 @@ def test_monorepo_document(spark):
     assert text_of(numbered, "r") == ""  # nothing was chosen
 
 
-@pytest.mark.parametrize("max_rows", [2, 1000])
-def test_written_documents_read_back(spark, sf_dir, tmp_path, max_rows):
+def texts_of(numbered):
+    want = {}
+    for row in numbered.orderBy("project", "ord").collect():
+        want[row["project"]] = want.get(row["project"], "") + row["markdown"]
+    return want
+
+
+def read_back(folder):
+    """Text and sizes of pieces by project and output name; pieces are folders with one file."""
+    out = {}
+    for project in Path(folder).glob("project=*"):
+        for output in project.glob("output=*"):
+            names = sorted(output.glob("piece=*"), key=lambda f: int(f.name.split("=")[1]))
+            parts = [list(f.glob("part-*")) for f in names]
+            assert all(len(p) == 1 for p in parts)
+            key = project.name.split("=")[1], unquote(output.name.split("=")[1])
+            out[key] = [p[0].read_bytes() for p in parts]
+    return out
+
+
+@pytest.mark.parametrize("piece_bytes", [3000, 20_000, 1 << 26])
+@pytest.mark.parametrize("ranges", [1, 30])
+def test_written_documents_read_back(spark, sf_dir, tmp_path, piece_bytes, ranges):
     from corpusloom.sources.derived import corpus
 
     data = corpus(spark, sf_dir)
-    fragments = jobs.document(data, replace(PROFILE, documentation_mode="headers"), run_ts())
-    want = {}
-    for row in jobs.number(fragments, data).orderBy("project", "ord").collect():
-        want[row["project"]] = want.get(row["project"], "") + row["markdown"]
-    write_documents(fragments, str(tmp_path / "docs"), data, max_rows)
-    got, pieces = {}, 0
-    for folder in sorted((tmp_path / "docs").glob("project=*")):
-        found = sorted(folder.glob("piece=*"), key=lambda f: int(f.name.split("=")[1]))
-        pieces += len(found)
-        for piece in found:
-            parts = list(Path(piece).glob("part-*"))
-            assert len(parts) == 1
-            got[folder.name.split("=")[1]] = got.get(folder.name.split("=")[1], "") + parts[0].read_text()
-    assert got == want
-    assert pieces == len(want) if max_rows == 1000 else pieces > 2 * len(want)
-
-
-@pytest.mark.parametrize("max_rows", [3, 20])
-def test_numbering_in_ranges_is_the_same(spark, sf_dir, max_rows):
+    fragments = jobs.document(data, replace(PROFILE, documentation_mode="headers"), run_ts(), index=path_index(data, ranges))
+    names = data.select("project").distinct().select("project", F.concat(F.lit("out/"), "project", F.lit(".md")).alias("output"))
+    want = texts_of(jobs.number(fragments))
+    write_documents(fragments, names, str(tmp_path / "docs"), piece_bytes)
+    got = read_back(tmp_path / "docs")
+    assert {p: b"".join(parts).decode() for (p, _), parts in got.items()} == want
+    assert {name for _, name in got} == {f"out/{p}.md" for p in want}
+    # No piece over the size, but for a section that is longer by itself.
+    sections = {len(r["markdown"].encode()) for r in fragments.select("markdown").collect()}
+    assert all(len(part) <= piece_bytes or len(part) in sections for parts in got.values() for part in parts)
+    if piece_bytes == 1 << 26:
+        assert all(len(parts) == 1 for parts in got.values())
+    if piece_bytes == 3000:
+        assert sum(map(len, got.values())) > len(want) + 10
+
+
+def test_pieces_depend_on_bytes_alone(spark, sf_dir):
+    """The same cuts whatever the number of rows or ranges, and when few long sections stand among many short ones."""
+    rows = [("p", 1, 0, 5, 0, f"{i:06d}", 0, ("x" * (700 if i % 50 == 0 else 9)) + "\n") for i in range(1200)]
+    shape = "project string, part int, unit long, step int, place int, key string, line long, markdown string"
+    whole = spark.createDataFrame(rows, shape)
+    cut = whole.withColumn("place", (F.col("key").cast("int") / 37).cast("int"))
+    one, other = (pieces(df, 1000).select("piece", "ord", "bytes") for df in (whole, cut))
+    assert one.exceptAll(other).isEmpty() and one.count() == 1200
+    found = one.groupBy("piece").agg(F.sum("bytes").alias("b"), F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("n"))
+    found = found.orderBy("piece").collect()
+    assert max(r["b"] for r in found) <= 1000 and all(r["n"] == 1 for r in found if r["piece"] % 2)
+    assert all(a["high"] + 1 == b["low"] for a, b in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("ranges", [3, 60])
+def test_numbering_in_ranges_is_the_same(spark, sf_dir, ranges):
     from corpusloom.sources.derived import corpus
 
     data = corpus(spark, sf_dir)
-    fragments = jobs.document(data, PROFILE, run_ts())
-    whole = jobs.number(fragments, data)
-    ranged = jobs.number(fragments, data, max_rows)
+    whole = jobs.number(jobs.document(data, PROFILE, run_ts(), index=path_index(data, 1)))
+    ranged = jobs.number(jobs.document(data, PROFILE, run_ts(), index=path_index(data, ranges)))
     assert ranged.exceptAll(whole).isEmpty() and ranged.count() == whole.count()
 
 
+def jobs_of(spark, build):
+    """Jobs that run while a plan is built."""
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    build()
+    return len(set(tracker.getJobIdsForGroup()) - before)
+
+
+def test_building_runs_few_jobs(spark, sf_dir):
+    """The index of paths is all that is stored, and a monorepo's picks."""
+    from corpusloom.queries import QUERIES
+
+    assert jobs_of(spark, lambda: QUERIES["document_lines"](spark, sf_dir)) <= 4
+    assert jobs_of(spark, lambda: QUERIES["document_go"](spark, sf_dir)) <= 4
+    # Its corpus has markers made by a distinct, which is a job more.
+    assert jobs_of(spark, lambda: QUERIES["section_monorepo"](spark, sf_dir)) <= 5
+
+
+def whole_profile(project, **changes):
+    base = dict(
+        project=project, max_file_size=1 << 20, include_tests=True, include_configs=True, include_markup=True, include_styles=True, include_docs=True,
+        excluded_patterns=[], documentation_mode="full", selection_mode="all", included_paths=[], include_patterns=[], important_files=[],
+        show_full_structure=False, output_format="markdown", output_filename="", append_timestamp=False,
+    )
+    return {**base, **changes}
+
+
+def profile_rows(spark, *rows, extra=()):
+    from pyspark.sql import types as T
+
+    from corpusloom.schemas import PROFILES
+
+    shape = T.StructType([*PROFILES.fields, *extra])
+    return spark.createDataFrame([tuple(r.get(f.name) for f in shape.fields) for r in rows], shape)
+
+
+def test_each_project_is_documented_under_its_own_profile(spark):
+    from pyspark.sql import types as T
+
+    data = files(
+        spark,
+        *[(p, path, text) for p in ("a", "b", "c") for path, text in (
+            ("go.mod", "m"), ("src/main.go", "package main\nfunc Run() {}\n"), ("src/deep/er/x.go", "package er"), ("gen/y.go", "package gen"), ("readme.md", "hi"),
+        )],
+    )
+    table = profile_rows(
+        spark,
+        whole_profile("a", excluded_patterns=["gen"], documentation_mode="headers", max_depth=1),
+        whole_profile("b", selection_mode="list", included_paths=["src/main.go"], include_docs=False, max_file_size=5),
+        whole_profile("c", excluded_patterns=["src/**"], important_files=["readme.md"], include_docs=False),
+        extra=[T.StructField("max_depth", T.IntegerType())],
+    )
+    numbered = jobs.number(jobs.document_by_profile(data, table, run_ts()))
+    a, b, c = (text_of(numbered, p) for p in "abc")
+    assert all(t.startswith(HEAD.format(name=p, kind="go")) for t, p in ((a, "a"), (b, "b"), (c, "c")))
+    assert "```\n.\n├── src/\n│   ├── deep/\n│   └── main.go\n├── go.mod\n└── readme.md\n\n```" in a
+    assert "**Exported Functions:**\n```go\nRun\n```" in a and "### gen/y.go" not in a and "### src/deep/er/x.go" not in a
+    assert "├── gen/\n│   └── y.go\n" in b and "readme.md" not in b
+    assert b.endswith(MODULES + "### src/main.go\n\n```\n[Содержимое файла пропущено]\n```\n\n_Файл был пропущен по настройкам документации._\n\n")
+    assert "```\n.\n├── gen/\n│   └── y.go\n├── go.mod\n└── readme.md\n\n```" in c and "### readme.md" in c and "### src/" not in c
+
+
+def test_projects_without_profile_or_with_a_conflict_get_no_document(spark):
+    data = files(spark, ("a", "go.mod", ""), ("b", "go.mod", ""), ("c", "go.mod", ""), ("c", "package.json", ""))
+    table = profile_rows(spark, whole_profile("a"), whole_profile("c"))
+    assert {r["project"] for r in jobs.document_by_profile(data, table, run_ts()).select("project").distinct().collect()} == {"a"}
+
+
 def test_every_kept_file_is_in_the_tree_once(spark, sf_dir):
     from corpusloom.operators import scan, tree
     from corpusloom.sources.derived import corpus
@@ -225,5 +329,5 @@ def test_every_kept_file_is_in_the_tree_once(spark, sf_dir):
 def test_jobs_extend_by_transform(spark):
     data = files(spark, ("go.mod", "secret"), ("a.go", "secret"))
     masked = data.transform(lambda df: df.withColumn("content", F.regexp_replace("content", "secret", "***")))
-    text = text_of(jobs.number(jobs.document(masked, PROFILE, run_ts()), masked))
+    text = text_of(jobs.number(jobs.document(masked, PROFILE, run_ts())))
     assert "secret" not in text and text.count("***") == 2

@@ -200,3 +200,85 @@ def test_requests_decide_over_profiles(spark, log):
         "u": ("patterns", ["own"], "ok"),
         "v": ("all", [], "ok"),
     }
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_files_below_targets_equal_a_plain_comparison(spark, sf_dir, ranges):
+    """Nested targets, targets that are files, prefixes that are no directories, and a project taken whole."""
+    from corpusloom.plans.ancestry import below
+    from corpusloom.plans.ranking import path_index
+    from corpusloom.sources.derived import corpus
+
+    data = corpus(spark, sf_dir).select("project", "path", "size")
+    rows = [(r["project"], r["path"]) for r in data.collect()]
+    projects = sorted({p for p, _ in rows})
+    targets = [(p, t) for p in projects for t in ("src", "src/app", "src/ap", "docs/api", "package.json", "node_modules/react", "none")]
+    targets += [(rows[0][0], rows[0][1]), (projects[3], ""), (projects[4], "src/app/core")]
+    table = spark.createDataFrame(targets, "project string, target string")
+    by = {}
+    for p, t in targets:
+        by.setdefault(p, []).append(t)
+    want = {(p, f) for p, f in rows if any(t in ("", f) or f.startswith(t + "/") for t in by[p])}
+    got = below(path_index(data, ranges), table)
+    found = [(r["project"], r["path"], r["target"]) for r in got.collect()]
+    assert len(found) == len(want) and {(p, f) for p, f, _ in found} == want
+    for p, f, t in found:
+        around = [x for x in by[p] if x in ("", f) or f.startswith(x + "/")]
+        assert t == min(around, key=len)
+
+
+def test_patterns_from_a_table(spark):
+    data = files(
+        spark, ("p", "src/a.go", ""), ("p", "src/x/b.go", ""), ("p", "go.mod", ""), ("p", "docs/i.md", ""), ("p", "x_1", ""), ("q", "src/a.go", ""),
+        ("q", "LICENSE", ""), ("q", "a/LICENSE", ""), ("q", "w.tar.gz", ""),
+    )
+    rows = [("p", "src/*.go"), ("p", "docs/**"), ("p", "*_[0-9]"), ("p", "[bad"), ("p", None), ("q", "LICENSE"), ("q", "w*.tar.gz"), ("q", "*.go"), ("r", "**")]
+    patterns = spark.createDataFrame(rows, "project string, pattern string")
+    got = {(r["project"], r["path"]) for r in selection.select_matching(data, patterns).collect()}
+    assert got == {("p", "src/a.go"), ("p", "docs/i.md"), ("p", "x_1"), ("q", "LICENSE"), ("q", "w.tar.gz")}
+
+
+GLOBS = (
+    "**", "*", "*.go", "**/*.go", "src/**", "src/*/x.go", "a/b.txt", "**/b.txt", "x?.md", "[ab]/c.md", "*.tar.gz", "s*/**/deep.*", "src/", "a.b/*", "**/a.b",
+)
+SOME_PATHS = (
+    "a.go", "src/a.go", "src/q/x.go", "src", "a/b.txt", "z/a/b.txt", "xy.md", "x/y.md", "a/c.md", "c/c.md", "k.tar.gz", "a.b/c", "q/a.b", "sub/d/deep.c", "sub/deep",
+)
+
+
+def test_index_keys_lose_no_match():
+    """A path that a glob matches has the glob's key, by the meaning of the expressions alone."""
+    import re
+
+    from corpusloom.functions import globs
+
+    def own(path):
+        name, top = path.rsplit("/", 1)[-1], path.split("/")[0]
+        ending = name[name.rfind(".") :] if "." in name else ""
+        return {(globs.BY_NAME, name), (globs.BY_BOTH, f"{top}/{ending}"), (globs.BY_EXTENSION, ending), (globs.BY_TOP, top), (globs.BY_NOTHING, "")}
+
+    matched = 0
+    for glob in GLOBS:
+        regex = re.compile(f"(?:{globs.path_regex(glob)})")
+        for path in SOME_PATHS:
+            if regex.fullmatch(path):
+                matched += 1
+                assert globs.index_key(glob) in own(path), (glob, path)
+    assert matched > 30
+
+
+def test_a_hundred_thousand_patterns_are_looked_up_by_key(spark):
+    """No nested loop, and no expression with more than a bounded number of patterns."""
+    patterns = spark.range(100_000).select(
+        F.lit("p").alias("project"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("d"), F.col("id"), F.lit("/*.go"))).otherwise(F.concat(F.lit("**/n"), F.col("id"), F.lit(".md"))).alias("pattern"),
+    )
+    data = spark.range(3000).select(
+        F.lit("p").alias("project"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("d"), F.col("id"), F.lit("/x.go"))).otherwise(F.concat(F.lit("q/n"), F.col("id"), F.lit(".md"))).alias("path"),
+    )
+    got = selection.select_matching(data, patterns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    want = {f"d{i}/x.go" for i in range(0, 3000, 6)} | {f"q/n{i}.md" for i in range(3000) if i % 3 and i % 2}
+    assert {r["path"] for r in got.collect()} == want

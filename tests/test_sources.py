@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pathlib import Path
+from shutil import rmtree
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import Profile, is_pruned
 from corpusloom.operators import scan
+from corpusloom.plans import jobs
 from corpusloom.session import clear_work, materialize, work_folder
+from corpusloom.sources.documents import write_documents
 from corpusloom.sources.files import bounded, read_table, with_path_parts
 from corpusloom.sources.folders import LOOSE, read_folder
 
@@ -93,6 +97,53 @@ def test_oversized_files_become_stubs(spark, tmp_path):
     }
 
 
+def test_bodies_are_read_once(spark, tmp_path):
+    """What is made of the table later reads none: the folder may be gone by then."""
+    lay_out(tmp_path / "in")
+    (tmp_path / "in" / "one" / "go.mod").write_text("module one\n")
+    table = read_folder(spark, str(tmp_path / "in"))
+    rmtree(tmp_path / "in")
+    fragments = jobs.document(table, Profile(include_docs=True, excluded_patterns=()), F.current_timestamp())
+    names = table.select("project", F.lit("docs.md").alias("output")).distinct()
+    write_documents(fragments, names, str(tmp_path / "out"))
+    written = "".join(f.read_text() for f in (tmp_path / "out").rglob("part-*"))
+    assert "package a\n" in written and "module one\n" in written
+    plan = table.select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "content" not in plan.split("ReadSchema", 1)[1]
+
+
+def test_a_directory_is_listed_as_a_stream(tmp_path):
+    from pyarrow import fs
+
+    from corpusloom.sources import folders
+
+    for i in range(30):
+        (tmp_path / f"f{i}").write_text("x" * i)
+    (tmp_path / "d").mkdir()
+    entries = folders._entries(fs.LocalFileSystem(), str(tmp_path))
+    assert iter(entries) is entries  # nothing is listed before it is asked for
+    found = {path.rsplit("/", 1)[-1]: (is_dir, size) for path, is_dir, size in entries}
+    assert found["d"][0] and all(found[f"f{i}"] == (False, i) for i in range(30)) and len(found) == 31
+
+
+def test_a_cluster_needs_the_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/w"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "local[2]"
+
+    assert work_folder(Session) == "file:/w/_work"
+    for master in ("yarn", "spark://x:7077", "k8s://x", "local-cluster[2,1,512]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_folder(Session)
+
+
 def test_table(spark, tmp_path):
     df = spark.createDataFrame([("p", "src\\a.go", 1, "x"), ("p", "b", 9, "y")], "project string, path string, size long, content string")
     df.write.parquet(str(tmp_path / "t"))

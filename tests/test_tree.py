@@ -8,6 +8,7 @@ import pytest
 
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import scan, tree
+from corpusloom.plans.ranking import path_index
 from tests.helpers import files
 
 PROFILE = Profile(excluded_patterns=(), output_filename="", include_docs=True, include_tests=True)
@@ -23,9 +24,10 @@ GOLDEN = """.
 └── root_file.txt"""
 
 
-def draw(data, profile=PROFILE, **options):
-    nodes = tree.nodes(scan.listed(data, profile), tree.directories(data, profile))
-    rows = tree.lines(nodes, **options).orderBy("ord").collect()
+def draw(data, profile=PROFILE, ranges=None):
+    index = path_index(data, ranges) if ranges else data
+    nodes = tree.nodes(scan.listed(index, profile), tree.directories(index, profile))
+    rows = tree.lines(nodes).orderBy("ord").collect()
     assert [r["ord"] for r in rows] == list(range(len(rows)))
     return "\n".join(r["line"] for r in rows)
 
@@ -36,9 +38,9 @@ def sample(spark):
     )
 
 
-@pytest.mark.parametrize("max_rows", [1, 3, 1000])
-def test_golden_tree(spark, max_rows):
-    assert draw(sample(spark), max_rows=max_rows) == GOLDEN
+@pytest.mark.parametrize("ranges", [None, 1, 3, 50])
+def test_golden_tree(spark, ranges):
+    assert draw(sample(spark), ranges=ranges) == GOLDEN
 
 
 def test_deeper_prefixes(spark):
@@ -100,8 +102,9 @@ def test_every_line_follows_its_parent(spark, sf_dir):
     from corpusloom.sources.derived import corpus
 
     data = corpus(spark, sf_dir)
-    nodes = tree.nodes(scan.listed(data, PROFILE), tree.directories(data, PROFILE))
-    rows = tree.in_order(nodes, max_rows=11).collect()
+    index = path_index(data, 40)
+    nodes = tree.nodes(scan.listed(index, PROFILE), tree.directories(index, PROFILE))
+    rows = tree.in_order(nodes).collect()
     place = {(r["project"], r["path"]): r["ord"] for r in rows}
     assert len(place) == len(rows)
     for r in rows:
