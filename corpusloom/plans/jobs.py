@@ -63,7 +63,7 @@ def _tree(nodes: DataFrame, part: int) -> DataFrame:
 
 
 def _body(index: DataFrame, profile: Profile, part: int) -> DataFrame:
-    """The tree of every project of ``index``."""
+    """The tree of every project of ``index``, a stored table."""
     return _tree(tree.nodes(scan.listed(index, profile), tree.directories(index, profile)), part)
 
 
@@ -78,13 +78,10 @@ def _document(
 ) -> DataFrame:
     """``projects`` is ``(project, kind)``; files of other projects are left out."""
     head = render.document_head(F.col("project"), F.col("kind"), run_ts, texts)
-    kept = scan.classify(_of(files, projects), profile, type_rule)
-    placed = with_place(kept, index, paths.tree_key(F.col("path"), F.lit(False)))
-    return (
-        _frame(projects, head, 1, texts)
-        .unionByName(_body(_of(index, projects), profile, 1))
-        .unionByName(render.file_fragments(placed, profile.documentation_mode, 1, step=5, texts=texts))
-    )
+    kept = with_place(scan.classify(files, profile, type_rule), index, paths.tree_key(F.col("path"), F.lit(False)))
+    sections = render.file_fragments(kept, profile.documentation_mode, 1, step=5, texts=texts)
+    # What each project has is worked out for all of them, and looked up once.
+    return _frame(projects, head, 1, texts).unionByName(_of(_body(index, profile, 1).unionByName(sections), projects))
 
 
 def document(
@@ -117,16 +114,11 @@ def document_by_profile(
     rules_of = profiles.compile_rules(table)
     typed = detect.project_types(files, index).filter(F.col("status") == detect.OK)
     projects = _of(typed.select("project", F.col("type").alias("kind")), rules_of)
-    listed = profiles.listed(_of(index, projects), rules_of)
-    dirs = profiles.directories(_of(index, projects), rules_of)
-    decided = profiles.decided(_of(index, projects), rules_of)
-    shown = scan.with_texts(decided, files)
+    nodes = tree.nodes(profiles.listed(index, rules_of), profiles.directories(index, rules_of))
+    shown = scan.with_texts(profiles.decided(index, rules_of), files)
+    sections = render.file_fragments(shown, F.col("documentation_mode"), 1, step=5, texts=texts)
     head = render.document_head(F.col("project"), F.col("kind"), run_ts, texts)
-    return (
-        _frame(projects, head, 1, texts)
-        .unionByName(_tree(tree.nodes(listed, dirs), 1))
-        .unionByName(render.file_fragments(shown, F.col("documentation_mode"), 1, step=5, texts=texts))
-    )
+    return _frame(projects, head, 1, texts).unionByName(_of(_tree(nodes, 1).unionByName(sections), projects))
 
 
 def document_go(
@@ -196,6 +188,7 @@ def document_monorepo(
         F.col("project").alias("repo"),
         F.col("path").alias("full"),
     )
+    inner = materialize(inner, "units")
     contents = files.select(F.col("project").alias("repo"), F.col("path").alias("full"), "content")
     sections = scan.with_texts(scan.decide(inner, profile), contents, ("repo", "full"))
     units = picked.select(name.alias("project"), "name", "type", "root")
