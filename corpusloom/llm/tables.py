@@ -14,12 +14,20 @@ SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    session.guard(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back: computed once, safe from lost executors."""
-    return session.materialize(df, f"llm-{name}")
+def store(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back: computed once, safe from lost executors.
+
+    With ``clean`` Spark is asked to drop the shuffle files that only served to make it; it finds them by collecting garbage.
+    """
+    stored = session.materialize(df, f"llm-{name}")
+    if clean:
+        del df
+        stored.sparkSession._jvm.System.gc()
+    return stored
 
 
 def on_executors(spark: SparkSession) -> None:
