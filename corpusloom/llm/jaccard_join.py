@@ -305,17 +305,19 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = members.where("n > 0").join(names, "node").select("class", "owner", "text_hash")
     first = rows.groupBy("class").agg(F.min(F.struct("owner", "text_hash")).alias("first"))
     gone = rows.join(first, "class").where((F.col("owner") != F.col("first.owner")) | (F.col("text_hash") != F.col("first.text_hash")))
-    gone = gone.select(F.col("owner").alias("__o"), F.col("text_hash").alias("__h")).distinct()
-    owner, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(text_col)
-    kept = docs.join(gone, (owner == F.col("__o")) & (text_hash == F.col("__h")), "left_anti")
-    repeated = rows.groupBy("owner", "text_hash").count().where("count > 1")
+    gone = gone.select("owner", "text_hash").distinct()
+    # The documents' own columns travel as one, so that they may have any name.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("owner"),
+        F.xxhash64(text_col).alias("text_hash"),
+    )
+    kept = keyed.join(gone, ["owner", "text_hash"], "left_anti")
+    repeated = rows.groupBy("owner", "text_hash").count().where("count > 1").select("owner", "text_hash")
     if not repeated.isEmpty():
         # Rows that repeat both id and text: one of them stays.
-        repeated = repeated.select(F.col("owner").alias("__o"), F.col("text_hash").alias("__h"))
-        same = (owner == F.col("__o")) & (text_hash == F.col("__h"))
-        once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(repeated, same, "left_anti").unionByName(once)
-    return kept
+        once = kept.join(repeated, ["owner", "text_hash"], "left_semi").dropDuplicates(["owner", "text_hash"])
+        kept = kept.join(repeated, ["owner", "text_hash"], "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op9_ngram_jaccard_join")

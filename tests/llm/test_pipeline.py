@@ -73,3 +73,45 @@ def test_run_and_registration(spark, sf_dir, stages):
     assert contract.queries()["pipeline"] is pipeline.run
     assert {r["doc_id"] for r in pipeline.run(spark, sf_dir).select("doc_id").collect()} == set(rows(stages[-1]))
     assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in contract.queries()}
+
+
+EXTRA = ("owner", "row", "__o", "__h", "__d", "__t", "dropped", "left", "key", "node", "text_hash", "norm", "class", "id")
+
+
+def edge_folder(spark, folder, docs):
+    """Tables with ``docs`` (doc_id, text) under further columns whose names the operators use themselves."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    rows = [(i, t, None if k % 3 else "en", "s", None if t is None else len(t), *(f"{c}{k}" for c in EXTRA)) for k, (i, t) in enumerate(docs)]
+    spark.createDataFrame(rows, shape).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(None, None)] + [(i, i % 2) for i in range(0, 60, 3)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_edge_cases_run_through(spark, tmp_path):
+    leak = "one two three four five six seven eight nine ten eleven and more"
+    docs = [(i, f"document number {i} says word{i} and word{i * 7} to whom{i} it may{i} concern") for i in range(40)]
+    docs += [(i, docs[i][1]) for i in range(3)] + [(None, None), (None, None), (50, None), (51, ""), (51, ""), (52, "\n\n"), (53, leak), (None, "no id " * 9)]
+    docs += [(54, "long " * 30_000), (3, docs[3][1]), (3, "another text of id three")]
+    result = pipeline.run(spark, edge_folder(spark, tmp_path / "a", docs)).collect()
+    kept = [(r["doc_id"], r["text"]) for r in result]
+    assert 0 < len(kept) <= len(docs) and not any("seven eight nine ten" in (t or "") for _, t in kept)
+    # No line with words is kept twice.
+    lines = [line for _, t in kept for line in (t or "").split("\n") if any(c.isalnum() for c in line)]
+    assert len(lines) == len(set(lines))
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    folder = edge_folder(spark, tmp_path / "b", [(i, f"text {i * 1009} of its own\nshared line of all") for i in range(30)])
+    docs = tables.read(spark, folder, "documents")
+    for _, stage in pipeline.STAGES[1:-1]:
+        after = tables.store(stage(spark, docs, folder), "edge")
+        assert after.columns == docs.columns
+        own = {r["doc_id"]: [r[c] for c in EXTRA] for r in docs.collect()}
+        assert all([r[c] for c in EXTRA] == own[r["doc_id"]] for r in after.collect()) and after.count() > 0
+        docs = after
+
+
+def test_empty_table(spark, tmp_path):
+    assert pipeline.run(spark, edge_folder(spark, tmp_path / "c", [])).count() == 0
