@@ -191,6 +191,9 @@ def find_items(
     )
     for last, items in portions(benchmark, item_col, item_text_col, max_pattern_bytes):
         rows = rows.mapInArrow(_search_pass(compile_patterns(items, window), not last), shape)
+        if not last:
+            # One portion's tables at a time in a task.
+            rows = tables.store(rows, "portion")
     return rows.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
@@ -200,7 +203,7 @@ def clean_documents(
 ) -> DataFrame:
     """The documents, all columns, in which no pattern occurs."""
     tables.on_executors(docs.sparkSession)
-    for _, items in portions(benchmark, item_col, item_text_col, max_pattern_bytes):
+    for last, items in portions(benchmark, item_col, item_text_col, max_pattern_bytes):
         patterns = compile_patterns(items, window)
 
         def run(batches: Iterator[pa.RecordBatch], patterns: list[_Length] = patterns) -> Iterator[pa.RecordBatch]:
@@ -209,6 +212,8 @@ def clean_documents(
                 yield batch.filter(pa.array([not x for x in found]))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = tables.store(docs, "portion")
     return docs
 
 
