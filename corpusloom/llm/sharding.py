@@ -29,6 +29,8 @@ from corpusloom.llm.registry import query
 SHARDS = 40
 #: Buckets of a shard; their counts, shards times this, are what every task gets.
 BUCKETS = 1024
+#: Slots of equal rows that are written out at once.
+RUN = 1 << 16
 ROW_BYTES = 16
 
 
@@ -68,10 +70,12 @@ def assign_shards(
     placed = counted.withColumn("own", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
     # At most shards times buckets rows of three numbers.
     placed = placed.join(F.broadcast(starts), ["shard", "bucket"])
-    first = F.col("start") + F.col("own")
-    return placed.select(
-        F.col("key").alias(key), "size", "text_crc32", "shard", F.explode(F.sequence(first, first + F.col("rows") - 1)).alias("slot"),
-        shard_of("key", [*weights, new_weight]).alias("grown_shard"),
+    placed = placed.withColumn("first", F.col("start") + F.col("own")).withColumn("end", F.col("first") + F.col("rows"))
+    # Equal rows come back in runs, so that no array holds more than a run's slots.
+    runs = placed.select("*", F.explode(F.sequence("first", F.col("end") - 1, F.lit(RUN))).alias("run"))
+    slots = F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("end")) - 1)).alias("slot")
+    return runs.select(
+        F.col("key").alias(key), "size", "text_crc32", "shard", slots, shard_of("key", [*weights, new_weight]).alias("grown_shard"),
     )
 
 

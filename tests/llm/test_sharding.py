@@ -36,6 +36,12 @@ def test_edge_cases(spark):
     assert sharding.assign_shards(df.limit(0)).count() == 0
 
 
+def test_equal_rows_come_back_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    df = spark.createDataFrame([(i, t) for i, t in DOCS], "doc_id long, text string")
+    check(sharding.assign_shards(df, weights=(1.0,) * 5).collect(), DOCS, 5)
+
+
 def test_weights_and_growth(spark):
     keys = spark.range(20000).select("id")
     weights = (1.0, 2.0, 0.0, 5.0)
