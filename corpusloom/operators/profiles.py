@@ -12,6 +12,7 @@ from corpusloom.functions.languages import language
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import tree
 from corpusloom.plans.skew import join_facts
+from corpusloom.schemas import PROFILES
 from corpusloom.session import materialize, ship_package
 
 # Defaults of the settings that are not rules.
@@ -37,9 +38,12 @@ def resolve(projects: DataFrame, overrides: DataFrame) -> DataFrame:
 
     Unset means null for flags, 0 for sizes, empty for texts, null or empty for
     ``excluded_patterns``, and null for the other lists. Both inputs have one
-    row per project.
+    row per project. Columns that ``overrides`` lacks are unset, so the profiles
+    of ``suggest`` are resolved like any others.
     """
     default = Profile()
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in PROFILES.fields if f.name not in overrides.columns}
+    overrides = overrides.withColumns(lacking).select(*PROFILES.names) if lacking else overrides
 
     def text(name: str, value: str) -> Column:
         return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(value)).alias(name)

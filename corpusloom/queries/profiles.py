@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import profiles
+from corpusloom.operators import detect, profiles
+from corpusloom.queries.detect import TYPES_SQL
 from corpusloom.queries.registry import FILES, language_sql, query, system_dir_sql, system_name_sql
 from corpusloom.queries.trees import nodes_sql
 from corpusloom.sources.derived import corpus
@@ -123,6 +124,28 @@ def type_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.suggest(typed).withColumn("excluded_patterns", F.array_join("excluded_patterns", ","))
 
 
+@query(
+    "suggested_profiles",
+    f"""
+WITH {FILES}, {TYPES_SQL}
+SELECT project, 2097152::BIGINT AS max_file_size, false AS include_tests, true AS include_configs, type <> 'go' AS include_markup,
+       type <> 'go' AS include_styles, false AS include_docs,
+       '.gitignore,.DS_Store,Thumbs.db,*.log,*.tmp,*.bak,' || CASE
+         WHEN type = 'go' THEN 'vendor/**,*.exe,*.dll,*.so,*.dylib'
+         WHEN type IN ('angular', 'nx', 'browser-extension', 'js') THEN 'dist/**,build/**,.angular/**,.nx/**,coverage/**'
+         ELSE '*.log,*.tmp,*.bak' END AS excluded_patterns,
+       'full' AS documentation_mode, 'all' AS selection_mode, '' AS included_paths, '' AS include_patterns, '' AS important_files,
+       false AS show_full_structure, 'markdown' AS output_format, 'project_docs.md' AS output_filename, true AS append_timestamp
+FROM types
+""",
+)
+def suggested_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """What a project's detected type suggests, made a whole profile."""
+    files = corpus(spark, sf)
+    table = profiles.resolve(files.select("project").distinct(), profiles.suggest(detect.project_types(files)))
+    return table.withColumns({a: F.array_join(a, ",") for a in ARRAYS})
+
+
 @query(
     "effective_excludes",
     f"""

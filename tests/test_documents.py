@@ -331,3 +331,45 @@ def test_jobs_extend_by_transform(spark):
     masked = data.transform(lambda df: df.withColumn("content", F.regexp_replace("content", "secret", "***")))
     text = text_of(jobs.number(jobs.document(masked, PROFILE, run_ts())))
     assert "secret" not in text and text.count("***") == 2
+
+
+def test_sections_of_ones_own_are_ordered_with_the_rest(spark):
+    """Files without content, files that give nothing, several texts of one file, several projects."""
+    data = files(
+        spark, ("p", "go.mod", "m"), ("p", "b/x.go", "one\ntwo"), ("p", "a.go", "a"), ("p", "none.go", None), ("p", "y.md", "skip"), ("q", "go.mod", ""),
+        ("q", "main.go", "z"),
+    )
+
+    def words(path, content):
+        if path.endswith(".go"):
+            yield f"* {path}\n"
+            for line in (content or "-").split("\n"):
+                yield f"  {line}\n"
+
+    own = render.custom_fragments(data, words, 1, step=6)
+    whole = jobs.number(jobs.document(data, PROFILE, run_ts()).unionByName(own))
+    assert text_of(whole).endswith("* b/x.go\n  one\n  two\n* a.go\n  a\n* none.go\n  -\n")
+    assert text_of(whole, "q").endswith("* main.go\n  z\n")
+
+
+def test_requests_decide_on_the_documents(spark):
+    from corpusloom.operators import saved
+
+    data = files(spark, *[(p, path, "x") for p in "abcd" for path in ("go.mod", "src/a.go", "src/b.go", "docs/c.md")])
+    profiles = profile_rows(spark, *[whole_profile(p) for p in "abcd"])
+    stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    log = spark.createDataFrame(
+        [("a", 1, "first", "", ["docs"]), ("a", 2, "newest", "", ["src/a.go"]), ("b", 1, "old one", "", ["docs/"])],
+        "project string, seq long, name string, description string, paths array<string>",
+    ).withColumn("created", stamp)
+    asked = spark.createDataFrame(
+        [("a", True, None, None), ("b", None, "old_one", None), ("c", None, None, "src/b.go, go.mod"), ("d", False, "gone", None)],
+        "project string, use_last boolean, name string, paths string",
+    )
+    table = saved.dispatch(profiles, asked, saved.saves(log))
+    assert {r["project"]: r["status"] for r in table.collect()} == {"a": "ok", "b": "ok", "c": "ok", "d": "not_found"}
+    sections = jobs.document_by_profile(data, table, run_ts()).filter("step = 5")
+    got = {}
+    for r in sections.select("project", "markdown").collect():
+        got.setdefault(r["project"], set()).add(r["markdown"].split("\n")[0])
+    assert got == {"a": {"### src/a.go"}, "b": {"### docs/c.md"}, "c": {"### src/b.go", "### go.mod"}}

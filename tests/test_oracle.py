@@ -28,6 +28,7 @@ def test_query_equals_oracle(spark, con, sf_dir, name):
 LOOKUPS = (
     "select_list", "select_patterns", "bulk_select", "profile_decisions", "tree_last_sibling", "tree_lines",
     "subproject_files", "subproject_pick", "section_monorepo", "document_lines",
+    "select_pattern_table", "document_pieces", "document_selected",
 )
 
 
