@@ -13,6 +13,7 @@ from corpusloom.functions import paths, rules
 from corpusloom.functions.rules import Profile
 from corpusloom.plans.ranking import PLACE, with_position
 from corpusloom.plans.skew import join_facts
+from corpusloom.session import guard
 
 # The pieces of a drawn tree.
 BRANCH, LAST_BRANCH = "├── ", "└── "
@@ -39,6 +40,7 @@ def directories(files: DataFrame, profile: Profile | None = None) -> DataFrame:
 
 def nodes(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """One row per tree node: ``project, path, parent, name, is_dir, sort_key, place``."""
+    guard(files.sparkSession)
     place = F.col(PLACE) if PLACE in files.columns else F.lit(0).alias(PLACE)
     both = dirs.select("project", "path", F.lit(True).alias("is_dir"), PLACE).unionByName(
         files.select("project", "path", F.lit(False).alias("is_dir"), place)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.functions.languages import language
 from corpusloom.schemas import FILES
+from corpusloom.session import guard
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A corpus kept as Parquet; paths are normalised on the way in."""
+    guard(spark)
     files = spark.read.schema(FILES).parquet(path)
     return files.withColumn("path", paths.normalize(F.col("path")))
 
