@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import globs, paths, rules
 from corpusloom.functions.rules import Profile
 from corpusloom.plans.ancestry import below, per_directory, targets_above
-from corpusloom.plans.ranking import PLACE, path_index, with_place, with_position
+from corpusloom.plans.ranking import PLACE, with_place, with_position
 from corpusloom.plans.skew import join_facts
 
 # How a directory's state is shown.
@@ -20,14 +20,20 @@ ALL, SOME, NONE = "x", "~", " "
 def select_listed(files: DataFrame, selections: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Files equal to, or below, a selected path of their project.
 
-    ``selections`` is ``(project, target)``; a trailing slash is ignored. What is
-    selected is decided on the ``index`` of paths; files with their contents are
-    joined once.
+    ``selections`` is ``(project, target)``; a trailing slash is ignored. Paths
+    decide, and files with their contents are joined once. With an ``index`` of
+    the corpus that is one ordered pass over it; without one the directories that
+    hold files are looked up by the directories above them.
     """
     target = F.rtrim(paths.normalize(F.col("target")), F.lit("/")).alias("target")
-    targets = selections.select("project", target).filter("target <> ''")
-    found = below(path_index(files) if index is None else index, targets)
-    return files.join(found.select("project", "path"), ["project", "path"], "left_semi")
+    targets = selections.select("project", target).filter("target <> ''").distinct()
+    if index is not None:
+        found = below(index, targets).select("project", "path")
+    else:
+        covered = targets_above(files, targets).select("project", "parent").distinct()
+        inside = per_directory(files.select("project", "path"), covered, "left_semi")
+        found = inside.unionByName(targets.select("project", F.col("target").alias("path")))
+    return files.join(found, ["project", "path"], "left_semi")
 
 
 #: Patterns with the same key that one regular expression tries.

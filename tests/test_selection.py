@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules
 from corpusloom.functions.rules import Profile
 from corpusloom.operators import profiles, saved, scan, selection
+from corpusloom.plans.ranking import path_index
 from corpusloom.schemas import PROFILES, SELECTION_EVENTS
 from tests.helpers import files, flags, paths
 
@@ -63,8 +64,9 @@ def test_listed_paths_from_a_table(spark):
         spark, ("p", "src/a.go", ""), ("p", "src/x/b.go", ""), ("p", "srcs/c.go", ""), ("p", "d.md", ""), ("q", "src/a.go", "")
     )
     wanted = spark.createDataFrame([("p", "src/"), ("p", "src/x"), ("p", "d.md"), ("q", "")], "project string, target string")
-    got = {(r["project"], r["path"]) for r in selection.select_listed(data, wanted).collect()}
-    assert got == {("p", "src/a.go"), ("p", "src/x/b.go"), ("p", "d.md")}
+    for index in (None, path_index(data, 3)):
+        got = [(r["project"], r["path"]) for r in selection.select_listed(data, wanted, index).collect()]
+        assert sorted(got) == [("p", "d.md"), ("p", "src/a.go"), ("p", "src/x/b.go")]
 
 
 def test_quick_select(spark):
@@ -206,7 +208,6 @@ def test_requests_decide_over_profiles(spark, log):
 def test_files_below_targets_equal_a_plain_comparison(spark, sf_dir, ranges):
     """Nested targets, targets that are files, prefixes that are no directories, and a project taken whole."""
     from corpusloom.plans.ancestry import below
-    from corpusloom.plans.ranking import path_index
     from corpusloom.sources.derived import corpus
 
     data = corpus(spark, sf_dir).select("project", "path", "size")
