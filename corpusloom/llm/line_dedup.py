@@ -10,19 +10,22 @@
    short words count with the two after them and come last, and runs of characters in
    shorter ones; lengths where both occur have both. Below 15 characters, lines also
    have what is left without one character, or two.
-3. Nodes that agree in a block meet. In a group of a block of at most ``GROUP`` nodes
-   all pairs are looked at, and those that agree in two blocks are candidates. In a
-   larger group, of a common word or a template, all meet the first node; then it is
-   dealt out by finer keys, which name one, three and all of the blocks after its own,
-   until groups are small. Groups that agree in all blocks and are still too large are
-   compared with their first, and those unlike it among themselves, until none are left.
+3. Nodes that agree in two blocks are candidates, and so are short lines with an equal
+   key. Those that agree in a block meet: in a group of at most ``GROUP`` nodes all pairs
+   are looked at; in a larger one, of a common word or a template, all meet the first
+   node. Nodes in several larger groups also meet by the keys of every two of these
+   blocks, so a pair whose common groups are all large is found there, in the same way.
 4. Edit similarity alone decides on a candidate: 1 - distance / length of the longer
    one, on normal forms, at least ``SIMILARITY``. Candidates that are connected through
-   others by then are not compared.
+   others by then are not compared. Of the groups of two blocks that are still too large,
+   all pairs of nodes that are not connected yet are compared (``rest_links``); a connected
+   class takes part by one line and its members' distances from it, and its members only
+   where those leave a doubt. Nothing that agrees in two blocks is left out.
 5. Of each connected group of lines the first occurrence stays, by document id
    and line number; the others go.
 
-A group's pairs grow with its rows, not with their square.
+A group's pairs grow with its rows; with the square of its classes only where more than ``GROUP`` lines agree in two blocks
+and are not alike.
 
 Defined cases: a null text has no lines, an empty text one empty line; lines
 with an empty normal form always stay; a null id counts as the largest; rows
@@ -56,8 +59,8 @@ BLOCKS = 8
 AGREE = 2
 #: Nodes of a key that are all compared with each other.
 GROUP = 16
-#: Blocks after its own that a finer key takes in, level by level.
-FINER = (1, 3, BLOCKS - 1)
+#: Classes or members of a large group that one side of a block of comparisons has.
+SIDE = 256
 #: Bits of a print for each block.
 _PRINT = 7
 _LAST = (1 << 63) - 1
@@ -130,11 +133,6 @@ def print_of(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), add)
 
 
-def _field(prints: Column, block: Column | int) -> Column:
-    at = (block * _PRINT).cast("int") if isinstance(block, Column) else F.lit(block * _PRINT)
-    return F.call_function("shiftrightunsigned", prints, at).bitwiseAND(F.lit((1 << _PRINT) - 1))
-
-
 def _agreeing(a: Column, b: Column) -> Column:
     """How many blocks two prints agree in."""
     differ = a.bitwiseXOR(b)
@@ -142,13 +140,6 @@ def _agreeing(a: Column, b: Column) -> Column:
     return reduce(Column.__add__, [F.when((differ.bitwiseAND(f) == 0) & (a.bitwiseAND(f) != 0), 1).otherwise(0) for f in fields])
 
 
-def finer(key: Column, prints: Column, level: int) -> Column:
-    """A key that also names the blocks after its own, more of them at each level, which counts from 1."""
-    own = key.bitwiseAND(F.lit(15))
-    after = [_field(prints, (own + step) % BLOCKS) for step in range(1, FINER[level - 1] + 1)]
-    return F.xxhash64(key, *after).bitwiseAND(F.lit(~_LOW)).bitwiseOR(key.bitwiseAND(F.lit(_LOW)))
-
-
 def _without(norm: Column) -> Column:
     """A key for the line and for each way to leave out one character, or two if the edits allowed are two."""
     n = F.length(norm)
@@ -213,28 +204,31 @@ def _possible(key: str, a: tuple[str, str], b: tuple[str, str], similarity: floa
     return near & (left_out | (_agreeing(F.col(a[0]), F.col(b[0])) >= AGREE))
 
 
-def pairs_of(found: DataFrame, similarity: float, level: int) -> DataFrame:
-    """``a, b, keys`` of the candidates of ``groups``: the smaller node, the larger, and the keys they met by."""
+def pairs_of(found: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of the candidates of ``groups``, once for each key: the smaller node, the larger. Of large groups those with the first node."""
     with_hub = found.where("node <> hub").where(_possible("key", ("print", "chars"), ("hub_print", "hub_chars"), similarity))
-    with_hub = with_hub.select("key", F.col("hub").alias("a"), F.col("node").alias("b"), "n")
     small = found.where(f"n > 2 AND n <= {GROUP} AND node <> hub").select("key", "node", "print", "chars")
     x, y = small.toDF("key", "a", "pa", "ca"), small.toDF("key", "b", "pb", "cb")
     others = x.join(y, "key").where("a < b").where(_possible("key", ("pa", "ca"), ("pb", "cb"), similarity))
-    every = with_hub.unionByName(others.select("key", "a", "b", F.lit(0).cast("long").alias("n")))
-    # Prints agree by chance now and then: of small groups two blocks must name the pair, as two keys, unless the key is of a finer kind.
-    enough = F.lit(level > 0) | (F.col("key").bitwiseAND(F.lit(48)) == 0) | (F.col("n") > GROUP)
-    met = every.groupBy("a", "b").agg(F.count("*").alias("keys"), F.bool_or(enough).alias("enough"))
-    return met.where((F.col("keys") >= AGREE) | F.col("enough")).select("a", "b", "keys")
+    return with_hub.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(others.select("a", "b"))
 
 
-def _members(found: DataFrame, level: int) -> DataFrame:
-    """The nodes of groups that are too large, by their next finer keys."""
-    large = found.where(f"n > {GROUP}")
-    key = finer(F.col("key"), F.col("print"), level + 1) if level < len(FINER) else F.col("key")
-    return large.select(key.alias("key"), "node", "print", "chars", "hub")
+def shared_keys(found: DataFrame) -> DataFrame:
+    """``key, node, print, chars``: a key for every two large groups that a node is in by blocks of one kind."""
+    large = found.where(f"n > {GROUP} AND key & 48 <> 0")
+    # A node has at most as many keys of a kind as there are blocks.
+    of_node = large.groupBy("node", F.expr("key & 48").alias("kind"), "print", "chars").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice(F.col("keys"), 1, i), lambda before: F.xxhash64(before, k))))
+    key = F.col("two").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("kind"))
+    return of_node.where("size(keys) > 1").withColumn("two", F.explode(two)).select(key.alias("key"), "node", "print", "chars")
 
 
-def _alike(similarity: float) -> Column:
+def _most(similarity: float, length: Column) -> Column:
+    """The edits that lines may differ by, the longer one of this length."""
+    return F.floor((1 - similarity) * length + 1e-9).cast("int")
+
+
+def _alike() -> Column:
     """Whether the edit distance of ``norm_a`` and ``norm_b`` is small enough; far lengths are not compared.
 
     Most differ in words at the same places, which bounds their distance from above,
@@ -256,8 +250,8 @@ def _alike(similarity: float) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("norm").alias(f"norm_{side}")), side)
-    most = F.floor((1 - similarity) * F.greatest(F.length("norm_a"), F.length("norm_b")) + 1e-9).cast("int")
-    return pairs.withColumn("most", most).where(_alike(similarity)).select("a", "b")
+    most = _most(similarity, F.greatest(F.length("norm_a"), F.length("norm_b")))
+    return pairs.withColumn("most", most).where(_alike()).select("a", "b")
 
 
 def _apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -275,36 +269,87 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select(F.inline(pick)).select("node", normal_form(F.col("line")).alias("norm")).dropDuplicates(["node"])
 
 
+def _crossed(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Rows of ``x`` and ``y`` of one key. Every two parts (``part`` of ``parts``) meet by themselves, so that no task has a whole group."""
+    x = x.withColumn("part_y", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).withColumnRenamed("part", "part_x").drop("parts")
+    y = y.withColumn("part_x", F.explode(F.sequence(F.lit(0), F.col("part")))).withColumnRenamed("part", "part_y").drop("parts")
+    return x.join(y, ["key", "part_x", "part_y"])
+
+
+def rest_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the alike nodes of each group (``key, node``) that are in different classes; all pairs of a group's classes are compared.
+
+    A class is compared by its line of the smallest name first. No member is alike one of
+    another class where the distance of the two classes' lines is more than the
+    members' distances from theirs and the edits allowed together. Members of the other classes are compared by
+    themselves. Nodes that share several groups are compared in the one of the smallest key.
+    """
+    rows = rest.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+    several = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    rows = rows.join(several, "key")
+    all_keys = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    rows = rows.join(all_keys.join(texts, "node"), "node")
+    heads = rows.groupBy("key", "class").agg(F.min(F.struct("node", "norm")).alias("head"), F.count("*").alias("n"))
+    rows = rows.join(heads.select("key", "class", F.col("head.norm").alias("head"), "n"), ["key", "class"])
+    length = F.length("norm")
+    # Far from the head, a member has no distance, and its class no radius.
+    apart = F.expr("levenshtein(norm, head, least(greatest(length(norm), length(head)), 64))")
+    rows = rows.withColumn("distance", F.when(F.col("n") == 1, 0).otherwise(apart)).drop("head")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SIDE)).cast("int"))
+    rows = tables.store(rows.withColumn("parts", F.ceil(F.col("n") / SIDE).cast("int")).drop("n"), "line-members", clean=True)
+    first = F.min(F.struct("node", "norm", "keys")).alias("head")
+    far = F.min("distance") < 0
+    heads = rows.groupBy("key", "class").agg(
+        first, F.when(~far, F.max("distance")).alias("radius"), F.max(length).alias("longest"), F.min(length).alias("shortest"), F.max("parts").alias("member_parts"), F.count("*").alias("n")
+    )
+    number = heads.groupBy("key").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    heads = heads.join(number, "key").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    sides = [
+        heads.select("key", "part", "parts", *[
+            F.col(c).alias(f"{c.split('.')[-1]}_{side}") for c in ("class", "head.norm", "head.keys", "radius", "longest", "shortest", "member_parts", "n")
+        ])
+        for side in ("x", "y")
+    ]
+    met = _crossed(*sides).where("part_x < part_y or class_x < class_y")
+    most = _most(similarity, F.greatest("longest_x", "longest_y"))
+    met = met.where(F.greatest("shortest_x", "shortest_y") - F.least("longest_x", "longest_y") <= most)
+    # Two single nodes meet once.
+    met = met.where("n_x > 1 or n_y > 1 or key = array_min(array_intersect(keys_x, keys_y))")
+    met = met.withColumn("bound", most + F.col("radius_x") + F.col("radius_y"))
+    met = met.where("bound is null or levenshtein(norm_x, norm_y, bound) >= 0")
+    met = met.select("key", "class_x", "class_y", "member_parts_x", "member_parts_y")
+    met = met.withColumn("part_x", F.explode(F.sequence(F.lit(0), F.col("member_parts_x") - 1)))
+    met = met.withColumn("part_y", F.explode(F.sequence(F.lit(0), F.col("member_parts_y") - 1)))
+    for side, name in (("x", "a"), ("y", "b")):
+        members = rows.select("key", F.col("class").alias(f"class_{side}"), F.col("part").alias(f"part_{side}"), F.col("node").alias(name), F.col("norm").alias(f"norm_{name}"), F.col("keys").alias(f"keys_{name}"))
+        met = met.join(members, ["key", f"class_{side}", f"part_{side}"])
+    met = met.where("key = array_min(array_intersect(keys_a, keys_b))")
+    met = met.withColumn("most", _most(similarity, F.greatest(F.length("norm_a"), F.length("norm_b"))))
+    return met.where(_alike()).select("a", "b")
+
+
 def alike_lines(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node, component`` of the connected groups of alike lines; ``nodes`` has the first place of each."""
-    rows, level, texts, pairs, classes = keyed_nodes(_lines(docs)), 0, None, None, None
-    while True:
-        found = tables.store(groups(rows), "line-groups", clean=True)
-        now = tables.store(pairs_of(found, similarity, level), "line-pairs", clean=True)
-        members = _members(found, level)
-        pairs = now if pairs is None else pairs.unionByName(now)
-        if level < len(FINER) and not members.isEmpty():
-            # Finer keys first; candidates of all levels are compared together.
-            rows, level = members.drop("hub"), level + 1
-            continue
-        if texts is None:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-            texts = _texts(docs, nodes.join(wanted, "node", "left_semi").select("node", "first.*"))
-            texts = tables.store(texts, "line-texts", clean=True)
-            # Each node and the one it met by most keys: these pairs connect most of what is alike.
-            nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a")).alias("best")).select("best.a", "b")
-            links = tables.store(_verified(nearest, texts, similarity), "line-links", clean=True)
-            classes = tables.store(components(links), "line-classes")
-        more = _verified(_apart(pairs.select("a", "b").distinct(), classes), texts, similarity)
-        more = tables.store(more, "line-links", clean=True)
-        if not more.isEmpty():
-            links = links.union(more)
-            classes = tables.store(components(links), "line-classes")
-        left = _apart(members.select(F.col("node").alias("a"), F.col("hub").alias("b"), "key", "print", "chars"), classes)
-        left = tables.store(left.select("key", F.col("a").alias("node"), "print", "chars"), "line-members")
-        if left.isEmpty():
-            return classes
-        rows, pairs = left, None
+    found = tables.store(groups(keyed_nodes(_lines(docs))), "line-groups", clean=True)
+    by_two = tables.store(groups(shared_keys(found)), "line-groups", clean=True)
+    met = pairs_of(found, similarity).unionByName(pairs_of(by_two, similarity))
+    pairs = tables.store(met.groupBy("a", "b").agg(F.count("*").alias("keys")), "line-pairs", clean=True)
+    rest = by_two.unionByName(found.where("key & 48 = 0")).where(f"n > {GROUP}").select("key", "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(rest.select("node")).distinct()
+    texts = _texts(docs, nodes.join(wanted, "node", "left_semi").select("node", "first.*"))
+    texts = tables.store(texts, "line-texts", clean=True)
+    # Each node and the one it met by most keys: these pairs connect most of what is alike.
+    nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a")).alias("best")).select("best.a", "b")
+    links = tables.store(_verified(nearest, texts, similarity), "line-links", clean=True)
+    classes = tables.store(components(links), "line-classes")
+    more = tables.store(_verified(_apart(pairs.select("a", "b"), classes), texts, similarity), "line-links", clean=True)
+    if not more.isEmpty():
+        links = links.union(more)
+        classes = tables.store(components(links), "line-classes")
+    if rest.isEmpty():
+        return classes
+    more = tables.store(rest_links(rest, classes, texts, similarity), "line-links", clean=True)
+    return classes if more.isEmpty() else tables.store(components(links.union(more)), "line-classes")
 
 
 # ---------------------------------------------------------------- the operator

@@ -245,3 +245,71 @@ def test_edit_similarity_decides_at_every_length(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["owner"]: set(r["dropped"]) for r in line_dedup.repeated_lines(df).collect()} == want
     assert sum(map(len, want.values())) > 60
+
+
+def links_by_blocks(spark, docs):
+    """The alike pairs of nodes among all that agree in one block or more: ``(a, b, whether in two of a kind, or in a key of what is left of short lines)``."""
+    df = line_dedup._keyed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    lines = line_dedup._lines(df)
+    keys = {}
+    for r in line_dedup.keyed_nodes(lines).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    names, pairs = sorted(keys), {}
+    for i, b in enumerate(names):
+        for a in names[:i]:
+            kinds = [k >> 4 & 3 for k in keys[a] & keys[b]]
+            if kinds:
+                pairs[a, b] = 0 in kinds or any(kinds.count(kind) > 1 for kind in (1, 2, 3))
+    texts = lines.select(F.xxhash64("norm").alias("node"), "norm").distinct()
+    found = line_dedup._verified(spark.createDataFrame(list(pairs), "a long, b long"), texts, line_dedup.SIMILARITY).collect()
+    return [(a, b, pairs[a, b]) for a, b in found]
+
+
+def classes_of(spark, docs):
+    df = line_dedup._keyed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    lines = line_dedup._lines(df).select(F.xxhash64("norm").alias("node"), F.struct("owner", "text_hash", "at").alias("first"))
+    nodes = lines.groupBy("node").agg(F.min("first").alias("first"))
+    return {r["node"]: r["component"] for r in line_dedup.alike_lines(df, nodes).collect()}
+
+
+def test_no_link_of_large_groups_is_left_out(spark, monkeypatch):
+    """Lines of a template with more or fewer words changed: most pairs agree in blocks that many lines have, some by no other block.
+
+    Short lines that share what is left of them come in one large group; copies with other numbers are large classes that meet
+    other large classes. Sides of few rows make many parts.
+    """
+    monkeypatch.setattr(line_dedup, "SIDE", 5, raising=False)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(4, 10)))
+    common = [word() for _ in range(20)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(12)]
+        texts.append(" ".join(x for pair in zip(common, own + [""] * 8) for x in pair if x))
+        for n in (4, 5):
+            changed = list(own)
+            for at in rng.sample(range(12), n):
+                changed[at] = word()
+            texts.append(" ".join(x for pair in zip(common, changed + [""] * 8) for x in pair if x))
+    own, other = [word() for _ in range(12)], [word() for _ in range(12)]
+    for words in (own, other):
+        texts += [" ".join([*common, *words, str(i)]) for i in range(60)]
+    texts += [f"{a}{b}234567" for a in "abcdefg" for b in "hijklmn"] + [f"{a}234567" for a in "opqrstuvwxyz"]
+    docs = list(enumerate(texts))
+    links, got = links_by_blocks(spark, docs), classes_of(spark, docs)
+    assert sum(two for _, _, two in links) > 300
+    assert not [(a, b) for a, b, two in links if two and (a not in got or got[a] != got.get(b))]
+    # What is connected is so by alike lines; of lines that agree in one block some are found as well.
+    some = {n: n for n in got}
+
+    def find(x):
+        while some[x] != x:
+            x = some[x]
+        return x
+
+    for a, b, _ in links:
+        if a in got and b in got:
+            low, high = sorted((find(a), find(b)))
+            some[high] = low
+    assert all(find(n) == find(component) for n, component in got.items())
