@@ -46,6 +46,8 @@ _STRETCH = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Ids from here on stand for characters spelt in bytes.
 _SPELT = 1 << 24
 _SLOT_BITS = 20
+#: Stretches of up to so many characters are summed as plain products, which stay far from the smallest double; longer ones as logarithms.
+_PLAIN = 64
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,7 @@ class Lattices:
         self.hashes = hashes[order]
         self.ids = np.array([vocabulary.ids[p] for p in names], dtype=np.int64)[order]
         self.logs = np.array(list(self.weights.values()))[order]
+        self.plain = np.exp(self.logs)
         self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int64)
         # Pieces by the first bits of their hash; those that share them follow in order.
         self.slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
@@ -120,45 +123,66 @@ class Lattices:
         points = _points("".join(stretches), len(stretches[0]))
         count, n = points.shape
         most = min(self.longest, n)
-        arcs = np.full((count, n, most), -np.inf)
+        plain = n <= _PLAIN and self.spelling > -10
+        arcs = np.zeros((count, n, most)) if plain else np.full((count, n, most), -np.inf)
         ids = np.zeros((count, n, most), dtype=np.int32)
+        weights, flat, flat_ids = self.plain if plain else self.logs, arcs.reshape(-1), ids.reshape(-1)
         for length, keys in enumerate(_runs(points, most), 1):
-            place = np.flatnonzero(self.slots[(keys >> np.uint64(64 - _SLOT_BITS)).ravel()] >= 0)
-            keys = keys.ravel()[place]
-            first = self.slots[(keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
+            slots = self.slots[(keys >> np.uint64(64 - _SLOT_BITS)).ravel()]
+            place = np.flatnonzero(slots >= 0)
+            keys, first = keys.ravel()[place], slots[place]
             for later in range(self.shared):
                 at = np.minimum(first + later, len(self.hashes) - 1)
-                known = self.hashes[at] == keys
+                known = np.flatnonzero(self.hashes[at] == keys)
                 row, column = np.divmod(place[known], n - length + 1)
-                arcs[row, column + length - 1, length - 1] = self.logs[at[known]]
-                ids[row, column + length - 1, length - 1] = self.ids[at[known]]
-        alone = np.isneginf(arcs[:, :, 0])
-        arcs[:, :, 0][alone] = self.spelling
+                arc = (row * n + column + length - 1) * most + length - 1
+                flat[arc] = weights[at[known]]
+                flat_ids[arc] = self.ids[at[known]]
+        alone = arcs[:, :, 0] == (0 if plain else -np.inf)
+        arcs[:, :, 0][alone] = math.exp(self.spelling) if plain else self.spelling
         spelt = points[alone].astype(np.int64)
         ids[:, :, 0][alone] = np.where(spelt < 128, self.byte_ids[np.minimum(spelt, 127)], _SPELT + spelt)
-        forward = np.zeros((count, n + 1))
-        for j in range(1, n + 1):
-            k = min(most, j)
-            own = arcs[:, j - 1, :k]
-            own += forward[:, j - k : j][:, ::-1]
-            top = own.max(axis=1)
-            own -= top[:, None]
-            np.exp(own, out=own)
-            total = own.sum(axis=1)
-            own /= total[:, None]
-            arcs[:, j - 1, k:] = 0
-            forward[:, j] = top + np.log(total)
-        some = arcs > 0
-        node = np.arange(count * n).reshape(count, n, 1)
-        sums = node + np.minimum(np.cumsum(arcs, axis=2), 1 - 1e-9)
-        length = np.broadcast_to(np.arange(1, most + 1), arcs.shape)
-        starts = length == np.arange(1, n + 1)[:, None]
-        sums, length, starts, ids = sums[some], length[some], starts[some], ids[some]
-        last = np.cumsum(some.sum(axis=2).ravel()) - 1
+        (_forward_plain if plain else _forward_logs)(arcs)
+        some = np.flatnonzero(arcs)
+        node, length = np.divmod(some, most)
+        sums = node + np.minimum(np.cumsum(arcs, axis=2).reshape(-1)[some], 1 - 1e-9)
+        length += 1
+        starts, ids = length == node % n + 1, flat_ids[some]
+        last = np.flatnonzero(np.append(node[1:] != node[:-1], True))
         sums[last] = np.arange(1, count * n + 1)
         return sums, length, starts, ids
 
 
+def _forward_plain(arcs: np.ndarray) -> None:
+    """Turns the weights of the arcs into each node's in probabilities, in place."""
+    count, n, most = arcs.shape
+    forward = np.ones((count, n + 1))
+    for j in range(1, n + 1):
+        k = min(most, j)
+        own = arcs[:, j - 1, :k]
+        own *= forward[:, j - k : j][:, ::-1]
+        total = np.einsum("ij->i", own)
+        own /= total[:, None]
+        forward[:, j] = total
+
+
+def _forward_logs(arcs: np.ndarray) -> None:
+    """The same from logarithms of weights."""
+    count, n, most = arcs.shape
+    forward = np.zeros((count, n + 1))
+    for j in range(1, n + 1):
+        k = min(most, j)
+        own = arcs[:, j - 1, :k]
+        own += forward[:, j - k : j][:, ::-1]
+        top = own.max(axis=1)
+        own -= top[:, None]
+        np.exp(own, out=own)
+        total = own.sum(axis=1)
+        own /= total[:, None]
+        arcs[:, j - 1, k:] = 0
+        forward[:, j] = top + np.log(total)
+
+
 def _points(text: str, width: int) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, width)
 

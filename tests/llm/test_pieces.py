@@ -75,3 +75,21 @@ def test_query_is_lossless(spark, sf_dir):
 
 def test_foreign_ids_and_bytes(vocabulary):
     assert pieces.join([-1, 10**9, 1, 2], vocabulary) == "" and pieces.join([vocabulary.byte_ids[0xE9]], vocabulary) == "�"
+
+
+def test_products_and_logarithms_give_the_same_lattices(vocabulary, monkeypatch):
+    """Short stretches are summed as plain products, long ones and very uneven weights as logarithms; characters without a piece are spelt."""
+    stretches = [" the", "ther中", "x\U0001f600͸yz", " qqqq", "͸" * 5, " the"]
+    for many in ([s[:4] for s in stretches], [s * 16 for s in stretches if len(s) == 4], ["z"], ["\n"]):
+        lattices = pieces.Lattices(vocabulary, 0.5)
+        monkeypatch.setattr(pieces, "_PLAIN", 64)
+        plain = lattices.build(many)
+        monkeypatch.setattr(pieces, "_PLAIN", 0)
+        by_logs = lattices.build(many)
+        for a, b in zip(plain, by_logs, strict=True):
+            np.testing.assert_allclose(a, b, rtol=0, atol=1e-9)
+    monkeypatch.setattr(pieces, "_PLAIN", 64)
+    steep = pieces.Lattices(vocabulary, 30.0)
+    assert steep.spelling < -300 and np.isfinite(steep.build([" the" * 16])[0]).all()
+    ids, _ = pieces.sample(["the" * 400, "͸" * 70], np.arange(2), pieces.Lattices(vocabulary, 0.5), 1)
+    assert pieces.join(ids.tolist(), vocabulary) == "the" * 400 + " " + "͸" * 70
