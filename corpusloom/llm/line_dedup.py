@@ -279,7 +279,7 @@ def _crossed(x: DataFrame, y: DataFrame) -> DataFrame:
 def rest_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: the alike nodes of each group (``key, node``) that are in different classes; all pairs of a group's classes are compared.
 
-    A class is compared by its line of the smallest name first. No member is alike one of
+    A class is compared by the line that it is named by first. No member is alike one of
     another class where the distance of the two classes' lines is more than the
     members' distances from theirs and the edits allowed together. Members of the other classes are compared by
     themselves. Nodes that share several groups are compared in the one of the smallest key.
@@ -287,21 +287,25 @@ def rest_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, similarity
     rows = rest.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
     several = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
     rows = rows.join(several, "key")
-    all_keys = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    rows = rows.join(all_keys.join(texts, "node"), "node")
-    heads = rows.groupBy("key", "class").agg(F.min(F.struct("node", "norm")).alias("head"), F.count("*").alias("n"))
-    rows = rows.join(heads.select("key", "class", F.col("head.norm").alias("head"), "n"), ["key", "class"])
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, ["key", "class"])
+    # A class's line is compared with each member once, not in each group.
+    of_node = rows.groupBy("node", "class").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.max("n").alias("most_n"))
+    of_node = of_node.join(texts, "node").join(texts.select(F.col("node").alias("class"), F.col("norm").alias("head")), "class")
+    # Far from the class's line, a member has no distance, and its class no radius.
+    apart = "CASE WHEN levenshtein(norm, head, 8) >= 0 THEN levenshtein(norm, head, 8) ELSE levenshtein(norm, head, 32) END"
+    distance = F.when((F.col("most_n") == 1) | (F.col("node") == F.col("class")), 0).otherwise(F.expr(apart))
+    of_node = tables.store(of_node.select("node", "norm", "head", "keys", distance.alias("distance")), "line-members", clean=True)
+    rows = rows.join(of_node, "node").withColumn("parts", F.ceil(F.col("n") / SIDE).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     length = F.length("norm")
-    # Far from the head, a member has no distance, and its class no radius.
-    apart = F.expr("levenshtein(norm, head, least(greatest(length(norm), length(head)), 64))")
-    rows = rows.withColumn("distance", F.when(F.col("n") == 1, 0).otherwise(apart)).drop("head")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SIDE)).cast("int"))
-    rows = tables.store(rows.withColumn("parts", F.ceil(F.col("n") / SIDE).cast("int")).drop("n"), "line-members", clean=True)
-    first = F.min(F.struct("node", "norm", "keys")).alias("head")
-    far = F.min("distance") < 0
+    single, far = F.count("*") == 1, F.min("distance") < 0
     heads = rows.groupBy("key", "class").agg(
-        first, F.when(~far, F.max("distance")).alias("radius"), F.max(length).alias("longest"), F.min(length).alias("shortest"), F.max("parts").alias("member_parts"), F.count("*").alias("n")
-    )
+        # A node that is the only one of its class stands for itself.
+        F.struct(F.when(single, F.min("norm")).otherwise(F.min("head")).alias("norm"), F.when(single, F.min("keys")).alias("keys")).alias("head"),
+        F.when(single, 0).when(~far, F.max("distance")).alias("radius"),
+        F.max(length).alias("longest"), F.min(length).alias("shortest"), F.max("parts").alias("member_parts"), F.count("*").alias("n"),
+    )
     number = heads.groupBy("key").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
     heads = heads.join(number, "key").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     sides = [
