@@ -13,8 +13,9 @@
 3. Nodes that agree in two blocks are candidates, and so are short lines with an equal
    key. Those that agree in a block meet: in a group of at most ``GROUP`` nodes all pairs
    are looked at; in a larger one, of a common word or a template, all meet the first
-   node. Nodes in several larger groups also meet by the keys of every two of these
-   blocks, so a pair whose common groups are all large is found there, in the same way.
+   node. What is alike of these is connected first. Nodes in several larger groups also meet
+   by the keys of every two of these blocks that several classes have, so a pair whose
+   common groups are all large is found there, in the same way.
 4. Edit similarity alone decides on a candidate: 1 - distance / length of the longer
    one, on normal forms, at least ``SIMILARITY``. Candidates that are connected through
    others by then are not compared. Of the groups of two blocks that are still too large,
@@ -213,14 +214,26 @@ def pairs_of(found: DataFrame, similarity: float) -> DataFrame:
     return with_hub.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(others.select("a", "b"))
 
 
-def shared_keys(found: DataFrame) -> DataFrame:
-    """``key, node, print, chars``: a key for every two large groups that a node is in by blocks of one kind."""
-    large = found.where(f"n > {GROUP} AND key & 48 <> 0")
+def shared_keys(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, node, print, chars``: a key for every two large groups that nodes of several classes are in by blocks of one kind.
+
+    Nodes of one class that are in the same large groups are one set, and keys that only
+    one class has are dropped before sets become nodes again: copies give one row for each two groups, not one for each copy.
+    """
+    large = found.where(f"n > {GROUP} AND key & 48 <> 0").join(classes, "node", "left")
+    large = large.select("key", "node", "print", "chars", F.coalesce("component", "node").alias("class"))
+    mixed = large.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    kind = F.expr("key & 48").alias("kind")
     # A node has at most as many keys of a kind as there are blocks.
-    of_node = large.groupBy("node", F.expr("key & 48").alias("kind"), "print", "chars").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    of_node = large.join(mixed, "key").groupBy("node", kind, "print", "chars", "class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    of_node = tables.store(of_node.where("size(keys) > 1"), "line-shared", clean=True)
+    sets = of_node.groupBy("class", "kind", "keys").agg(F.min("node").alias("set"))
     two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice(F.col("keys"), 1, i), lambda before: F.xxhash64(before, k))))
     key = F.col("two").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("kind"))
-    return of_node.where("size(keys) > 1").withColumn("two", F.explode(two)).select(key.alias("key"), "node", "print", "chars")
+    of_set = sets.withColumn("two", F.explode(two)).select(key.alias("key"), "set", "kind", "class").repartition("key")
+    mixed = of_set.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    named = of_node.join(sets, ["class", "kind", "keys"]).select("set", "kind", "node", "print", "chars")
+    return of_set.join(mixed, "key").select("key", "set", "kind").join(named, ["set", "kind"]).select("key", "node", "print", "chars")
 
 
 def _most(similarity: float, length: Column) -> Column:
@@ -248,8 +261,10 @@ def _alike() -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    # Few bytes can be much work: these parts are not put together by their size.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("norm").alias(f"norm_{side}")), side)
+        pairs = pairs.repartition(parts, side).join(texts.select(F.col("node").alias(side), F.col("norm").alias(f"norm_{side}")).hint("merge"), side)
     most = _most(similarity, F.greatest(F.length("norm_a"), F.length("norm_b")))
     return pairs.withColumn("most", most).where(_alike()).select("a", "b")
 
@@ -335,18 +350,22 @@ def rest_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, similarity
 def alike_lines(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node, component`` of the connected groups of alike lines; ``nodes`` has the first place of each."""
     found = tables.store(groups(keyed_nodes(_lines(docs))), "line-groups", clean=True)
-    by_two = tables.store(groups(shared_keys(found)), "line-groups", clean=True)
-    met = pairs_of(found, similarity).unionByName(pairs_of(by_two, similarity))
-    pairs = tables.store(met.groupBy("a", "b").agg(F.count("*").alias("keys")), "line-pairs", clean=True)
-    rest = by_two.unionByName(found.where("key & 48 = 0")).where(f"n > {GROUP}").select("key", "node")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(rest.select("node")).distinct()
+    # Nodes of two large groups may meet by both of them later.
+    large = found.where(f"n > {GROUP} AND key & 48 <> 0").groupBy("node", F.expr("key & 48")).agg(F.count("*").alias("n")).where("n > 1")
+    pairs = pairs_of(found, similarity).groupBy("a", "b").agg(F.count("*").alias("keys"))
+    pairs = tables.store(pairs, "line-pairs", clean=True)
+    left_out = found.where(f"key & 48 = 0 AND n > {GROUP}").select("key", "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left_out.select("node")).union(large.select("node")).distinct()
     texts = _texts(docs, nodes.join(wanted, "node", "left_semi").select("node", "first.*"))
     texts = tables.store(texts, "line-texts", clean=True)
     # Each node and the one it met by most keys: these pairs connect most of what is alike.
     nearest = pairs.groupBy("b").agg(F.max(F.struct("keys", "a")).alias("best")).select("best.a", "b")
     links = tables.store(_verified(nearest, texts, similarity), "line-links", clean=True)
     classes = tables.store(components(links), "line-classes")
-    more = tables.store(_verified(_apart(pairs.select("a", "b"), classes), texts, similarity), "line-links", clean=True)
+    by_two = tables.store(groups(shared_keys(found, classes)), "line-groups", clean=True)
+    rest = by_two.where(f"n > {GROUP}").select("key", "node").unionByName(left_out)
+    pairs = pairs.select("a", "b").union(pairs_of(by_two, similarity)).distinct()
+    more = tables.store(_verified(_apart(pairs, classes), texts, similarity), "line-links", clean=True)
     if not more.isEmpty():
         links = links.union(more)
         classes = tables.store(components(links), "line-classes")

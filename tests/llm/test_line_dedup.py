@@ -313,3 +313,19 @@ def test_no_link_of_large_groups_is_left_out(spark, monkeypatch):
             low, high = sorted((find(a), find(b)))
             some[high] = low
     assert all(find(n) == find(component) for n, component in got.items())
+
+
+def test_copies_that_are_one_class_give_no_keys_of_two_groups(spark, monkeypatch):
+    """Large groups that one class has are not compared again."""
+    line = "one and the same sentence with a number in it that nobody reads to the end"
+    docs = [(i, f"{line} {i}") for i in range(40)]
+    kept = {}
+    real = tables.store
+
+    def seen(df, name, clean=False):
+        kept.setdefault(name, []).append(real(df, name, clean))
+        return kept[name][-1]
+
+    monkeypatch.setattr(line_dedup.tables, "store", seen)
+    assert len(set(classes_of(spark, docs).values())) == 1
+    assert [found.isEmpty() for found in kept["line-groups"]] == [False, True]
